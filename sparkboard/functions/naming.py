@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 # count as part of a word in any script.
 SNAKE_CASE_STEPS = (
     (r"(?U)I[Dd]\b", "Id"),
-    (r"[^\p{L}\p{N}_\s]", ""),
+    (r"(?U)[^\p{L}\p{N}_\s]", ""),
     (r" ", "_"),
     (r"(?<!^)([A-Z])", "_$1"),
 )

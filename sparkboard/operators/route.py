@@ -64,6 +64,10 @@ def _first(columns: Column, keep) -> Column:
     return F.get(F.filter(columns, keep), 0)["name"]
 
 
+def _holds(part: str):
+    return lambda c: c["name"].contains(part)
+
+
 def _of_type(columns: Column, kind: str) -> Column:
     return F.filter(columns, lambda c: c["type"] == kind)
 
@@ -93,10 +97,7 @@ def route(questions: DataFrame, question: str = "question", columns: str = "colu
             F.col("__datetime"), lambda c: mentions(q, c["name"]) | c["name"].contains("date")
         ),
         "__likely_metric": F.coalesce(
-            *[
-                _first(F.col("__numeric"), lambda c, part=part: c["name"].contains(part))
-                for part in METRIC_NAME_PARTS
-            ],
+            *[_first(F.col("__numeric"), _holds(part)) for part in METRIC_NAME_PARTS],
             F.get("__numeric", 0)["name"],
         ),
     })
