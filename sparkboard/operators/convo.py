@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sparkboard.functions.values import quoted
 
 # The blanks a browser trims from a message.
-BLANKS = r"[\t\n\x0B\f\r    -     　﻿]"
+BLANKS = (
+    r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+)
 # A title ends with the first sentence when that ends before this place, else a
 # message longer than LONG_TITLE is cut to CUT_TITLE characters and three dots.
 SENTENCE_BEFORE, LONG_TITLE, CUT_TITLE = 60, 50, 47

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from sparkboard.operators.audit import LIMIT, WIDTH, rate_audit
@@ -11,7 +11,12 @@ from sparkboard.operators.audit import LIMIT, WIDTH, rate_audit
 def rate_audit_stream(
     events: DataFrame, time: str, key: Column, delay: str, limit: int = LIMIT, width: str = WIDTH
 ) -> DataFrame:
-    """A window is reported once the watermark (latest event minus `delay`) has passed its end."""
+    """A window is reported once the watermark (latest event minus `delay`) has passed its end.
+
+    Watermarks are points in time: local times are read in the time zone of the session.
+    """
+    if isinstance(events.schema[time].dataType, T.TimestampNTZType):
+        events = events.withColumn(time, events[time].cast("timestamp"))
     return rate_audit(events.withWatermark(time, delay), time, key, limit, width)
 
 
