@@ -13,34 +13,32 @@ MISSING_TEXTS = (
 )
 
 NUMBER_PATTERN = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
-INTEGER_PATTERN = r"^\s*[+-]?\d+\s*$"
 
-# Date spellings: a pattern which is cheap to test, then the format which parses it. Listed by
-# preference: 01/02/2024 is January 2nd unless a value of the column rules that out.
-CLOCK = r"(\s+\d{1,2}:\d{2}(:\d{2})?)?\s*$"
+# Date spellings: a text every such value holds, a pattern, and how its parts make an ISO date; None
+# where the value is one already, a format where a month is spelled out. Listed by preference:
+# 01/02/2024 is January 2nd unless a value of the column rules that out. Days and months are kept to
+# their ranges here, because a date which does not exist costs an exception in the parser.
+CLOCK = r"(\s+\d{1,2}:\d{2}(?::\d{2})?)?\s*$"
+DAY, MONTH, YEAR = r"(0?[1-9]|[12]\d|3[01])", r"(0?[1-9]|1[0-2])", r"(\d{4})"
 DATE_SPELLINGS = (
-    ("iso", r"^\s*\d{4}-\d{1,2}-\d{1,2}([T ].*)?$", None),
-    ("m/d/y", r"^\s*\d{1,2}/\d{1,2}/\d{4}" + CLOCK, "M/d/yyyy[ H:mm[:ss]]"),
-    ("d/m/y", r"^\s*\d{1,2}/\d{1,2}/\d{4}" + CLOCK, "d/M/yyyy[ H:mm[:ss]]"),
-    ("m-d-y", r"^\s*\d{1,2}-\d{1,2}-\d{4}" + CLOCK, "M-d-yyyy[ H:mm[:ss]]"),
-    ("d-m-y", r"^\s*\d{1,2}-\d{1,2}-\d{4}" + CLOCK, "d-M-yyyy[ H:mm[:ss]]"),
-    ("y/m/d", r"^\s*\d{4}/\d{1,2}/\d{1,2}" + CLOCK, "yyyy/M/d[ H:mm[:ss]]"),
-    ("d mon y", r"^\s*\d{1,2} [A-Z][a-z]{2} \d{4}" + CLOCK, "d MMM yyyy[ H:mm[:ss]]"),
-    ("mon d, y", r"^\s*[A-Z][a-z]{2} \d{1,2}, \d{4}" + CLOCK, "MMM d, yyyy[ H:mm[:ss]]"),
-    ("d month y", r"^\s*\d{1,2} [A-Z][a-z]{3,} \d{4}" + CLOCK, "d MMMM yyyy[ H:mm[:ss]]"),
-    ("month d, y", r"^\s*[A-Z][a-z]{3,} \d{1,2}, \d{4}" + CLOCK, "MMMM d, yyyy[ H:mm[:ss]]"),
+    ("iso", "-", rf"^\s*{YEAR}-{MONTH}-{DAY}([T ].*)?$", None),
+    ("m/d/y", "/", rf"^\s*{MONTH}/{DAY}/{YEAR}{CLOCK}", "$3-$1-$2$4"),
+    ("d/m/y", "/", rf"^\s*{DAY}/{MONTH}/{YEAR}{CLOCK}", "$3-$2-$1$4"),
+    ("m-d-y", "-", rf"^\s*{MONTH}-{DAY}-{YEAR}{CLOCK}", "$3-$1-$2$4"),
+    ("d-m-y", "-", rf"^\s*{DAY}-{MONTH}-{YEAR}{CLOCK}", "$3-$2-$1$4"),
+    ("y/m/d", "/", rf"^\s*{YEAR}/{MONTH}/{DAY}{CLOCK}", "$1-$2-$3$4"),
+    ("d mon y", " ", rf"^\s*{DAY} [A-Z][a-z]{{2}} {YEAR}{CLOCK}", "d MMM yyyy[ H:mm[:ss]]"),
+    ("mon d, y", ",", rf"^\s*[A-Z][a-z]{{2}} {DAY}, {YEAR}{CLOCK}", "MMM d, yyyy[ H:mm[:ss]]"),
+    ("d month y", " ", rf"^\s*{DAY} [A-Z][a-z]{{3,}} {YEAR}{CLOCK}", "d MMMM yyyy[ H:mm[:ss]]"),
+    ("month d, y", ",", rf"^\s*[A-Z][a-z]{{3,}} {DAY}, {YEAR}{CLOCK}", "MMMM d, yyyy[ H:mm[:ss]]"),
 )
-DATE_SPELLING_NAMES = tuple(name for name, _, _ in DATE_SPELLINGS)
+DATE_SPELLING_NAMES = tuple(name for name, *_ in DATE_SPELLINGS)
 
 
 def is_number(text: Column) -> Column:
     return text.rlike(NUMBER_PATTERN)
 
 
-def is_integer(text: Column) -> Column:
-    return text.rlike(INTEGER_PATTERN)
-
-
 def is_boolean(text: Column) -> Column:
     return text.isin("True", "TRUE", "true", "False", "FALSE", "false")
 
@@ -53,14 +51,16 @@ def parse_number(text: Column) -> Column:
 def parse_date(text: Column, spelling: str) -> Column:
     """Text to timestamp in one of `DATE_SPELLING_NAMES`, null where it does not parse.
 
-    The pattern test comes first: a value which cannot match costs no failed parse.
+    Numeric spellings are rewritten to ISO, whose cast is cheap also where it fails.
     """
-    _, pattern, fmt = DATE_SPELLINGS[DATE_SPELLING_NAMES.index(spelling)]
-    if fmt is None:
+    _, mark, pattern, parts = DATE_SPELLINGS[DATE_SPELLING_NAMES.index(spelling)]
+    if parts is None:
         parsed = text.try_cast("timestamp_ntz")
+    elif parts.startswith("$"):
+        parsed = F.regexp_replace(text, pattern, parts).try_cast("timestamp_ntz")
     else:
-        parsed = F.try_to_timestamp(F.btrim(text), F.lit(fmt)).cast("timestamp_ntz")
-    return F.when(text.rlike(pattern), parsed)
+        parsed = F.try_to_timestamp(F.btrim(text), F.lit(parts)).cast("timestamp_ntz")
+    return F.when(text.contains(mark) & text.rlike(pattern), parsed)
 
 
 def missing_to_null(text: Column) -> Column:

@@ -293,38 +293,26 @@ def table_panel(df: DataFrame, order_by: Sequence[str], rows: int = TABLE_ROWS)
 def dashboard(
     df: DataFrame, charts: Sequence[Chart], scale: int | None = None
 ) -> DataFrame:
-    """Many grouped charts from one scan: long form (chart_id, label, series, value).
+    """Many grouped charts in one result: long form (chart_id, label, series, value).
 
-    The dimension lists of the charts become grouping sets of one aggregation, which also holds
-    every metric once. With two dimensions the second one names the series. Medians, which no
-    aggregation of fixed size gives, are computed apart.
+    Charts with the same dimensions share one aggregation, which reads the columns they name and no
+    others. With two dimensions the second one names the series.
     """
     known = set(df.columns)
+    shared: dict[tuple[str, ...], list[Chart]] = {}
     for c in charts:
         needed = {*c.dimensions, *[col for m in c.metrics if (col := parse_metric(m)[1])]}
         if missing := sorted(needed - known):
             raise ValueError(f"chart {c.chart_id}: no column {', '.join(missing)}")
         if not 1 <= len(c.dimensions) <= 2:
             raise ValueError(f"chart {c.chart_id}: one or two dimensions, not {len(c.dimensions)}")
-    wanted = [(c, m) for c in charts for m in (c.metrics or ("COUNT",))]
-    plain = [(c, m) for c, m in wanted if parse_metric(m)[0] != "MEDIAN"]
+        shared.setdefault(tuple(dict.fromkeys(c.dimensions)), []).append(c)
     parts = []
-    if plain:
-        dimensions = list(dict.fromkeys(d for c, _ in plain for d in c.dimensions))
-        metrics = list(dict.fromkeys(m for _, m in plain))
-        sets = list(dict.fromkeys(tuple(dict.fromkeys(c.dimensions)) for c, _ in plain))
-        result = df.groupingSets(
-            [[quoted(d) for d in s] for s in sets], *[quoted(d) for d in dimensions]
-        ).agg(F.grouping_id().alias("__set"), *[aggregate(df, m, scale) for m in metrics])
-        cells = [
-            F.when(F.col("__set") == _grouping_id(dimensions, c.dimensions), _cell(result, c, m))
-            for c, m in plain
-        ]
-        parts.append(result.select(F.explode(F.array_compact(F.array(*cells))).alias("p")).select("p.*"))
-    for c, m in wanted:
-        if (c, m) not in plain:
-            own = chart(df, list(dict.fromkeys(c.dimensions)), [m], scale)
-            parts.append(own.select(_cell(own, c, m).alias("p")).select("p.*"))
+    for dimensions, own in shared.items():
+        metrics = dict.fromkeys(m for c in own for m in (c.metrics or ("COUNT",)))
+        result = chart(df, dimensions, list(metrics), scale)
+        cells = [_cell(result, c, m) for c in own for m in (c.metrics or ("COUNT",))]
+        parts.append(result.select(F.explode(F.array(*cells)).alias("p")).select("p.*"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -338,8 +326,3 @@ def _cell(result: DataFrame, c: Chart, metric: str) -> Column:
         series.alias("series"),
         point_value(quoted(name), result.schema[name].dataType).alias("value"),
     )
-
-
-def _grouping_id(dimensions: Sequence[str], own: Sequence[str]) -> int:
-    # One bit per dimension, the first dimension highest; 1 where the dimension is folded away.
-    return sum(1 << i for i, d in enumerate(reversed(dimensions)) if d not in own)

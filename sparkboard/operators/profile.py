@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from sparkboard.functions.values import (
     DATE_SPELLING_NAMES,
     is_boolean,
-    is_integer,
     is_number,
     parse_date,
     quoted,
@@ -19,6 +18,9 @@ CATEGORICAL_BELOW = 0.5
 DIGEST_ABOVE = 64
 # The longest text which can still be a number or a date.
 LONGEST_SCALAR = 64
+BLANK_OR_SIGN = " \t\n\r+-"
+# How the texts begin which can be dates: 2024-, 2024/, 1/, 1-, 1 Jan, Jan 1.
+DATE_BEGINNING = r"^\s*(\d{4}[-/]|\d{1,2}[-/]|\d{1,2} [A-Z]|[A-Z][a-z]{2,} \d)"
 
 PROFILE_SCHEMA = T.StructType([
     T.StructField("ordinal", T.IntegerType(), False),
@@ -42,44 +44,37 @@ def profile(
 ) -> DataFrame:
     """One row per column: logical type, storage type, row count and, for text, distinct values.
 
-    Typed columns are decided by the schema and are not read. Text columns take one pass without a
-    shuffle which tells numbers and dates apart; only the columns left undecided are counted for
-    distinct values. Counts, not values, come back to the driver. `sample_rows` with `order_by`
-    tests numbers and dates on the first non-null values of each column alone.
+    Typed columns are decided by the schema and are not read. Text columns take one pass which tells
+    numbers and dates apart and shuffles one row per column and task; only the columns left
+    undecided are counted for distinct values. Counts, not values, come back to the driver.
+    `sample_rows` with `order_by` tests numbers and dates on the first non-null values of each
+    column alone.
     """
     fields = df.schema.fields
     texts = [f.name for f in fields if isinstance(f.dataType, (T.StringType, T.VarcharType))]
     counts = _scalar_counts(df, texts)
+    rows = counts[texts[0]]["rows"] if texts else df.count()
     if sample_rows is not None:
         if order_by is None:
             raise ValueError("sample_rows needs order_by, the column with the row order")
-        for i, name in enumerate(texts):
+        for name in texts:
             first = df.filter(quoted(name).isNotNull()).orderBy(quoted(order_by)).limit(sample_rows)
-            head = _scalar_counts(first.select(quoted(name)), [name])
-            counts.update({f"{k}_{i}": head[f"{k}_0"] for k in _scalar_tests(quoted(name))})
-            counts[f"tested_{i}"] = head["non_null_0"]
-    found = {}
-    for i, name in enumerate(texts):
-        own = {k.rsplit("_", 1)[0]: v for k, v in counts.items() if k.endswith(f"_{i}")}
-        found[name] = (own, *_decide(own, all_null))
-    undecided = [name for name, (_, logical, _, _) in found.items() if logical is None]
+            head = _scalar_counts(first.select(quoted(name)), [name])[name]
+            counts[name] = {**head, "tested": head["non_null"], "non_null": counts[name]["non_null"]}
+    found = {name: _decide(counts[name], all_null) for name in texts}
+    undecided = [name for name, (logical, _, _) in found.items() if logical is None]
     distinct = _distinct_counts(df, undecided, approximate)
 
-    rows = []
+    result = []
     for ordinal, field in enumerate(fields):
-        logical, target, spelling = _type_from_schema(field.dataType)
-        own_count = unique = ratio = None
-        if field.name in found:
-            own, logical, target, spelling = found[field.name]
-            own_count = own["non_null"]
-            if logical is None:
-                unique = distinct[field.name]
-                ratio = unique / own_count
-                logical = "categorical" if ratio < CATEGORICAL_BELOW else "text"
-        rows.append((
-            ordinal, field.name, logical, target, spelling, counts["rows"], own_count, unique, ratio
-        ))
-    return df.sparkSession.createDataFrame(rows, PROFILE_SCHEMA)
+        logical, target, spelling = found.get(field.name) or _type_from_schema(field.dataType)
+        non_null = counts[field.name]["non_null"] if field.name in found else None
+        unique = distinct.get(field.name)
+        ratio = None if unique is None else unique / non_null
+        if logical is None:
+            logical = "categorical" if ratio < CATEGORICAL_BELOW else "text"
+        result.append((ordinal, field.name, logical, target, spelling, rows, non_null, unique, ratio))
+    return df.sparkSession.createDataFrame(result, PROFILE_SCHEMA)
 
 
 def _type_from_schema(kind: T.DataType) -> tuple[str, str, None]:
@@ -90,30 +85,42 @@ def _type_from_schema(kind: T.DataType) -> tuple[str, str, None]:
     return "text", kind.simpleString(), None
 
 
-def _scalar_tests(text: Column) -> dict[str, Column]:
-    """Per column, what is counted over its values in the first pass."""
-    short = F.when(F.length(text) <= LONGEST_SCALAR, text)
-    number = F.when(is_number(short), F.btrim(short))
-    plain = F.when(~number.rlike("[eE]"), number)
-    tests = {
-        "number": F.count(number),
-        "plain": F.count(plain),
-        "integer": F.count_if(is_integer(short)),
-        "boolean": F.count_if(is_boolean(short)),
-        "whole": F.max(F.length(F.regexp_extract(plain, r"^[+-]?0*(\d*)", 1))),
-        "places": F.max(F.length(F.regexp_extract(plain, r"\.(\d*)$", 1))),
-    }
-    for spelling in DATE_SPELLING_NAMES:
-        tests[spelling] = F.count(parse_date(short, spelling))
-    return tests
+def _long(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """The given columns below each other: (i, value), where i counts the columns from 0."""
+    texts = df.select(*[v.alias(str(i)) for i, v in enumerate(values.values())])
+    return texts.unpivot([], texts.columns, "i", "value")
 
 
-def _scalar_counts(df: DataFrame, texts: list[str]) -> dict[str, int]:
-    wanted = [F.count(F.lit(1)).alias("rows")]
-    for i, name in enumerate(texts):
-        wanted.append(F.count(quoted(name)).alias(f"non_null_{i}"))
-        wanted += [t.alias(f"{k}_{i}") for k, t in _scalar_tests(quoted(name)).items()]
-    return df.agg(*wanted).head().asDict()
+def _scalar_counts(df: DataFrame, names: list[str]) -> dict[str, dict[str, int]]:
+    """Per text column: rows, values, and how many values are numbers or dates of each spelling."""
+    if not names:
+        return {}
+    short = F.when(F.length("value") <= LONGEST_SCALAR, F.col("value"))
+    values = (
+        _long(df, {n: quoted(n) for n in names})
+        .withColumn("short", short)
+        .withColumn("number", F.when(is_number(F.col("short")), F.btrim("short", F.lit(BLANK_OR_SIGN))))
+        # A number is no date; most other texts are told apart from dates by how they begin.
+        .withColumn("rest", F.when(F.col("number").isNull(), F.col("short")))
+        .withColumn("date_like", F.when(F.col("rest").rlike(DATE_BEGINNING), F.col("rest")))
+    )
+    number = F.col("number")
+    plain = F.when(~(number.contains("e") | number.contains("E")), number)
+    point = F.instr(plain, ".")
+    counted = values.groupBy("i").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count("value").alias("non_null"),
+        F.count(number).alias("number"),
+        F.count(plain).alias("plain"),
+        F.count_if(point == 0).alias("integer"),
+        F.count_if(is_boolean(F.col("rest"))).alias("boolean"),
+        F.max(F.when(point > 0, point - 1).otherwise(F.length(plain))).alias("whole"),
+        F.max(F.when(point > 0, F.length(plain) - point).otherwise(0)).alias("places"),
+        *[F.count(parse_date(F.col("date_like"), s)).alias(s) for s in DATE_SPELLING_NAMES],
+    )
+    by_column = {int(r["i"]): r.asDict() for r in counted.collect()}
+    nothing = dict.fromkeys(counted.columns, 0)
+    return {n: by_column.get(i, nothing) for i, n in enumerate(names)}
 
 
 def _decide(own: dict[str, int], all_null: str) -> tuple[str | None, str, str | None]:
@@ -148,11 +155,10 @@ def _distinct_counts(df: DataFrame, names: list[str], approximate: bool) -> dict
     if approximate:
         row = df.agg(*[F.approx_count_distinct(quoted(n)).alias(str(i)) for i, n in enumerate(names)])
         return dict(zip(names, row.head(), strict=True))
-    keys = df.select(*[_distinct_key(quoted(n)).alias(str(i)) for i, n in enumerate(names)])
-    long = keys.unpivot([], [str(i) for i in range(len(names))], "name", "value")
-    counted = long.groupBy("name").agg(F.count_distinct("value").alias("n")).collect()
-    unique = {r["name"]: r["n"] for r in counted}
-    return {n: unique.get(str(i), 0) for i, n in enumerate(names)}
+    keys = _long(df, {n: _distinct_key(quoted(n)) for n in names})
+    counted = keys.groupBy("i").agg(F.count_distinct("value").alias("n")).collect()
+    unique = {int(r["i"]): r["n"] for r in counted}
+    return {n: unique.get(i, 0) for i, n in enumerate(names)}
 
 
 def _distinct_key(text: Column) -> Column:

@@ -87,14 +87,17 @@ def route(questions: DataFrame, question: str = "question", columns: str = "colu
         "__number": first_number(F.col("__q")),
     })
     q = F.col("__q")
-    named = lambda c: mentions(q, c["name"])
+    working = working.withColumn(
+        "__named", F.filter(F.col(columns), lambda c: mentions(q, c["name"]))
+    )
     working = working.withColumns({
-        "__any_named": _first(F.col(columns), named),
-        "__numeric_named": _first(F.col("__numeric"), named),
-        "__categorical_named": _first(F.col("__categorical"), named),
+        "__any_named": F.get("__named", 0)["name"],
+        "__numeric_named": F.get(_of_type(F.col("__named"), "numeric"), 0)["name"],
+        "__categorical_named": F.get(_of_type(F.col("__named"), "categorical"), 0)["name"],
         "__first_datetime": F.get("__datetime", 0)["name"],
         "__date_named": _first(
-            F.col("__datetime"), lambda c: mentions(q, c["name"]) | c["name"].contains("date")
+            F.col("__datetime"),
+            lambda c: F.array_contains("__named", c) | c["name"].contains("date"),
         ),
         "__likely_metric": F.coalesce(
             *[_first(F.col("__numeric"), _holds(part)) for part in METRIC_NAME_PARTS],

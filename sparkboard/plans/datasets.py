@@ -196,8 +196,8 @@ def _text_profile_sql() -> str:
             "l_note": "l_orderkey || ' ' || l_linenumber || ' ' || strftime(l_shipdate, '%d/%m/%Y')",
         }.get(c, c)
         if c in ("l_quantity", "l_extendedprice", "l_discount"):
-            # Digits before the point (a leading 0 does not count) and after it.
-            whole = f"MAX(length(ltrim(split_part(CAST({c} AS VARCHAR), '.', 1), '0')))"
+            # Digits before the point and after it.
+            whole = f"MAX(length(split_part(CAST({c} AS VARCHAR), '.', 1)))"
             places = f"MAX(length(split_part(CAST({c} AS VARCHAR), '.', 2)))"
             target = f"'decimal(' || ({whole} + {places}) || ',' || {places} || ')'"
             row = f"'numeric' AS type, {target} AS target, CAST(NULL AS VARCHAR) AS spelling"
