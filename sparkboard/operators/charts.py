@@ -223,8 +223,10 @@ def heatmap_wide(
     values: Sequence | None = None,
     scale: int | None = None,
 ) -> DataFrame:
-    """Cross-table with one column per value of `x`; unnamed values are read from the data first."""
+    """Cross-table with one column per value of `x`; unnamed values are read from the cells first."""
     cells = heatmap(df, x, y, metric, scale)
+    if values is None:
+        cells = materialize(cells, "heatmap-cells")
     cell = F.first(metric_alias(metric))
     return cells.groupBy(y).pivot(x, list(values) if values is not None else None).agg(cell)
 

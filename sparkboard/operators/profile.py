@@ -11,6 +11,7 @@ from sparkboard.functions.values import (
     parse_date,
     quoted,
 )
+from sparkboard.sources.scratch import local_table
 
 # Fixed value: a text column is categorical while fewer than half of its values are distinct.
 CATEGORICAL_BELOW = 0.5
@@ -74,7 +75,7 @@ def profile(
         if logical is None:
             logical = "categorical" if ratio < CATEGORICAL_BELOW else "text"
         result.append((ordinal, field.name, logical, target, spelling, rows, non_null, unique, ratio))
-    return df.sparkSession.createDataFrame(result, PROFILE_SCHEMA)
+    return local_table(df.sparkSession, result, PROFILE_SCHEMA)
 
 
 def _type_from_schema(kind: T.DataType) -> tuple[str, str, None]:

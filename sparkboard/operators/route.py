@@ -198,8 +198,8 @@ def answer(df: DataFrame, columns: DataFrame, question: str, order_by: str) -> D
 
     `order_by` is the row number or key which says what the first rows are.
     """
-    one = df.sparkSession.createDataFrame([(question,)], "question string")
-    r = route(one.withColumn("columns", schema_array(columns))).head()
+    one = columns.limit(1).select(F.lit(question).alias("question"), schema_array(columns).alias("columns"))
+    r = route(one).head()
     templates = {
         "first_rows": lambda: ask.first_rows(df, order_by, r["n"]),
         "extreme_date": lambda: ask.extreme_date(df, r["dimension"], r["metric"], r["highest"]),

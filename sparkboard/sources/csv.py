@@ -8,13 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from sparkboard.functions.naming import snake_case_columns
 from sparkboard.functions.values import missing_to_null, quoted
+from sparkboard.sources.scratch import local_table, materialize
 
 ROW_NUMBER = "row_number"
 # A table of this many file blocks (path, start, shift) stays well under 100 MB in memory; a larger
 # one is joined by shuffle.
 BROADCAST_BLOCKS = 200_000
 _RECORD = "__record"
-_FILE, _BLOCK = "__file", "__block"
+# Where a row comes from: its file, the block of the file, and its place within the block.
+PLACE = ("__file", "__block", "__place")
 
 
 def read_csv(
@@ -30,6 +32,21 @@ def read_csv(
     Latin-1) and those with line breaks inside quotes. Only the latter give up splitting a file
     into many tasks. Naming both arguments skips that pass.
     """
+    rows = _read(spark, path, encoding, multiline)
+    return number_rows(place_rows(rows)) if row_number else rows.drop(*PLACE)
+
+
+def read_csv_once(
+    spark: SparkSession, path: str, encoding: str = "auto", multiline: bool | str = "auto"
+) -> DataFrame:
+    """As `read_csv` with row numbers, for a table which is looked at several times.
+
+    The files are parsed once, into a columnar table in the shared folder.
+    """
+    return number_rows(materialize(place_rows(_read(spark, path, encoding, multiline)), "csv-text"))
+
+
+def _read(spark: SparkSession, path: str, encoding: str, multiline: bool | str) -> DataFrame:
     groups = _reading_groups(spark, path, encoding, multiline)
     first_charset, first_multiline, first_paths = groups[0]
     raw = _reader(spark, first_charset, first_multiline).csv(first_paths).head(1)
@@ -37,10 +54,7 @@ def read_csv(
         raise ValueError(f"no header row in {path}")
     names = snake_case_columns(spark, list(raw[0]))
     parts = [_read_group(spark, names, *group) for group in groups]
-    table = reduce(DataFrame.unionByName, parts)
-    if row_number:
-        table = with_row_number(table, by=(_FILE, _BLOCK))
-    return table.drop(_FILE, _BLOCK)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _reading_groups(
@@ -103,49 +117,51 @@ def _read_group(
     checked = rows.filter(F.when(too_long, F.raise_error(message).cast("boolean")).otherwise(True))
     return checked.select(
         *[missing_to_null(quoted(n)).alias(n) for n in names],
-        F.col("_metadata.file_path").alias(_FILE),
-        F.col("_metadata.file_block_start").alias(_BLOCK),
+        *_file_and_block(),
     )
 
 
-def with_row_number(df: DataFrame, by: tuple[str, str] | None = None) -> DataFrame:
-    """Number the rows of a file scan from 1, in file order.
+def _file_and_block() -> list[Column]:
+    return [
+        F.col("_metadata.file_path").alias(PLACE[0]),
+        F.col("_metadata.file_block_start").alias(PLACE[1]),
+    ]
+
 
-    No row moves: each row knows its place inside its own block of the file, and a small table
-    (one row per block) holds how many rows come before that block. `by` names the columns which
-    hold file and block; a direct file scan has them as metadata.
+def with_row_number(scan: DataFrame) -> DataFrame:
+    """Number the rows of a file scan from 1, in file order."""
+    return number_rows(place_rows(scan.select("*", *_file_and_block())))
+
+
+def place_rows(df: DataFrame) -> DataFrame:
+    """Give each row its place: file, block of the file, and a number growing within the block."""
+    return df.withColumn(PLACE[2], F.monotonically_increasing_id())
+
+
+def number_rows(placed: DataFrame) -> DataFrame:
+    """Row numbers from places.
+
+    No row moves: a small table (one row per block) holds how many rows come before each block.
     """
-    if by is None:
-        by = (_FILE, _BLOCK)
-        df = df.select(
-            "*",
-            F.col("_metadata.file_path").alias(_FILE),
-            F.col("_metadata.file_block_start").alias(_BLOCK),
-        )
-        hidden = list(by)
-    else:
-        hidden = []
-    placed = df.withColumn("__place", F.monotonically_increasing_id())
-    blocks = placed.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("__rows"), F.min("__place").alias("__first")
+    file, block, place = PLACE
+    blocks = placed.groupBy(file, block).agg(
+        F.count(F.lit(1)).alias("rows"), F.min(place).alias("first")
     )
     # The table of blocks is file metadata: the driver lists the same blocks to plan the scan.
-    listed = sorted(blocks.collect(), key=lambda r: (r[by[0]], r[by[1]]))
+    listed = sorted(blocks.collect(), key=lambda r: (r[file], r[block]))
     starts, before = [], 0
-    for block in listed:
-        starts.append((block[by[0]], block[by[1]], before + 1 - block["__first"]))
-        before += block["__rows"]
-    shift = df.sparkSession.createDataFrame(
-        starts, T.StructType([
-            T.StructField(by[0], T.StringType()),
-            T.StructField(by[1], T.LongType()),
-            T.StructField("__shift", T.LongType()),
-        ])
-    )
+    for b in listed:
+        starts.append((b[file], b[block], before + 1 - b["first"]))
+        before += b["rows"]
+    shift = local_table(placed.sparkSession, starts, T.StructType([
+        T.StructField(file, T.StringType()),
+        T.StructField(block, T.LongType()),
+        T.StructField("__shift", T.LongType()),
+    ]))
     if len(starts) <= BROADCAST_BLOCKS:
         shift = F.broadcast(shift)
     return (
-        placed.join(shift, list(by), "left")
-        .withColumn(ROW_NUMBER, F.col("__place") + F.col("__shift"))
-        .drop("__place", "__shift", *hidden)
+        placed.join(shift, [file, block], "left")
+        .withColumn(ROW_NUMBER, F.col(place) + F.col("__shift"))
+        .drop(*PLACE, "__shift")
     )

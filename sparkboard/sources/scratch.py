@@ -1,11 +1,20 @@
-"""Where written intermediate tables go: the folder all executors share."""
+"""Small tables made on the driver, and written tables in the folder all executors share."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+
+def local_table(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """A small table of known rows, whose size the planner knows and can broadcast by."""
+    arrow = to_arrow_schema(schema)
+    columns = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)]
+    return spark.createDataFrame(pa.table(columns, schema=arrow), schema)
 
 
 def shared_folder(spark: SparkSession) -> str:

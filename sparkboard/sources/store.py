@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from sparkboard.functions.naming import dataset_name
 from sparkboard.functions.values import nan_to_null
 from sparkboard.operators.profile import cast_by_profile, profile
-from sparkboard.sources.csv import read_csv
+from sparkboard.sources.csv import read_csv_once
 
 COLUMNS_TYPE = "array<struct<name:string,type:string>>"
 
@@ -99,7 +99,7 @@ def upload_csv(
     multiline: bool | str = "auto",
 ) -> Upload:
     """CSV to a stored dataset: clean names, types found from all values, typed Parquet rows."""
-    text = read_csv(spark, path, encoding, multiline, row_number=True)
+    text = read_csv_once(spark, path, encoding, multiline)
     columns = profile(text.drop("row_number"), all_null="numeric")
     rows = nan_to_null(cast_by_profile(text, columns))
     write_dataset(rows, f"{store}/rows", dataset_id)
