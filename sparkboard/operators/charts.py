@@ -79,7 +79,7 @@ def medians(df: DataFrame, dimensions: Sequence[str], column: str, name: str) ->
     values = group_values(df, measure(df, column), [quoted(d) for d in dimensions])
     groups = group_columns(values)
     found = quantiles(values, (0.5,))
-    keys = [F.col(g).alias(d) for g, d in zip(groups, dimensions, strict=False)]
+    keys = [F.col(g).alias(d) for g, d in zip(groups, dimensions, strict=True)]
     return found.select(*keys, F.col("q0").alias(name))
 
 
@@ -194,8 +194,9 @@ def box(
         F.max(F.when(inside, F.col("value"))).alias("high_whisker"),
         F.count_if(~inside).alias("outliers"),
     )
-    return attach(ends, quartiles, groups).select(
-        *[F.col(g).alias(b) for g, b in zip(groups, by, strict=False)],
+    boxes = attach(ends, quartiles, groups).filter(F.col("rows").isNotNull())
+    return boxes.select(
+        *[F.col(g).alias(b) for g, b in zip(groups, by, strict=True)],
         F.col("rows").alias("n"),
         F.col("lo").alias("min"),
         "low_whisker",

@@ -24,12 +24,9 @@ METHODS = ("linear", "midpoint")
 
 
 def group_values(df: DataFrame, value: Column, by: Sequence[Column]) -> DataFrame:
-    """The group columns as `g0..` and `value` as a double; nulls and NaN are left out.
-
-    Without groups, all rows are in group 0.
-    """
-    groups = list(by) or [F.lit(0)]
-    rows = df.select(*[c.alias(f"g{i}") for i, c in enumerate(groups)], value.cast("double").alias("value"))
+    """The group columns as `g0..` and `value` as a double; nulls and NaN are left out."""
+    groups = [c.alias(f"g{i}") for i, c in enumerate(by)]
+    rows = df.select(*groups, value.cast("double").alias("value"))
     return rows.filter(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
@@ -40,8 +37,14 @@ def group_columns(values: DataFrame) -> list[str]:
 def attach(
     rows: DataFrame, per_group: DataFrame, by: Sequence[str], how: str = "inner"
 ) -> DataFrame:
-    """Add the columns of a per-group table to the rows of the group (null is a group too)."""
+    """Add the columns of a per-group table to the rows of the group (null is a group too).
+
+    Without group columns the table has at most one row, whose values are constants of the query.
+    """
     extra = [c for c in per_group.columns if c not in rows.columns]
+    if not by:
+        only = per_group.select(F.struct(*extra).alias("s")).scalar()
+        return rows.withColumn("__s", only).select(*rows.columns, *[F.col("__s")[c].alias(c) for c in extra])
     keyed = per_group.select(*[F.col(b).alias(f"__{b}") for b in by], *extra)
     same = reduce(lambda a, b: a & b, (F.col(b).eqNullSafe(F.col(f"__{b}")) for b in by))
     return rows.join(keyed, same, how).select(*rows.columns, *extra)
@@ -64,7 +67,7 @@ def quantiles(
     stats = materialize(
         values.groupBy(*by).agg(
             F.count(F.lit(1)).alias("rows"), F.min("value").alias("lo"), F.max("value").alias("hi")
-        ),
+        ).filter("rows > 0"),
         "quantile-groups",
     )
     places = [_position(p, method) for p in probabilities]
@@ -98,7 +101,20 @@ def _position(p: float, method: str) -> Column:
 
 
 def _inside(values: DataFrame, ranges: DataFrame, by: list[str]) -> DataFrame:
-    """The rows which fall into a range of their group, with its limits."""
+    """The rows which fall into a range of their group, with its limits.
+
+    The ranges of a group do not overlap. There are at most two per quantile, so that those of the
+    whole table fit into a constant.
+    """
+    if not by:
+        limits = ranges.agg(F.collect_list(F.struct("lo", "hi"))).scalar()
+        own = F.filter("__r", lambda r: F.col("value").between(r["lo"], r["hi"]))
+        return (
+            values.withColumn("__r", limits)
+            .withColumn("__own", F.get(own, 0))
+            .filter(F.col("__own").isNotNull())
+            .select("value", "__own.lo", "__own.hi")
+        )
     within = attach(values, ranges.select(*by, "lo", "hi"), by)
     return within.filter(F.col("value").between(F.col("lo"), F.col("hi")))
 

@@ -30,7 +30,7 @@ def points_of_series(lines: DataFrame) -> DataFrame:
     result = lines.groupBy("l_shipdate").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("l_linenumber").alias("lines"),
-        F.max("l_returnflag").alias("flag"),
+        F.when(F.count(F.lit(1)) > 200, "many").otherwise("few").alias("flag"),
         F.max(F.col("l_shipdate").cast("date")).alias("day"),
         F.max("l_quantity").cast("string").alias("quantity"),
     )
