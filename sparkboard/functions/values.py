@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -91,8 +92,7 @@ def quoted(name: str) -> Column:
 def measure(df: DataFrame, name: str, scale: int | None = None) -> Column:
     """The column as a number to aggregate.
 
-    Text is cast exactly and booleans count as 0/1. `scale` turns a binary double into a decimal of
-    that many places, so that a sum over any number of partitions has one result.
+    Text is cast exactly and booleans count as 0/1. `scale` makes it a decimal of that many places.
     """
     kind = df.schema[name].dataType
     value = quoted(name)
@@ -102,7 +102,63 @@ def measure(df: DataFrame, name: str, scale: int | None = None) -> Column:
         value = value.cast("int")
     elif not isinstance(kind, T.NumericType):
         raise TypeError(f"{name} is {kind.simpleString()}, not a number")
-    return value if scale is None else value.cast(T.DecimalType(18, scale))
+    return value if scale is None else value.cast(_amount(scale))
+
+
+def _amount(scale: int) -> T.DecimalType:
+    return T.DecimalType(18, scale)
+
+
+def total_of(df: DataFrame, name: str, scale: int | None = None) -> Column:
+    """The sum of a column. With `scale`, doubles are summed as decimals of that many places, so that
+    a sum over any number of partitions has one result.
+
+    Doubles are summed as whole units (cents, for two places) in two integers, the upper bits and
+    the lower 20, which is several times faster than decimals and still exact for 10^12 rows.
+    """
+    if scale is None or not isinstance(df.schema[name].dataType, T.FractionalType) or isinstance(
+        df.schema[name].dataType, T.DecimalType
+    ):
+        return F.sum(measure(df, name, scale))
+    units = _units(quoted(name).cast("double"), scale)
+    upper = F.sum(F.shiftright(units, 20)).cast("decimal(20,0)")
+    lower = F.sum(units.bitwiseAND(F.lit(2**20 - 1))).cast("decimal(20,0)")
+    whole = upper * F.lit(Decimal(2**20)) + lower
+    return (whole * F.lit(Decimal(1).scaleb(-scale))).cast(T.DecimalType(28, scale))
+
+
+def _units(value: Column, scale: int) -> Column:
+    """A double as a whole number of units of 10^-scale, rounded as its decimal text is.
+
+    Where the product is close to a whole number, that is the answer; the rest goes through decimals.
+    """
+    scaled = value * F.lit(float(10**scale))
+    nearest = F.rint(scaled)
+    clear = (F.abs(scaled - nearest) < 0.4) & (F.abs(scaled) < 1e14)
+    careful = (value.cast(_amount(scale)) * F.lit(Decimal(10**scale))).cast("bigint")
+    return F.when(clear, nearest.cast("bigint")).otherwise(careful)
+
+
+def average_of(df: DataFrame, name: str, scale: int | None = None) -> Column:
+    """The average of a column; with `scale`, of exact decimals, to four more places."""
+    if scale is None:
+        return F.avg(measure(df, name))
+    count = F.nullif(F.count(quoted(name)), F.lit(0))
+    return (total_of(df, name, scale) / count).cast(T.DecimalType(22, scale + 4))
+
+
+def smallest_of(df: DataFrame, name: str, scale: int | None = None) -> Column:
+    value = F.min(measure(df, name))
+    return value if scale is None else value.cast(_amount(scale))
+
+
+def largest_of(df: DataFrame, name: str, scale: int | None = None) -> Column:
+    value = F.max(measure(df, name))
+    return value if scale is None else value.cast(_amount(scale))
+
+
+def count_of(df: DataFrame, name: str, scale: int | None = None) -> Column:
+    return F.count(measure(df, name))
 
 
 def any_of(text: Column, words: tuple[str, ...]) -> Column:

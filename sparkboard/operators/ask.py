@@ -10,11 +10,21 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sparkboard.functions.values import measure, quoted
+from sparkboard.functions.values import (
+    average_of,
+    count_of,
+    largest_of,
+    measure,
+    quoted,
+    smallest_of,
+    total_of,
+)
 
 FIRST_ROWS_DEFAULT, FIRST_ROWS_MAX = 10, 100
 TOP_ROWS_DEFAULT = 5
-AGGREGATES = {"sum": F.sum, "avg": F.avg, "count": F.count, "min": F.min, "max": F.max}
+AGGREGATES = {
+    "sum": total_of, "avg": average_of, "count": count_of, "min": smallest_of, "max": largest_of
+}
 GRAINS = ("day", "week", "month", "quarter", "year")
 
 
@@ -33,7 +43,7 @@ def extreme_date(
 ) -> DataFrame:
     """The date whose total of the metric is highest or lowest; the earliest one of equal totals."""
     totals = df.groupBy(as_date(df, date).alias(date)).agg(
-        F.sum(measure(df, metric, scale)).alias(f"total_{metric}")
+        total_of(df, metric, scale).alias(f"total_{metric}")
     )
     return _first_by(totals, f"total_{metric}", date, highest)
 
@@ -49,7 +59,7 @@ def extreme_group(
     """The value of any dimension with the highest or lowest aggregate, together with it."""
     name = f"{aggregate}_{metric}"
     groups = df.groupBy(quoted(dimension).alias(dimension)).agg(
-        AGGREGATES[aggregate](measure(df, metric, scale)).alias(name)
+        AGGREGATES[aggregate](df, metric, scale).alias(name)
     )
     return _first_by(groups, name, dimension, highest)
 
@@ -60,7 +70,7 @@ def _first_by(groups: DataFrame, value: str, key: str, highest: bool) -> DataFra
 
 
 def total(df: DataFrame, metric: str, scale: int | None = None) -> DataFrame:
-    return df.agg(F.sum(measure(df, metric, scale)).alias(f"total_{metric}"))
+    return df.agg(total_of(df, metric, scale).alias(f"total_{metric}"))
 
 
 def distinct_count(df: DataFrame, column: str, approximate: bool = False) -> DataFrame:
@@ -74,7 +84,7 @@ def row_count(df: DataFrame) -> DataFrame:
 
 
 def average(df: DataFrame, metric: str, scale: int | None = None) -> DataFrame:
-    return df.agg(F.avg(measure(df, metric, scale)).alias(f"avg_{metric}"))
+    return df.agg(average_of(df, metric, scale).alias(f"avg_{metric}"))
 
 
 def grouped(
@@ -92,7 +102,7 @@ def groups_with_total(df: DataFrame, group: str, metric: str, scale: int | None
 def _groups(
     df: DataFrame, group: str, metric: str, aggregate: str, name: str, scale: int | None
 ) -> DataFrame:
-    value = AGGREGATES[aggregate](measure(df, metric, scale)).alias(name)
+    value = AGGREGATES[aggregate](df, metric, scale).alias(name)
     return df.groupBy(quoted(group).alias(group)).agg(value).orderBy(
         F.desc_nulls_first(name), F.asc_nulls_first(group)
     )
@@ -104,10 +114,9 @@ def top_rows(
     metric: str,
     n: int = TOP_ROWS_DEFAULT,
     tie_break: Sequence[str] = (),
-    scale: int | None = None,
 ) -> DataFrame:
     """The rows (not groups) with the largest metric. One column when both names are the same."""
-    value = measure(df, metric, scale)
+    value = measure(df, metric)
     shown = [value.alias(metric)] if column == metric else [quoted(column), value.alias(metric)]
     keys = [quoted(k) for k in (tie_break or [column])]
     hidden = [k.alias(f"__key{i}") for i, k in enumerate(keys)]
@@ -125,7 +134,7 @@ def time_series(
     moment = quoted(date) if grain is None else F.date_trunc(grain, quoted(date)).cast("date")
     return (
         df.groupBy(moment.alias(date))
-        .agg(F.sum(measure(df, metric, scale)).alias(f"total_{metric}"))
+        .agg(total_of(df, metric, scale).alias(f"total_{metric}"))
         .orderBy(F.asc_nulls_last(date))
     )
 

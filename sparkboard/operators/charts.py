@@ -9,20 +9,28 @@ from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sparkboard.functions.values import measure, quoted
+from sparkboard.functions.values import (
+    average_of,
+    largest_of,
+    measure,
+    quoted,
+    smallest_of,
+    total_of,
+)
 from sparkboard.operators.quantiles import attach, group_columns, group_values, quantiles
 from sparkboard.operators.shape import label, point_value
 from sparkboard.sources.scratch import materialize
 
+# The aggregates a metric text can name; COUNT needs no column and MEDIAN is a quantile.
 METRICS = {
-    "COUNT": F.count,
-    "SUM": F.sum,
-    "AVG": F.avg,
-    "MIN": F.min,
-    "MAX": F.max,
-    "MEDIAN": None,  # by `medians`: a quantile is no aggregate of fixed size
-    "STDDEV": F.stddev_samp,
-    "VARIANCE": F.var_samp,
+    "COUNT": None,
+    "SUM": total_of,
+    "AVG": average_of,
+    "MIN": smallest_of,
+    "MAX": largest_of,
+    "MEDIAN": None,
+    "STDDEV": lambda df, name, scale: F.stddev_samp(measure(df, name, scale)),
+    "VARIANCE": lambda df, name, scale: F.var_samp(measure(df, name, scale)),
 }
 TABLE_ROWS = 50
 
@@ -70,7 +78,7 @@ def aggregate(df: DataFrame, metric: str, scale: int | None = None) -> Column:
     if name == "COUNT":
         value = F.count(F.lit(1) if column is None else quoted(column))
     else:
-        value = METRICS[name](measure(df, column, scale))
+        value = METRICS[name](df, column, scale)
     return value.alias(metric_alias(metric))
 
 
@@ -249,12 +257,11 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def kpi_card(df: DataFrame, column: str, scale: int | None = None) -> DataFrame:
-    value = measure(df, column, scale)
     return df.agg(
-        F.sum(value).alias("primary_value"),
-        F.avg(value).alias("average"),
-        F.max(value).alias("max"),
-        F.min(value).alias("min"),
+        total_of(df, column, scale).alias("primary_value"),
+        average_of(df, column, scale).alias("average"),
+        largest_of(df, column, scale).alias("max"),
+        smallest_of(df, column, scale).alias("min"),
     )
 
 

@@ -219,13 +219,13 @@ QUERIES = {
     ),
     "top_rows": Query(
         "Q7", on("orders", lambda o: ask.top_rows(
-            o, "o_orderpriority", "o_totalprice", 10, ["o_orderkey"], scale=2)),
+            o, "o_orderpriority", "o_totalprice", 10, ["o_orderkey"])),
         """SELECT o_orderpriority, o_totalprice FROM orders
            ORDER BY o_totalprice DESC NULLS FIRST, o_orderkey LIMIT 10""",
     ),
     "top_rows_of_the_metric": Query(
         "Q7", on("lineitem", lambda li: ask.top_rows(
-            li, "l_extendedprice", "l_extendedprice", 7, ["l_orderkey", "l_linenumber"], scale=2)),
+            li, "l_extendedprice", "l_extendedprice", 7, ["l_orderkey", "l_linenumber"])),
         """SELECT l_extendedprice FROM lineitem
            ORDER BY l_extendedprice DESC NULLS FIRST, l_orderkey, l_linenumber LIMIT 7""",
     ),

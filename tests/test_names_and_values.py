@@ -89,3 +89,29 @@ def test_measure_of_text_boolean_and_date(spark):
     assert row["t"] == Decimal("1.1") and row["b"] == 1
     with pytest.raises(TypeError):
         values.measure(df, "d")
+
+
+def test_exact_sums_equal_sums_of_decimals(spark):
+    odd = [0.005, -0.005, 1.005, 2.675, 0.125, -0.125, 1e-9, -1e-9, 0.0, 99999999999.99, -12345678.915,
+           1e15 + 0.25, -9007199254740993.0, 3.3333333, None]
+    df = spark.range(4000).select(
+        (F.col("id") % 3).alias("g"),
+        F.when(F.col("id") < 3000, F.round(F.rand(7) * 2e6 - 1e6, 2)).otherwise(F.rand(8) * 10 - 5).alias("v"),
+    ).unionAll(spark.createDataFrame([(i % 3, v) for i, v in enumerate(odd)], "g long, v double"))
+    got = df.groupBy("g").agg(
+        values.total_of(df, "v", 2).alias("t"), F.sum(F.col("v").cast("decimal(18,2)")).alias("want_t"),
+        values.average_of(df, "v", 2).alias("a"), F.avg(F.col("v").cast("decimal(18,2)")).alias("want_a"),
+        values.smallest_of(df, "v", 2).alias("s"), F.min(F.col("v").cast("decimal(18,2)")).alias("want_s"),
+        values.largest_of(df, "v", 2).alias("l"), F.max(F.col("v").cast("decimal(18,2)")).alias("want_l"),
+    ).collect()
+    for r in got:
+        assert (r["t"], r["a"], r["s"], r["l"]) == (r["want_t"], r["want_a"], r["want_s"], r["want_l"])
+    nothing = df.filter("v is null")
+    row = nothing.agg(values.total_of(nothing, "v", 2), values.average_of(nothing, "v", 2)).head()
+    assert tuple(row) == (None, None)
+
+
+def test_sums_of_integers_and_decimals_keep_their_exactness(spark):
+    df = spark.createDataFrame([(1, Decimal("0.10"), 1.5), (2, Decimal("0.20"), 1.5)], "i int, d decimal(9,2), f float")
+    row = df.agg(*[values.total_of(df, c, 2).alias(c) for c in "idf"]).head()
+    assert tuple(row) == (Decimal("3.00"), Decimal("0.30"), Decimal("3.00"))
