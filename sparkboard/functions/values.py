@@ -13,7 +13,8 @@ MISSING_TEXTS = (
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
-NUMBER_PATTERN = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
+# Possessive throughout: a value which fails does so at its first odd character.
+NUMBER_PATTERN = r"^\s*+[+-]?+(?:\d++(?:\.\d*+)?+|\.\d++)(?:[eE][+-]?+\d++)?+\s*+$"
 
 # Date spellings: a text every such value holds, a pattern, and how its parts make an ISO date; None
 # where the value is one already, a format where a month is spelled out. Listed by preference:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sparkboard.functions.values import (
@@ -19,6 +22,12 @@ CATEGORICAL_BELOW = 0.5
 DIGEST_ABOVE = 64
 # The longest text which can still be a number or a date.
 LONGEST_SCALAR = 64
+# What a text value can be, one bit each: a number, one without exponent, one without a point, a
+# boolean, a date of each spelling.
+KINDS = {
+    name: 1 << i
+    for i, name in enumerate(("number", "plain", "integer", "boolean", *DATE_SPELLING_NAMES))
+}
 BLANK_OR_SIGN = " \t\n\r+-"
 # How the texts begin which can be dates: 2024-, 2024/, 1/, 1-, 1 Jan, Jan 1.
 DATE_BEGINNING = r"^\s*(\d{4}[-/]|\d{1,2}[-/]|\d{1,2} [A-Z]|[A-Z][a-z]{2,} \d)"
@@ -93,7 +102,10 @@ def _long(df: DataFrame, values: dict[str, Column]) -> DataFrame:
 
 
 def _scalar_counts(df: DataFrame, names: list[str]) -> dict[str, dict[str, int]]:
-    """Per text column: rows, values, and how many values are numbers or dates of each spelling."""
+    """Per text column: rows, values, the kinds all of its values are of, and their digits.
+
+    Each value gets a number with one bit per kind; the bits left after AND are those of the column.
+    """
     if not names:
         return {}
     short = F.when(F.length("value") <= LONGEST_SCALAR, F.col("value"))
@@ -108,16 +120,31 @@ def _scalar_counts(df: DataFrame, names: list[str]) -> dict[str, dict[str, int]]
     number = F.col("number")
     plain = F.when(~(number.contains("e") | number.contains("E")), number)
     point = F.instr(plain, ".")
-    counted = values.groupBy("i").agg(
+    dates = [
+        F.when(parse_date(F.col("date_like"), s).isNotNull(), KINDS[s]).otherwise(0)
+        for s in DATE_SPELLING_NAMES
+    ]
+    kinds = (
+        F.when(number.isNotNull(), F.when(point == 0, KINDS["number"] | KINDS["plain"] | KINDS["integer"])
+               .when(point > 0, KINDS["number"] | KINDS["plain"]).otherwise(KINDS["number"]))
+        .when(F.col("date_like").isNotNull(), reduce(add, dates))
+        .when(is_boolean(F.col("rest")), KINDS["boolean"])
+        .otherwise(0)
+    )
+    # Columns of their own: an aggregate evaluates its argument more than once.
+    tested = values.select(
+        "i",
+        "value",
+        F.when(F.col("value").isNotNull(), kinds).alias("kinds"),
+        F.when(point > 0, point - 1).otherwise(F.length(plain)).alias("whole"),
+        F.when(point > 0, F.length(plain) - point).otherwise(0).alias("places"),
+    )
+    counted = tested.groupBy("i").agg(
         F.count(F.lit(1)).alias("rows"),
         F.count("value").alias("non_null"),
-        F.count(number).alias("number"),
-        F.count(plain).alias("plain"),
-        F.count_if(point == 0).alias("integer"),
-        F.count_if(is_boolean(F.col("rest"))).alias("boolean"),
-        F.max(F.when(point > 0, point - 1).otherwise(F.length(plain))).alias("whole"),
-        F.max(F.when(point > 0, F.length(plain) - point).otherwise(0)).alias("places"),
-        *[F.count(parse_date(F.col("date_like"), s)).alias(s) for s in DATE_SPELLING_NAMES],
+        F.bit_and("kinds").alias("kinds"),
+        F.max("whole").alias("whole"),
+        F.max("places").alias("places"),
     )
     by_column = {int(r["i"]): r.asDict() for r in counted.collect()}
     nothing = dict.fromkeys(counted.columns, 0)
@@ -129,22 +156,22 @@ def _decide(own: dict[str, int], all_null: str) -> tuple[str | None, str, str |
 
     Numbers are tested before dates: a column of years is a number here.
     """
-    total = own.get("tested", own["non_null"])
-    if total == 0:
+    if own.get("tested", own["non_null"]) == 0:
         return all_null, "double" if all_null == "numeric" else "string", None
-    if own["boolean"] == total:
+    kinds = {name for name, bit in KINDS.items() if own["kinds"] & bit}
+    if "boolean" in kinds:
         return "numeric", "boolean", None
-    if own["number"] == total:
-        if own["plain"] < total:
+    if "number" in kinds:
+        if "plain" not in kinds:
             return "numeric", "double", None
-        if own["integer"] == total and own["whole"] <= 18:
+        if "integer" in kinds and own["whole"] <= 18:
             return "numeric", "bigint", None
         if own["whole"] + own["places"] <= 38:
-            whole = max(own["whole"] + own["places"], 1)
-            return "numeric", f"decimal({whole},{own['places']})", None
+            digits = max(own["whole"] + own["places"], 1)
+            return "numeric", f"decimal({digits},{own['places']})", None
         return "numeric", "double", None
     for spelling in DATE_SPELLING_NAMES:
-        if own[spelling] == total:
+        if spelling in kinds:
             return "datetime", "timestamp_ntz", spelling
     return None, "string", None
 
