@@ -19,9 +19,12 @@ from sparkboard.functions.values import (
     smallest_of,
     total_of,
 )
+from sparkboard.sources.csv import ROW_NUMBER, with_row_number
+from sparkboard.sources.scratch import materialize
 
 FIRST_ROWS_DEFAULT, FIRST_ROWS_MAX = 10, 100
 TOP_ROWS_DEFAULT = 5
+TOP_ROWS_IN_ONE_TASK = 1_000_000
 AGGREGATES = {
     "sum": total_of, "avg": average_of, "count": count_of, "min": smallest_of, "max": largest_of
 }
@@ -115,14 +118,22 @@ def top_rows(
     n: int = TOP_ROWS_DEFAULT,
     tie_break: Sequence[str] = (),
 ) -> DataFrame:
-    """The rows (not groups) with the largest metric. One column when both names are the same."""
+    """The rows (not groups) with the largest metric. One column when both names are the same.
+
+    Up to `TOP_ROWS_IN_ONE_TASK` rows are merged by one task. More are sorted over all tasks, written
+    and numbered, so that no task holds them all.
+    """
     value = measure(df, metric)
     shown = [value.alias(metric)] if column == metric else [quoted(column), value.alias(metric)]
     keys = [quoted(k) for k in (tie_break or [column])]
-    hidden = [k.alias(f"__key{i}") for i, k in enumerate(keys)]
-    order = [F.desc_nulls_first(metric), *[F.asc(f"__key{i}") for i in range(len(keys))]]
-    ranked = df.select(*shown, *hidden).orderBy(*order).limit(n)
-    return ranked.drop(*[f"__key{i}" for i in range(len(keys))])
+    hidden = [f"__key{i}" for i in range(len(keys))]
+    ranked = df.select(*shown, *[k.alias(h) for k, h in zip(keys, hidden, strict=True)]).orderBy(
+        F.desc_nulls_first(metric), *[F.asc(h) for h in hidden]
+    )
+    if n <= TOP_ROWS_IN_ONE_TASK:
+        return ranked.limit(n).drop(*hidden)
+    written = materialize(ranked.drop(*hidden), "sorted-rows")
+    return with_row_number(written).filter(F.col(ROW_NUMBER) <= n).orderBy(ROW_NUMBER).drop(ROW_NUMBER)
 
 
 def time_series(

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sparkboard.operators import advise, ask, charts, route, shape
 from sparkboard.operators.charts import Chart
 from sparkboard.operators.profile import profile
-from sparkboard.plans.common import Query, average_sql, money, on, plain, table, text_list, total_sql
+from sparkboard.plans.common import Query, average_sql, money, on, table, text_list, total_sql
 
 # --- result shaping ---------------------------------------------------------------------------
 

@@ -50,6 +50,18 @@ def test_nulls_lead_top_rows(groups):
     assert ask.top_rows(groups, "m", "m", 2).columns == ["m"]
 
 
+def test_many_top_rows_do_not_meet_in_one_task(spark, monkeypatch):
+    monkeypatch.setattr(ask, "TOP_ROWS_IN_ONE_TASK", 10)
+    df = spark.range(5000).repartition(9).select(
+        F.col("id").alias("k"), F.when(F.col("id") % 50 > 0, F.col("id") * 7919 % 1009).alias("m")
+    )
+    want = rows(df.select("k", "m").orderBy(F.desc_nulls_first("m"), "k").limit(2345))
+    got = ask.top_rows(df, "k", "m", 2345)
+    assert rows(got) == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "SinglePartition" not in plan
+
+
 def test_nulls_end_a_time_series(groups):
     series = rows(ask.time_series(groups, "d", "m"))
     assert series[0] == (dt.date(2024, 1, 1), Decimal("6.00")) and series[-1] == (None, Decimal("5.00"))
