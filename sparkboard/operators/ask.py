@@ -68,8 +68,9 @@ def extreme_group(
 
 
 def _first_by(groups: DataFrame, value: str, key: str, highest: bool) -> DataFrame:
-    order = F.desc_nulls_last if highest else F.asc_nulls_last
-    return groups.orderBy(order(value), F.asc_nulls_last(key)).limit(1)
+    total = quoted(value)
+    first = total.desc_nulls_last() if highest else total.asc_nulls_last()
+    return groups.orderBy(first, quoted(key).asc_nulls_last()).limit(1)
 
 
 def total(df: DataFrame, metric: str, scale: int | None = None) -> DataFrame:
@@ -107,7 +108,7 @@ def _groups(
 ) -> DataFrame:
     value = AGGREGATES[aggregate](df, metric, scale).alias(name)
     return df.groupBy(quoted(group).alias(group)).agg(value).orderBy(
-        F.desc_nulls_first(name), F.asc_nulls_first(group)
+        quoted(name).desc_nulls_first(), quoted(group).asc_nulls_first()
     )
 
 
@@ -128,7 +129,7 @@ def top_rows(
     keys = [quoted(k) for k in (tie_break or [column])]
     hidden = [f"__key{i}" for i in range(len(keys))]
     ranked = df.select(*shown, *[k.alias(h) for k, h in zip(keys, hidden, strict=True)]).orderBy(
-        F.desc_nulls_first(metric), *[F.asc(h) for h in hidden]
+        quoted(metric).desc_nulls_first(), *[F.asc(h) for h in hidden]
     )
     if n <= TOP_ROWS_IN_ONE_TASK:
         return ranked.limit(n).drop(*hidden)
@@ -146,7 +147,7 @@ def time_series(
     return (
         df.groupBy(moment.alias(date))
         .agg(total_of(df, metric, scale).alias(f"total_{metric}"))
-        .orderBy(F.asc_nulls_last(date))
+        .orderBy(quoted(date).asc_nulls_last())
     )
 
 

@@ -106,12 +106,12 @@ def chart(
                 result = attach(result, found, dimensions, "left")
             else:
                 result = result.withColumn(metric_alias(m), found.scalar())
-    return result.select(*dimensions, *[metric_alias(m) for m in metrics])
+    return result.select(*[quoted(c) for c in (*dimensions, *map(metric_alias, metrics))])
 
 
 def bar(df: DataFrame, x: str, metric: str | None = None, scale: int | None = None) -> DataFrame:
     """One bar per value; without a metric the dimension itself is the measure."""
-    return chart(df, [x], [metric or f"SUM({x})"], scale).orderBy(F.asc_nulls_last(x))
+    return chart(df, [x], [metric or f"SUM({x})"], scale).orderBy(quoted(x).asc_nulls_last())
 
 
 def stacked_bar(
@@ -126,7 +126,7 @@ def line(
 ) -> DataFrame:
     """Points in the order of a time or number axis; an area chart has the same data."""
     axis = quoted(x) if grain is None else F.date_trunc(grain, quoted(x)).cast("date")
-    return chart(df.withColumn(x, axis), [x], metrics, scale).orderBy(F.asc_nulls_last(x))
+    return chart(df.withColumn(x, axis), [x], metrics, scale).orderBy(quoted(x).asc_nulls_last())
 
 
 def pie(

@@ -14,6 +14,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sparkboard.functions.values import quoted
 from sparkboard.sources.scratch import materialize
 
 CELLS = 4096
@@ -41,13 +42,16 @@ def attach(
 
     Without group columns the table has at most one row, whose values are constants of the query.
     """
+    own = [quoted(c) for c in rows.columns]
     extra = [c for c in per_group.columns if c not in rows.columns]
+    added = [quoted(c) for c in extra]
     if not by:
-        only = per_group.select(F.struct(*extra).alias("s")).scalar()
-        return rows.withColumn("__s", only).select(*rows.columns, *[F.col("__s")[c].alias(c) for c in extra])
-    keyed = per_group.select(*[F.col(b).alias(f"__{b}") for b in by], *extra)
-    same = reduce(lambda a, b: a & b, (F.col(b).eqNullSafe(F.col(f"__{b}")) for b in by))
-    return rows.join(keyed, same, how).select(*rows.columns, *extra)
+        only = per_group.select(F.struct(*added).alias("s")).scalar()
+        constants = [F.col("__s")[c].alias(c) for c in extra]
+        return rows.withColumn("__s", only).select(*own, *constants)
+    keyed = per_group.select(*[quoted(b).alias(f"__{b}") for b in by], *added)
+    same = reduce(lambda a, b: a & b, (quoted(b).eqNullSafe(quoted(f"__{b}")) for b in by))
+    return rows.join(keyed, same, how).select(*own, *added)
 
 
 def quantiles(

@@ -54,10 +54,15 @@ def first_number(question: Column) -> Column:
     ))
 
 
+def _as_word(pattern: str) -> str:
+    # Only Latin letters without accents, digits and `_` make words here.
+    return rf"(?<![A-Za-z0-9_])({pattern})(?![A-Za-z0-9_])"
+
+
 def wants_raw_rows(question: Column) -> Column:
     """The stricter, word-wise test for a listing of rows."""
     q = F.lower(question)
-    return q.rlike(r"\b(list|show|display)\b") & q.rlike(r"\brows?\b")
+    return q.rlike(_as_word("list|show|display")) & q.rlike(_as_word("rows?"))
 
 
 def _first(columns: Column, keep) -> Column:

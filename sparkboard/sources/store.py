@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -91,14 +92,18 @@ def upload_csv(
     spark: SparkSession,
     path: str,
     store: str,
-    dataset_id: str,
+    dataset_id: str | None = None,
     file_name: str | None = None,
     owner: str = "anonymous",
     session_id: str | None = None,
     encoding: str = "auto",
     multiline: bool | str = "auto",
 ) -> Upload:
-    """CSV to a stored dataset: clean names, types found from all values, typed Parquet rows."""
+    """CSV to a stored dataset: clean names, types found from all values, typed Parquet rows.
+
+    Without an id the dataset gets a new one; rows are appended, so an id is used for one upload.
+    """
+    dataset_id = dataset_id or str(uuid.uuid4())
     text = read_csv_once(spark, path, encoding, multiline)
     columns = profile(text.drop("row_number"), all_null="numeric")
     rows = nan_to_null(cast_by_profile(text, columns))

@@ -1,9 +1,11 @@
 
+from decimal import Decimal
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkboard.operators import advise, charts, shape
+from sparkboard.operators import advise, ask, charts, shape
 from sparkboard.operators.charts import Chart
 from sparkboard.operators.quantiles import group_values, quantiles
 
@@ -72,6 +74,15 @@ def test_medians_in_charts(spark):
     assert charts.chart(df, [], ["MEDIAN(v)"]).head()[0] == 4.0
 
 
+def test_names_with_dots_and_blanks(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0)], "`g.x y` string, `v.w` double")
+    assert rows(charts.chart(df, ["g.x y"], ["SUM(v.w)", "MEDIAN(v.w)"])) == [("a", 4.0, 2.0)]
+    assert rows(charts.bar(df, "g.x y", "COUNT")) == [("a", 2)]
+    assert rows(ask.grouped(df, "g.x y", "v.w", scale=1)) == [("a", Decimal("4.0"))]
+    assert rows(ask.top_rows(df, "v.w", "v.w", 1)) == [(3.0,)]
+    assert rows(ask.extreme_group(df, "g.x y", "v.w", "max")) == [("a", 3.0)]
+
+
 # --- other charts -------------------------------------------------------------------------------
 
 
