@@ -17,15 +17,18 @@ def local_table(spark: SparkSession, rows: list[tuple], schema: T.StructType) ->
     return spark.createDataFrame(pa.table(columns, schema=arrow), schema)
 
 
+LOCAL_FOLDER = "sparkboard.local.folder"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder the session names; on a local session without one, a new one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(LOCAL_FOLDER, None)
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder which all executors share")
     folder = tempfile.mkdtemp(prefix="sparkboard-")
-    spark.conf.set("spark.checkpoint.dir", folder)
+    spark.conf.set(LOCAL_FOLDER, folder)
     return folder
 
 
