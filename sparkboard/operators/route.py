@@ -188,14 +188,17 @@ def route(questions: DataFrame, question: str = "question", columns: str = "colu
             plan("time_series", F.col("__first_datetime"), metric, F.lit("sum")),
         )
     )
-    routed = working.withColumn("__plan", chosen)
+    routed = working.withColumn("__plan", F.when(F.col(columns).isNotNull(), chosen))
     return routed.select(*questions.columns, "__plan.*")
 
 
 def route_by_dataset(questions: DataFrame, datasets: DataFrame, question: str = "question") -> DataFrame:
-    """Route questions on many datasets, each by the columns in its catalog record."""
+    """Route questions on many datasets, each by the columns in its catalog record.
+
+    A question on a dataset without a record fits no template.
+    """
     known = datasets.select("dataset_id", "columns")
-    return route(questions.join(known, "dataset_id"), question).drop("columns")
+    return route(questions.join(known, "dataset_id", "left"), question).drop("columns")
 
 
 def answer(df: DataFrame, columns: DataFrame, question: str, order_by: str) -> DataFrame | None:

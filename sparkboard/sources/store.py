@@ -21,16 +21,30 @@ def rows_as_json(df: DataFrame, name: str = "data") -> DataFrame:
     return df.select(document.alias(name))
 
 
+# Fixed value: the characters partition folders spell as %XX.
+ESCAPED_IN_FOLDERS = "\"#%'*/:=?\\\x7f{[]^" + "".join(map(chr, range(1, 32)))
+
+
+def _dataset_folder(path: str, dataset_id: str) -> str:
+    name = "".join(f"%{ord(c):02X}" if c in ESCAPED_IN_FOLDERS else c for c in dataset_id)
+    return f"{path}/dataset_id={name}"
+
+
 def write_dataset(df: DataFrame, path: str, dataset_id: str | Column) -> None:
-    """Append rows under their dataset id; readers of one dataset open its folder alone."""
-    value = F.lit(dataset_id) if isinstance(dataset_id, str) else dataset_id
-    df.withColumn("dataset_id", value).write.mode("append").partitionBy("dataset_id").parquet(path)
+    """Append rows under their dataset id; each dataset has a folder and a schema of its own.
+
+    A column as id writes rows of several datasets which have the same columns.
+    """
+    if isinstance(dataset_id, str):
+        df.write.mode("append").parquet(_dataset_folder(path, dataset_id))
+    else:
+        marked = df.withColumn("dataset_id", dataset_id)
+        marked.write.mode("append").partitionBy("dataset_id").parquet(path)
 
 
 def read_dataset(spark: SparkSession, path: str, dataset_id: str) -> DataFrame:
-    """The rows of one dataset."""
-    rows = spark.read.parquet(path)
-    return rows.filter(F.col("dataset_id") == F.lit(dataset_id)).drop("dataset_id")
+    """The rows of one dataset; the folders of others are not opened."""
+    return spark.read.parquet(_dataset_folder(path, dataset_id))
 
 
 def dataset_record(

@@ -173,9 +173,11 @@ def test_routes_by_the_schema_of_each_dataset(spark):
     datasets = spark.createDataFrame(
         [("a", [("price", "numeric"), ("city", "categorical")]), ("b", [("price", "text")])], kind
     )
-    questions = spark.createDataFrame([("a", "price by city"), ("b", "price by city")], "dataset_id string, question string")
-    got = {r["dataset_id"]: r["template"] for r in route.route_by_dataset(questions, datasets).collect()}
-    assert got == {"a": "grouped", "b": None}
+    asked = [("a", "price by city"), ("b", "price by city"), ("lost", "show 5 rows"), ("a", None)]
+    questions = spark.createDataFrame(asked, "dataset_id string, question string")
+    got = {(r["dataset_id"], r["question"]): r["template"]
+           for r in route.route_by_dataset(questions, datasets).collect()}
+    assert got == dict(zip(asked, ["grouped", None, None, None]))
 
 
 def test_raw_rows_test_is_by_words(spark):

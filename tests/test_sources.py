@@ -42,6 +42,21 @@ def test_each_file_has_its_own_encoding(spark, tmp_path):
     assert rows(df) == [("Ü", "1", 1), ("Ü", "2", 2), ("Ü\nÜ", "3", 3)]
 
 
+def test_header_alone(spark, tmp_path):
+    path = write(tmp_path, "a.csv", "Id,Note\n")
+    upload = store.upload_csv(spark, path, str(tmp_path / "store"))
+    assert upload.rows.count() == 0 and upload.record.head()["row_count"] == 0
+    assert [c["type"] for c in upload.record.head()["columns"]] == ["numeric", "numeric"]
+    with pytest.raises(ValueError):
+        csv.read_csv(spark, write(tmp_path, "empty.csv", ""))
+
+
+def test_carriage_returns_blank_lines_and_a_byte_order_mark(spark, tmp_path):
+    path = write(tmp_path, "a.csv", b"\xef\xbb\xbfId,x\r\n1,a\r\n\r\n2, b \r\n")
+    df = csv.read_csv(spark, path)
+    assert df.columns == ["id", "x"] and rows(df) == [("1", "a"), ("2", " b ")]
+
+
 def test_too_many_cells_fail(spark, tmp_path):
     path = write(tmp_path, "a.csv", 'a,b\n1,"x,y"\n1,2,3\n')
     with pytest.raises(Exception, match="more than 2 cells"):
@@ -103,9 +118,20 @@ def test_upload(spark, tmp_path):
     assert store.latest_of_session(catalog, "s").head()["dataset_id"] == "d2"
     assert store.latest_per_session(catalog).head()["dataset_id"] == "d2"
     assert store.lookup(catalog, "nobody").count() == 0
-    # One dataset is read from its own folder.
-    plan = store.read_dataset(spark, f"{place}/rows", "d1")._jdf.queryExecution().toString()
-    assert "PartitionFilters: [isnotnull(dataset_id" in plan
+
+
+@pytest.mark.parametrize("dataset_id", ["plain-1", "a/b: 100% [x] {y}?=*", "ö 'q'"])
+def test_datasets_of_different_columns_share_a_store(spark, tmp_path, dataset_id):
+    place = str(tmp_path / "rows")
+    store.write_dataset(spark.range(3).toDF("a"), place, dataset_id)
+    store.write_dataset(spark.createDataFrame([("x", 1.5)], "b string, c double"), place, "other")
+    assert store.read_dataset(spark, place, dataset_id).columns == ["a"]
+    assert store.read_dataset(spark, place, dataset_id).count() == 3
+    assert rows(store.read_dataset(spark, place, "other")) == [("x", 1.5)]
+    # Written by column, the folders have the same names.
+    by_column = str(tmp_path / "by_column")
+    store.write_dataset(spark.range(3).toDF("a"), by_column, F.lit(dataset_id))
+    assert store.read_dataset(spark, by_column, dataset_id).count() == 3
 
 
 def test_shared_folder_is_the_one_the_session_names(spark):
