@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sparkboard.llm import simhash
+from sparkboard.llm import bpe, langid, simhash
 from sparkboard.llm.shared import shipped
 
 
@@ -15,10 +15,40 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def tokenizer_file() -> str:
+    """The public tokenizer's file where its package is installed, on every machine; never a copy."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.encoded_digests(table(spark, folder, "documents"), tokenizer_file()).withColumnRenamed("id", "doc_id")
+
+
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))
     return found.select(F.col("id").alias("doc_id"), simhash.hexadecimal().alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_simhash,)}
+def remainder(n: int) -> Column:
+    """crc32(doc_id as text) mod n."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+def language_model(docs: DataFrame) -> langid.Model:
+    """Learned from the rows that are not held out; a null id's row is held out."""
+    return langid.train(docs.where(remainder(4) != 2))
+
+
+def op7_langid(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = langid.identified(docs, language_model(docs)).withColumnRenamed("id", "doc_id")
+    held_out = F.coalesce(remainder(4) == 2, F.lit(True))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_bpe, op3_simhash, op7_langid)
+}
 SQL: dict[str, str] = {}
