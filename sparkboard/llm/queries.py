@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sparkboard.llm import bpe, langid, simhash
+from sparkboard.llm import bpe, langid, lines, simhash
 from sparkboard.llm.shared import shipped
 
 
@@ -31,6 +31,11 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.hexadecimal().alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op4_lines(spark: SparkSession, folder: str) -> DataFrame:
+    found = lines.without_repeats(table(spark, folder, "documents"), counts="counts")
+    return found.select("doc_id", "counts.n_lines", "counts.n_removed", "text")
+
+
 def remainder(n: int) -> Column:
     """crc32(doc_id as text) mod n."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
@@ -49,6 +54,6 @@ def op7_langid(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op3_simhash, op7_langid)
+    f.__name__: f for f in (op1_bpe, op3_simhash, op4_lines, op7_langid)
 }
 SQL: dict[str, str] = {}
