@@ -21,7 +21,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, types as T
 
 from sparkboard.llm.shared import column
 
@@ -283,17 +283,28 @@ def encoded_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id"
     return rows.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def encoded(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>) per row: the tokens themselves. A null text has none."""
+def encoded(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, the columns of `keep`, n_tokens, ids array<int>, decoded_sha256) per row: the tokens themselves,
+    and the digest of what they decode to. A null text has no tokens.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(tokenizer_path)
         for batch in batches:
-            ids = [np.frombuffer(b"".join(tokenizer.encode(t.as_py() or "")), "<u4").astype(np.int32) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
-
-    rows = docs.select(column(id_col).cast("long").alias("id"), column(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, ids array<int>")
+            ids, shown = [], []
+            for t in batch.column(0):
+                blocks, decoder, digest = [], Decoder(tokenizer), hashlib.sha256()
+                for block in tokenizer.encode(t.as_py() or ""):
+                    blocks.append(block)
+                    digest.update(decoder.shown(np.frombuffer(block, "<u4")))
+                ids.append(np.frombuffer(b"".join(blocks), "<u4").astype(np.int32))
+                shown.append(digest.hexdigest())
+            made = [pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(shown, pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], [*batch.schema.names[1:], "n_tokens", "ids", "decoded_sha256"])
+
+    rows = docs.select(column(text_col).cast("string").alias("__text"), column(id_col).cast("long").alias("id"), *[column(c) for c in keep])
+    schema = T.StructType(rows.schema.fields[1:]).add("n_tokens", "long").add("ids", T.ArrayType(T.IntegerType())).add("decoded_sha256", "string")
+    return rows.mapInArrow(run, schema)
 
 
 def decoded(tokens: DataFrame, tokenizer_path: str, id_col: str = "id", ids_col: str = "ids") -> DataFrame:

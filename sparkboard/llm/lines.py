@@ -88,7 +88,7 @@ def suffixes(docs: DataFrame, id_col: str, text_col: str) -> list[tuple[int, Dat
     return levels
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_lines: int = 2) -> DataFrame:
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_lines: int = 2) -> DataFrame:
     """(d, h, runs): per document the runs (first, last) of its lines which are later copies, merged and in order.
 
     A repeated run counts if it has at least `min_lines` lines (a power of two) or is a line of at least
@@ -114,7 +114,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return runs
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_lines: int = 2, counts: str | None = None) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_lines: int = 2, counts: str | None = None) -> DataFrame:
     """The documents, later copies of repeated line runs deleted from their texts; other columns as they were.
 
     Documents are ordered by id, then by a digest of their text. Rows equal in id and text are one

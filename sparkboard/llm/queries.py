@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sparkboard.llm import bpe, langid, lines, simhash
+from sparkboard.llm import bpe, langid, lines, mixing, simhash
 from sparkboard.llm.shared import shipped
 
 
@@ -36,6 +36,21 @@ def op4_lines(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "counts.n_lines", "counts.n_removed", "text")
 
 
+#: The token shares of each margin are raised to these powers: large sources and languages give way.
+MIX_POWERS = {"source": 0.5, "lang": 0.7, "topic": 1.0}
+
+
+def margins() -> dict[str, Column]:
+    return {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.topic(F.col("text"))}
+
+
+def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    found = mixing.mixed(table(spark, folder, "documents"), margins(), MIX_POWERS)
+    return found.select(
+        "doc_id", "mix.source", "mix.lang", "mix.topic", "mix.n_tokens", F.round("mix.probability", 8).alias("probability"), "mix.kept"
+    )
+
+
 def remainder(n: int) -> Column:
     """crc32(doc_id as text) mod n."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
@@ -54,6 +69,8 @@ def op7_langid(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op3_simhash, op4_lines, op7_langid)
+    f.__name__: f for f in (op1_bpe, op3_simhash, op4_lines, op5_mixing, op7_langid)
+}
+SQL: dict[str, str] = {
+    "op5_mixing": mixing.mixed_sql({"source": "source", "lang": "lang", "topic": mixing.TOPIC_SQL}, MIX_POWERS),
 }
-SQL: dict[str, str] = {}

@@ -180,5 +180,17 @@ def near_duplicates(
     return prints.join(heads.join(lowest, "root").select("fp", "component"), "fp").select("id", "fp", "component")
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The documents of which no near-duplicate has a smaller id, all columns as they were.
+
+    Of rows with that same id one stays. Rows without an id stay: they cannot be told apart.
+    """
+    found = near_duplicates(docs, id_col, text_col, **settings)
+    kept = found.where("id = component").select(F.col("id").alias("__id"), F.col("fp").alias("__fp")).groupBy("__id").agg(F.min("__fp").alias("__fp"))
+    unnamed = docs.where(column(id_col).isNull())
+    first = docs.join(kept, column(id_col).cast("long") == F.col("__id"), "left_semi").dropDuplicates([id_col])
+    return first.unionByName(unnamed)
+
+
 def hexadecimal(fp: str = "fp"):
     return F.lpad(F.lower(F.hex(F.col(fp))), 16, "0")
