@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sparkboard.llm import bpe, langid, lines, mixing, simhash
+from sparkboard.llm import bpe, html, langid, lines, mixing, simhash, vectors
 from sparkboard.llm.shared import shipped
 
 
@@ -26,6 +26,13 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encoded_digests(table(spark, folder, "documents"), tokenizer_file()).withColumnRenamed("id", "doc_id")
 
 
+def op2_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    found = vectors.near_duplicates(table(spark, folder, "embeddings"))
+    return found.select(
+        F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept")
+    )
+
+
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))
     return found.select(F.col("id").alias("doc_id"), simhash.hexadecimal().alias("fingerprint"), F.col("component").alias("component_id"))
@@ -68,8 +75,12 @@ def op7_langid(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op10_html(spark: SparkSession, folder: str) -> DataFrame:
+    return html.extracted(table(spark, folder, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op3_simhash, op4_lines, op5_mixing, op7_langid)
+    f.__name__: f for f in (op1_bpe, op2_embeddings, op3_simhash, op4_lines, op5_mixing, op7_langid, op10_html)
 }
 SQL: dict[str, str] = {
     "op5_mixing": mixing.mixed_sql({"source": "source", "lang": "lang", "topic": mixing.TOPIC_SQL}, MIX_POWERS),
