@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sparkboard.llm import bpe, html, langid, lines, mixing, simhash, vectors
-from sparkboard.llm.shared import shipped
+from sparkboard.llm import bpe, html, langid, lines, mixing, quality, rules, simhash, stats, vectors
+from sparkboard.llm.shared import saved, shipped
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -68,6 +68,19 @@ def language_model(docs: DataFrame) -> langid.Model:
     return langid.train(docs.where(remainder(4) != 2))
 
 
+def labelled_part(labels: DataFrame) -> DataFrame:
+    """The labels that may be learned from: of rows which are not held out."""
+    return labels.where(remainder(5) != 0).withColumnRenamed("doc_id", "id")
+
+
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    counts = saved(stats.statistics(table(spark, folder, "documents")), "text-statistics")
+    model = quality.trained(*rules.labelled(counts, labelled_part(table(spark, folder, "labels")), "quality"))
+    scored = counts.select(F.col("id").alias("doc_id"), model.column().alias("score"))
+    held_out = F.coalesce(remainder(5) == 0, F.lit(True))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_langid(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     found = langid.identified(docs, language_model(docs)).withColumnRenamed("id", "doc_id")
@@ -75,12 +88,20 @@ def op7_langid(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op8_rules(spark: SparkSession, folder: str) -> DataFrame:
+    counts = saved(stats.statistics(table(spark, folder, "documents")), "text-statistics")
+    learned = rules.learned(*rules.labelled(counts, labelled_part(table(spark, folder, "labels")), "quality"))
+    return rules.judged(counts.withColumnRenamed("id", "doc_id"), learned).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 def op10_html(spark: SparkSession, folder: str) -> DataFrame:
     return html.extracted(table(spark, folder, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_embeddings, op3_simhash, op4_lines, op5_mixing, op7_langid, op10_html)
+    f.__name__: f for f in (op1_bpe, op2_embeddings, op3_simhash, op4_lines, op5_mixing, op6_quality, op7_langid, op8_rules, op10_html)
 }
 SQL: dict[str, str] = {
     "op5_mixing": mixing.mixed_sql({"source": "source", "lang": "lang", "topic": mixing.TOPIC_SQL}, MIX_POWERS),
