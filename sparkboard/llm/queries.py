@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sparkboard.llm import bpe, html, langid, lines, mixing, quality, rules, simhash, stats, vectors
+from sparkboard.llm import bpe, html, langid, licences, lines, mixing, quality, rules, simhash, stats, vectors
 from sparkboard.llm.shared import saved, shipped
 
 
@@ -96,12 +96,17 @@ def op8_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_licences(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return licences.scanned(docs, licences.trained(docs)).withColumnRenamed("id", "doc_id")
+
+
 def op10_html(spark: SparkSession, folder: str) -> DataFrame:
     return html.extracted(table(spark, folder, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_embeddings, op3_simhash, op4_lines, op5_mixing, op6_quality, op7_langid, op8_rules, op10_html)
+    f.__name__: f for f in (op1_bpe, op2_embeddings, op3_simhash, op4_lines, op5_mixing, op6_quality, op7_langid, op8_rules, op9_licences, op10_html)
 }
 SQL: dict[str, str] = {
     "op5_mixing": mixing.mixed_sql({"source": "source", "lang": "lang", "topic": mixing.TOPIC_SQL}, MIX_POWERS),
