@@ -42,7 +42,7 @@ def csv_customers(spark: SparkSession, folder: str) -> DataFrame:
 
 def csv_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Whole texts, with line breaks and quotes in them, through a CSV file."""
-    documents = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    documents = table(spark, folder, "documents")
     return read_csv(spark, _as_csv(documents, "documents-csv"))
 
 
@@ -111,7 +111,12 @@ def catalog_records(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def dataset_lookup(spark: SparkSession, folder: str) -> DataFrame:
-    return lookup(catalog(spark, folder), "documents").select("dataset_id", "row_count", "column_count")
+    # The record is stored, among others, and found again.
+    path = new_path(spark, "catalog")
+    for name in ("documents", "events"):
+        rows = table(spark, folder, name)
+        dataset_record(spark, profile(rows.select(*rows.columns)), name, name).write.mode("append").parquet(path)
+    return lookup(spark.read.parquet(path), "documents").select("dataset_id", "row_count", "column_count")
 
 
 def _type_sql(name: str) -> str:
@@ -313,7 +318,8 @@ QUERIES = {
            FROM customer""",
     ),
     "csv_documents": Query(
-        "E1", csv_documents, "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang FROM documents"
+        "E1", csv_documents, """SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang, source, CAST(n_chars AS VARCHAR) AS n_chars
+           FROM documents"""
     ),
     "uploaded_orders": Query(
         "E1 E2 E4 E7 E8 E9 E10 P1 P2", uploaded_orders,

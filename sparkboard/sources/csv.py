@@ -4,16 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from sparkboard.functions.naming import snake_case_columns
 from sparkboard.functions.values import missing_to_null, quoted
-from sparkboard.sources.scratch import local_table, materialize
+from sparkboard.sources.scratch import materialize
 
 ROW_NUMBER = "row_number"
-# A table of this many file blocks (path, start, shift) stays well under 100 MB in memory; a larger
-# one is joined by shuffle.
-BROADCAST_BLOCKS = 200_000
 _RECORD = "__record"
 # Where a row comes from: its file, the block of the file, and its place within the block.
 PLACE = ("__file", "__block", "__place")
@@ -30,10 +27,13 @@ def read_csv(
 
     With "auto", one pass over the raw lines finds the files which are not UTF-8 (they are read as
     Latin-1) and those with line breaks inside quotes. Only the latter give up splitting a file
-    into many tasks. Naming both arguments skips that pass.
+    into many tasks. Naming both arguments skips that pass for a single file. Several files may have
+    their columns in different orders, but must have the same ones. With row numbers, the files are parsed
+    once into a table, and a column of the file which would be called like the number gets another name.
     """
-    rows = _read(spark, path, encoding, multiline)
-    return number_rows(place_rows(rows)) if row_number else rows.drop(*PLACE)
+    if row_number:
+        return read_csv_once(spark, path, encoding, multiline)
+    return _read(spark, path, encoding, multiline).drop(*PLACE)
 
 
 def read_csv_once(
@@ -43,46 +43,66 @@ def read_csv_once(
 
     The files are parsed once, into a columnar table in the shared folder.
     """
-    return number_rows(materialize(place_rows(_read(spark, path, encoding, multiline)), "csv-text"))
+    rows = _read(spark, path, encoding, multiline, reserved=(ROW_NUMBER,))
+    return number_rows(materialize(place_rows(rows), "csv-text"))
 
 
-def _read(spark: SparkSession, path: str, encoding: str, multiline: bool | str) -> DataFrame:
-    groups = _reading_groups(spark, path, encoding, multiline)
-    first_charset, first_multiline, first_paths = groups[0]
-    raw = _reader(spark, first_charset, first_multiline).csv(first_paths).head(1)
-    if not raw:
-        raise ValueError(f"no header row in {path}")
-    names = snake_case_columns(spark, list(raw[0]))
-    parts = [_read_group(spark, names, *group) for group in groups]
+def _read(
+    spark: SparkSession, path: str, encoding: str, multiline: bool | str, reserved: tuple[str, ...] = ()
+) -> DataFrame:
+    parts, names = [], None
+    for charset, broken, paths in _reading_groups(spark, path, encoding, multiline):
+        raw = _reader(spark, charset, broken).csv(paths).head(1)
+        if not raw:
+            raise ValueError(f"no header row in {path}")
+        own = _kept_free(snake_case_columns(spark, list(raw[0])), reserved)
+        if names is not None and set(own) != set(names):
+            raise ValueError(f"files with different columns in {path}: {sorted(set(own) ^ set(names))}")
+        names = names or own
+        parts.append(_read_group(spark, own, charset, broken, paths))
     return reduce(DataFrame.unionByName, parts)
 
 
+def _kept_free(names: list[str], reserved: tuple[str, ...]) -> list[str]:
+    """The names, those in `reserved` with the first free number behind them."""
+    taken, result = {*names, *reserved}, []
+    for name in names:
+        if name in reserved:
+            name = next(f"{name}_{k}" for k in range(1, len(taken) + 2) if f"{name}_{k}" not in taken)
+            taken.add(name)
+        result.append(name)
+    return result
+
+
 def _reading_groups(
     spark: SparkSession, path: str, encoding: str, multiline: bool | str
 ) -> list[tuple[str, bool, list[str]]]:
-    """Files which are read alike: (charset, line breaks in quotes, paths)."""
-    if encoding != "auto" and multiline != "auto":
-        return [(encoding, bool(multiline), [path])]
+    """Files which are read alike: (charset, line breaks in quotes, paths). They have one header line."""
     lines = spark.read.text(path)
+    if encoding != "auto" and multiline != "auto" and len(lines.inputFiles()) == 1:
+        return [(encoding, bool(multiline), [path])]
+    # The first line of a file: the first row of its first block.
+    place = F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id())
     flags = (
-        lines.groupBy(F.col("_metadata.file_path").alias("file"))
+        lines.select("value", F.col("_metadata.file_path").alias("file"), place.alias("place")).groupBy("file")
         .agg(
             F.bool_or(~F.is_valid_utf8(F.col("value"))).alias("not_utf8"),
             F.bool_or(_odd_quotes(F.col("value"))).alias("open_quote"),
+            F.min_by(F.hex("value"), "place").alias("header"),
         )
         .collect()
     )
     if not flags:
         raise ValueError(f"no lines in {path}")
-    groups: dict[tuple[str, bool], list[str]] = {}
+    groups: dict[tuple[str, bool, str], list[str]] = {}
     for row in flags:
         charset = ("ISO-8859-1" if row["not_utf8"] else "UTF-8") if encoding == "auto" else encoding
         broken = row["open_quote"] if multiline == "auto" else bool(multiline)
-        groups.setdefault((charset, broken), []).append(row["file"])
+        groups.setdefault((charset, broken, row["header"]), []).append(row["file"])
     if len(groups) == 1:
-        ((charset, broken),) = groups
+        ((charset, broken, _),) = groups
         return [(charset, broken, [path])]
-    return [(charset, broken, sorted(files)) for (charset, broken), files in sorted(groups.items())]
+    return [(charset, broken, sorted(files)) for (charset, broken, _), files in sorted(groups.items())]
 
 
 def _odd_quotes(line: Column) -> Column:
@@ -128,9 +148,23 @@ def _file_and_block() -> list[Column]:
     ]
 
 
-def with_row_number(scan: DataFrame) -> DataFrame:
-    """Number the rows of a file scan from 1, in file order."""
-    return number_rows(place_rows(scan.select("*", *_file_and_block())))
+def with_row_number(scan: DataFrame, name: str = ROW_NUMBER) -> DataFrame:
+    """Number the rows of a scan of Parquet files from 1, file by file.
+
+    A row knows its place in its file, however the file is split into tasks; a table with one row per
+    file says how many rows come before. Both are read in one plan, so that they cannot disagree. Part
+    files follow their numbers, others their names.
+    """
+    if name in scan.columns:
+        raise ValueError(f"the scan has a column {name!r}; give the row number another name")
+    file, place = "__file", "__place"
+    rows = scan.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(place))
+    files = rows.groupBy(file).agg((F.max(place) + 1).alias("__rows"))
+    part = F.regexp_extract(file, r"part-([0-9]+)", 1).try_cast("bigint")
+    order = Window.orderBy(F.regexp_replace(file, r"part-[0-9]+[^/]*$", ""), part.asc_nulls_first(), file)
+    before = F.coalesce(F.sum("__rows").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = files.select(file, before.alias("__before"))
+    return rows.join(starts, file).withColumn(name, F.col(place) + 1 + F.col("__before")).drop(file, place, "__before")
 
 
 def place_rows(df: DataFrame) -> DataFrame:
@@ -139,29 +173,23 @@ def place_rows(df: DataFrame) -> DataFrame:
 
 
 def number_rows(placed: DataFrame) -> DataFrame:
-    """Row numbers from places.
+    """Row numbers from places, for a table which is written: its places are what they were.
 
-    No row moves: a small table (one row per block) holds how many rows come before each block.
+    A small table (one row per block) holds how many rows of its file come before each block, another
+    one how many come before each file.
     """
     file, block, place = PLACE
-    blocks = placed.groupBy(file, block).agg(
-        F.count(F.lit(1)).alias("rows"), F.min(place).alias("first")
+    blocks = placed.groupBy(file, block).agg(F.count(F.lit(1)).alias("__rows"), F.min(place).alias("__first"))
+    earlier = Window.partitionBy(file).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("__in_file", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)))
+    files = blocks.groupBy(file).agg(F.sum("__rows").alias("__size"))
+    before = Window.orderBy(file).rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select(file, F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__before"))
+    starts = blocks.join(files, file).select(
+        file, block, (F.col("__in_file") + F.col("__before") + 1 - F.col("__first")).alias("__shift")
     )
-    # The table of blocks is file metadata: the driver lists the same blocks to plan the scan.
-    listed = sorted(blocks.collect(), key=lambda r: (r[file], r[block]))
-    starts, before = [], 0
-    for b in listed:
-        starts.append((b[file], b[block], before + 1 - b["first"]))
-        before += b["rows"]
-    shift = local_table(placed.sparkSession, starts, T.StructType([
-        T.StructField(file, T.StringType()),
-        T.StructField(block, T.LongType()),
-        T.StructField("__shift", T.LongType()),
-    ]))
-    if len(starts) <= BROADCAST_BLOCKS:
-        shift = F.broadcast(shift)
     return (
-        placed.join(shift, [file, block], "left")
+        placed.join(starts, [file, block])
         .withColumn(ROW_NUMBER, F.col(place) + F.col("__shift"))
         .drop(*PLACE, "__shift")
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from dataclasses import dataclass
 
@@ -21,25 +22,25 @@ def rows_as_json(df: DataFrame, name: str = "data") -> DataFrame:
     return df.select(document.alias(name))
 
 
-# Fixed value: the characters partition folders spell as %XX.
-ESCAPED_IN_FOLDERS = "\"#%'*/:=?\\\x7f{[]^" + "".join(map(chr, range(1, 32)))
+_FOLDER = "__dataset"
 
 
 def _dataset_folder(path: str, dataset_id: str) -> str:
-    name = "".join(f"%{ord(c):02X}" if c in ESCAPED_IN_FOLDERS else c for c in dataset_id)
-    return f"{path}/dataset_id={name}"
+    return f"{path}/{_FOLDER}={hashlib.sha256(dataset_id.encode()).hexdigest()}"
 
 
 def write_dataset(df: DataFrame, path: str, dataset_id: str | Column) -> None:
-    """Append rows under their dataset id; each dataset has a folder and a schema of its own.
+    """Append rows under their dataset id; each dataset has a folder (a digest of its id) and a schema of its own.
 
-    A column as id writes rows of several datasets which have the same columns.
+    A column as id writes rows of several datasets which have the same columns. All columns are kept.
     """
     if isinstance(dataset_id, str):
         df.write.mode("append").parquet(_dataset_folder(path, dataset_id))
     else:
-        marked = df.withColumn("dataset_id", dataset_id)
-        marked.write.mode("append").partitionBy("dataset_id").parquet(path)
+        if _FOLDER in df.columns:
+            raise ValueError(f"a column cannot be named {_FOLDER}")
+        named = F.sha2(F.coalesce(dataset_id.cast("string"), F.raise_error(F.lit("a row without a dataset id"))), 256)
+        df.withColumn(_FOLDER, named).write.mode("append").partitionBy(_FOLDER).parquet(path)
 
 
 def read_dataset(spark: SparkSession, path: str, dataset_id: str) -> DataFrame:
@@ -54,6 +55,7 @@ def dataset_record(
     dataset_id: str,
     owner: str = "anonymous",
     session_id: str | None = None,
+    location: str | None = None,
 ) -> DataFrame:
     """The catalog record of a dataset, from its profile (`operators.profile.profile`)."""
     in_order = F.array_sort(F.collect_list(F.struct("ordinal", "name", "type")))
@@ -71,12 +73,14 @@ def dataset_record(
         "column_count",
         "columns",
         F.current_timestamp().alias("created_at"),
+        F.lit(location).cast("string").alias("location"),
     )
 
 
 def lookup(datasets: DataFrame, dataset_id: str) -> DataFrame:
-    """The record of one dataset: no row or one."""
-    return datasets.filter(F.col("dataset_id") == F.lit(dataset_id))
+    """The record of one dataset, the newest if it was uploaded again: no row or one."""
+    mine = datasets.filter(F.col("dataset_id") == F.lit(dataset_id))
+    return latest_per_session(mine, "dataset_id", "created_at", "location")
 
 
 def latest_per_session(
@@ -93,6 +97,14 @@ def latest_of_session(datasets: DataFrame, session_id: str) -> DataFrame:
     return mine.orderBy(F.desc("created_at"), F.desc("dataset_id")).limit(1)
 
 
+def read_uploaded(spark: SparkSession, store: str, dataset_id: str) -> DataFrame:
+    """The rows of an uploaded dataset, as its record says."""
+    record = lookup(spark.read.parquet(f"{store}/datasets"), dataset_id).head()
+    if record is None:
+        raise ValueError(f"no dataset {dataset_id!r} in {store}")
+    return spark.read.parquet(record["location"])
+
+
 @dataclass(frozen=True)
 class Upload:
     """What an upload leaves behind: typed rows, the profile of the columns, the catalog record."""
@@ -115,18 +127,20 @@ def upload_csv(
 ) -> Upload:
     """CSV to a stored dataset: clean names, types found from all values, typed Parquet rows.
 
-    Without an id the dataset gets a new one; rows are appended, so an id is used for one upload.
+    Without an id the dataset gets a new one. Every upload has a folder of its own, and its record is
+    what makes it count: uploaded again, an id stands for the newer rows, and an upload which failed for none.
     """
     dataset_id = dataset_id or str(uuid.uuid4())
     text = read_csv_once(spark, path, encoding, multiline)
     columns = profile(text.drop("row_number"), all_null="numeric")
     rows = nan_to_null(cast_by_profile(text, columns))
-    write_dataset(rows, f"{store}/rows", dataset_id)
+    location = f"{store.rstrip('/')}/rows/{uuid.uuid4().hex}"
+    rows.write.parquet(location)
     name = file_name or path.rstrip("/").rsplit("/", 1)[-1]
-    record = dataset_record(spark, columns, name, dataset_id, owner, session_id)
+    record = dataset_record(spark, columns, name, dataset_id, owner, session_id, location)
     record.write.mode("append").parquet(f"{store}/datasets")
     return Upload(
-        read_dataset(spark, f"{store}/rows", dataset_id),
+        spark.read.parquet(location),
         columns,
         lookup(spark.read.parquet(f"{store}/datasets"), dataset_id),
     )

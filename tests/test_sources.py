@@ -75,18 +75,62 @@ def test_row_numbers_over_many_blocks(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
     try:
         df = csv.read_csv(spark, str(tmp_path), row_number=True)
-        assert df.rdd.getNumPartitions() > 5
         assert df.count() == 20002
         assert df.filter(F.col("n").cast("long") != F.col("row_number")).count() == 0
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
-def test_row_numbers_joined_by_shuffle_above_the_broadcast_bound(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(csv, "BROADCAST_BLOCKS", 0)
-    path = write(tmp_path, "a.csv", "n\n" + "".join(f"{i}\n" for i in range(1, 1001)))
-    df = csv.read_csv(spark, path, row_number=True)
-    assert df.filter(F.col("n").cast("long") == F.col("row_number")).count() == 1000
+@pytest.mark.parametrize("setting, value", [
+    ("spark.sql.files.maxPartitionBytes", "4096"), ("spark.sql.leafNodeDefaultParallelism", "3"),
+])
+def test_row_numbers_do_not_depend_on_splits(spark, tmp_path, setting, value):
+    place = str(tmp_path / "rows")
+    spark.range(20_000).repartitionByRange(7, "id").sortWithinPartitions("id").write.option("parquet.block.size", 4096).parquet(place)
+    path = write(tmp_path, "a.csv", "n\n" + "".join(f"{i}\n" for i in range(20_000)))
+    numbered = csv.with_row_number(spark.read.parquet(place))
+    read = csv.read_csv(spark, path, row_number=True)
+    spark.conf.set(setting, value)
+    try:
+        assert numbered.filter(F.col("row_number") == F.col("id") + 1).count() == 20_000
+        assert read.filter(F.col("row_number") == F.col("n").cast("long") + 1).count() == 20_000
+    finally:
+        spark.conf.unset(setting)
+
+
+def test_columns_named_like_row_numbers_are_kept(spark, tmp_path):
+    path = write(tmp_path, "a.csv", "Row Number,x\n70,1\n80,2\n")
+    upload = store.upload_csv(spark, path, str(tmp_path / "store"), "d")
+    assert upload.record.head()["column_count"] == 2
+    assert rows(upload.rows.orderBy("row_number").select("row_number_1", "x", "row_number")) == [(70, 1, 1), (80, 2, 2)]
+    with pytest.raises(ValueError, match="row_number"):
+        csv.with_row_number(upload.rows)
+
+
+def test_files_with_columns_in_another_order_are_read_by_name(spark, tmp_path):
+    write(tmp_path, "a.csv", "x,y\n1,2\n")
+    write(tmp_path, "b.csv", "y,x\n20,10\n")
+    for kinds in ({}, {"encoding": "UTF-8", "multiline": False}):
+        assert sorted(rows(csv.read_csv(spark, str(tmp_path), **kinds).select("x", "y"))) == [("1", "2"), ("10", "20")]
+    write(tmp_path, "c.csv", "x,z\n5,6\n")
+    with pytest.raises(ValueError, match="different columns"):
+        csv.read_csv(spark, str(tmp_path))
+
+
+def test_an_upload_can_be_repeated(spark, tmp_path):
+    place = str(tmp_path / "store")
+    first = store.upload_csv(spark, write(tmp_path, "a.csv", "x\n1\n2\n"), place, "d")
+    again = store.upload_csv(spark, write(tmp_path, "b.csv", "x\n7\n8\n9\n"), place, "d")
+    catalog = spark.read.parquet(f"{place}/datasets")
+    assert store.lookup(catalog, "d").count() == 1 and store.lookup(catalog, "d").head()["row_count"] == 3
+    assert sorted(r["x"] for r in store.read_uploaded(spark, place, "d").collect()) == [7, 8, 9]
+    assert first.rows.count() == 2 and again.rows.count() == 3
+
+
+def test_a_column_named_dataset_id_is_stored(spark, tmp_path):
+    df = spark.createDataFrame([("own", 1)], "dataset_id string, x int")
+    store.write_dataset(df, str(tmp_path), F.lit("d"))
+    assert rows(store.read_dataset(spark, str(tmp_path), "d").select("dataset_id", "x")) == [("own", 1)]
 
 
 def test_rows_as_json_keeps_nulls(spark):
