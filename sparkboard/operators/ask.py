@@ -19,12 +19,13 @@ from sparkboard.functions.values import (
     smallest_of,
     total_of,
 )
-from sparkboard.sources.csv import ROW_NUMBER, with_row_number
+from sparkboard.sources.csv import with_row_number
 from sparkboard.sources.scratch import materialize
 
 FIRST_ROWS_DEFAULT, FIRST_ROWS_MAX = 10, 100
 TOP_ROWS_DEFAULT = 5
-TOP_ROWS_IN_ONE_TASK = 1_000_000
+# Rows one task may merge from all others; the result does not depend on it.
+TOP_ROWS_IN_ONE_TASK = 10_000
 AGGREGATES = {
     "sum": total_of, "avg": average_of, "count": count_of, "min": smallest_of, "max": largest_of
 }
@@ -134,7 +135,8 @@ def top_rows(
     if n <= TOP_ROWS_IN_ONE_TASK:
         return ranked.limit(n).drop(*hidden)
     written = materialize(ranked.drop(*hidden), "sorted-rows")
-    return with_row_number(written).filter(F.col(ROW_NUMBER) <= n).orderBy(ROW_NUMBER).drop(ROW_NUMBER)
+    place = "__number"
+    return with_row_number(written, place).filter(F.col(place) <= n).orderBy(place).drop(place)
 
 
 def time_series(
@@ -152,6 +154,14 @@ def time_series(
 
 
 def sql_view(df: DataFrame, statement: str, name: str = "dataset") -> DataFrame:
-    """Run a SELECT over the dataset, which the statement knows under `name`."""
-    df.createOrReplaceTempView(name)
-    return df.sparkSession.sql(statement)
+    """Run a query over the dataset, which the statement knows under `name`; nothing but a query.
+
+    The name is known while the statement is read, and no longer; a name in use is refused.
+    """
+    spark = df.sparkSession
+    spark._jsparkSession.sessionState().sqlParser().parseQuery(statement)  # fails for commands
+    df.createTempView(name)
+    try:
+        return spark.sql(statement)
+    finally:
+        spark.catalog.dropTempView(name)

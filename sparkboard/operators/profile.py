@@ -11,6 +11,7 @@ from sparkboard.functions.values import (
     DATE_SPELLING_NAMES,
     is_boolean,
     is_number,
+    or_raise,
     parse_date,
     quoted,
 )
@@ -20,8 +21,6 @@ from sparkboard.sources.scratch import local_table
 CATEGORICAL_BELOW = 0.5
 # Values longer than this are compared by digest, so that long texts do not travel whole.
 DIGEST_ABOVE = 64
-# The longest text which can still be a number or a date.
-LONGEST_SCALAR = 64
 # What a text value can be, one bit each: a number, one without exponent, one without a point, a
 # boolean, a date of each spelling.
 KINDS = {
@@ -108,13 +107,11 @@ def _scalar_counts(df: DataFrame, names: list[str]) -> dict[str, dict[str, int]]
     """
     if not names:
         return {}
-    short = F.when(F.length("value") <= LONGEST_SCALAR, F.col("value"))
     values = (
         _long(df, {n: quoted(n) for n in names})
-        .withColumn("short", short)
-        .withColumn("number", F.when(is_number(F.col("short")), F.btrim("short", F.lit(BLANK_OR_SIGN))))
+        .withColumn("number", F.when(is_number(F.col("value")), F.btrim("value", F.lit(BLANK_OR_SIGN))))
         # A number is no date; most other texts are told apart from dates by how they begin.
-        .withColumn("rest", F.when(F.col("number").isNull(), F.col("short")))
+        .withColumn("rest", F.when(F.col("number").isNull(), F.col("value")))
         .withColumn("date_like", F.when(F.col("rest").rlike(DATE_BEGINNING), F.col("rest")))
     )
     number = F.col("number")
@@ -205,8 +202,14 @@ def distinct_ratio(df: DataFrame, name: str, approximate: bool = False) -> DataF
     )
 
 
-def cast_by_profile(df: DataFrame, columns: DataFrame) -> DataFrame:
-    """Give every text column the storage type its profile found; tag it with its logical type."""
+def cast_by_profile(df: DataFrame, columns: DataFrame, on_error: str = "raise") -> DataFrame:
+    """Give every text column the storage type its profile found; tag it with its logical type.
+
+    A value which does not fit, because the profile has not seen it, fails the query, or is null on request.
+    """
+    if on_error not in ("raise", "null"):
+        raise ValueError(f"on_error is 'raise' or 'null', not {on_error!r}")
+    strict = on_error == "raise"
     wanted = {r["name"]: r for r in columns.collect()}
     result = []
     for field in df.schema:
@@ -217,9 +220,10 @@ def cast_by_profile(df: DataFrame, columns: DataFrame) -> DataFrame:
             continue
         if isinstance(field.dataType, T.StringType):
             if row["spelling"]:
-                value = parse_date(value, row["spelling"])
+                parsed = parse_date(value, row["spelling"])
+                value = or_raise(parsed, value, "date of its column") if strict else parsed
             elif row["target"] != "string":
-                value = F.btrim(value).cast(row["target"])
+                value = F.btrim(value).cast(row["target"]) if strict else F.btrim(value).try_cast(row["target"])
         result.append(value.alias(field.name, metadata={"logical_type": row["type"]}))
     return df.select(*result)
 

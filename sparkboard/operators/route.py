@@ -29,7 +29,8 @@ TREND_WORDS = ("over time", "trend", "by date", "by month")
 # Name parts which make a numeric column the likely metric, best first.
 METRIC_NAME_PARTS = ("revenue", "sales", "amount", "total", "profit")
 
-LARGEST_LIMIT = 2147483647
+# What a number beyond a long asks for: all rows.
+ALL_ROWS = 2**63 - 1
 
 
 def schema_array(columns: DataFrame) -> Column:
@@ -46,12 +47,9 @@ def mentions(question: Column, name: Column) -> Column:
 
 
 def first_number(question: Column) -> Column:
-    """The first run of digits as an integer, null without one; huge numbers become the largest."""
+    """The first run of digits as a long, null without one; what no long holds means all rows."""
     digits = F.regexp_extract(question, r"([0-9]+)", 1)
-    significant = F.regexp_replace(digits, "^0+(?=.)", "")
-    return F.when(digits != "", F.when(F.length(significant) > 9, F.lit(LARGEST_LIMIT)).otherwise(
-        significant.try_cast("int")
-    ))
+    return F.when(digits != "", F.coalesce(digits.try_cast("bigint"), F.lit(ALL_ROWS)))
 
 
 def _as_word(pattern: str) -> str:
@@ -115,7 +113,7 @@ def route(questions: DataFrame, question: str = "question", columns: str = "colu
     high = any_of(q, HIGH_WORDS)
     grouped_by = any_of(q, SUM_WORDS)
     none = F.lit(None).cast("string")
-    no_flag, no_number = F.lit(None).cast("boolean"), F.lit(None).cast("int")
+    no_flag, no_number = F.lit(None).cast("boolean"), F.lit(None).cast("bigint")
 
     def plan(template, dimension=none, value=none, aggregate=none, highest=no_flag, n=no_number):
         return F.struct(
@@ -124,7 +122,7 @@ def route(questions: DataFrame, question: str = "question", columns: str = "colu
             value.alias("metric"),
             aggregate.alias("aggregate"),
             highest.alias("highest"),
-            n.alias("n"),
+            n.cast("bigint").alias("n"),
         )
 
     shown = F.least(

@@ -18,9 +18,9 @@ QUESTION_TEXTS = (
     "'  Show ' || cast(o_custkey as string) || ' rows '",
     "'display the first rows'",
     "'list ' || cast(o_orderkey as string) || ' browsers'",
-    "'tell the date with highest o totalprice'",
-    "'which month has the lowest amount'",
-    "'what is the maximum o custkey by day'",
+    "'tell me the day o totalprice was highest'",
+    "'in which year was the lowest amount taken'",
+    "'at what time was o custkey at its maximum'",
     "'what is the total o totalprice'",
     "'total o totalprice by o orderpriority'",
     "'sum of o custkey and o totalprice'",
@@ -32,7 +32,7 @@ QUESTION_TEXTS = (
     "'o totalprice by o orderstatus'",
     "'sum o totalprice by o orderpriority'",
     "'AVG price by o orderpriority of o custkey'",
-    "'top ' || cast(o_custkey as string) || ' o orderkey by o totalprice'",
+    "'top ' || cast(o_custkey as string) || '000000' || ' o orderkey by o totalprice'",
     "'best o totalprice'",
     "'list all o orderpriority with o totalprice'",
     "'o totalprice over time'",
@@ -106,9 +106,8 @@ def routing_sql(
         SELECT {keys}, q, {_first(every)} AS any_named, {_first(numeric)} AS metric_named,
             {category} AS category_named,
             CASE WHEN NOT regexp_matches(q, '[0-9]') THEN NULL
-                 WHEN length({digits}) > 9 THEN 2147483647
                  WHEN {digits} = '' THEN 0
-                 ELSE CAST({digits} AS INTEGER) END AS number
+                 ELSE coalesce(TRY_CAST({digits} AS BIGINT), 9223372036854775807) END AS number
         FROM words
     ), chosen AS (
         SELECT *, CASE
@@ -147,7 +146,7 @@ def routing_sql(
         CASE WHEN template = 'extreme_date' THEN {_any(('highest', 'max'))} END AS highest,
         CAST(CASE WHEN template = 'first_rows' THEN least(greatest(coalesce(number, 10), 1), 100)
              WHEN template = 'extreme_date' THEN 1
-             WHEN template = 'top_rows' THEN coalesce(number, 5) END AS INTEGER) AS n
+             WHEN template = 'top_rows' THEN coalesce(number, 5) END AS BIGINT) AS n
     FROM chosen
     """
 
@@ -255,7 +254,7 @@ QUERIES = {
             """SELECT l_returnflag AS flag, l_linestatus AS status, COUNT(*) AS n,
                       SUM(CAST(l_quantity AS DECIMAL(18,2))) AS quantity
                FROM dataset WHERE l_discount > 0.02 GROUP BY l_returnflag, l_linestatus
-               ORDER BY quantity DESC LIMIT 100""")),
+               ORDER BY quantity DESC""")),
         f"""SELECT l_returnflag AS flag, l_linestatus AS status, COUNT(*) AS n,
                 {total_sql('l_quantity')} AS quantity
             FROM lineitem WHERE l_discount > 0.02 GROUP BY 1, 2""",
@@ -277,8 +276,8 @@ QUERIES = {
             SELECT regexp_matches(q, '\\b(list|show|display)\\b') AND regexp_matches(q, '\\brows?\\b')
                     AS raw_rows,
                 CASE WHEN NOT regexp_matches(q, '[0-9]') THEN NULL
-                     WHEN length(digits) > 9 THEN 2147483647
-                     WHEN digits = '' THEN 0 ELSE CAST(digits AS INTEGER) END AS number,
+                     WHEN digits = '' THEN 0
+                     ELSE coalesce(TRY_CAST(digits AS BIGINT), 9223372036854775807) END AS number,
                 contains(q, 'o totalprice') AS names_price, COUNT(*) AS n
             FROM read GROUP BY 1, 2, 3""",
     ),

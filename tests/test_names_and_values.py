@@ -71,13 +71,40 @@ def test_parse_date(spark, spelling, text, expected):
 def test_typed_raises_or_gives_null(spark):
     df = spark.createDataFrame([("12.50",), ("x",)], "t string")
     got = [r[0] for r in df.select(values.typed(F.col("t"), "numeric", "null")).collect()]
-    assert got == [Decimal("12.5"), None]
-    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+    assert got == [12.5, None]
+    with pytest.raises(Exception, match="not a number: 'x'"):
         df.select(values.typed(F.col("t"), "numeric")).collect()
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
         df.select(values.typed(F.col("t"), "datetime")).collect()
 
 
+def test_typed_numbers_keep_their_digits(spark):
+    texts = ["0.123456789012345", "1e-12", "1e30", " 7 "]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(values.typed(F.col("t"), "numeric")).collect()] == [float(t) for t in texts]
+
+
+def test_times_with_an_offset_are_read_as_utc(spark):
+    texts = ["2024-01-01T00:00:00+05:00", "2024-01-01T00:00:00Z", "2024-01-01 00:00:00", "2023-12-31T21:30:00.5-02:30"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(values.parse_date(F.col("t"), "iso")).collect()] == [
+        dt.datetime(2023, 12, 31, 19), dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 1, 0, 0, 0, 500000)
+    ]
+
+
+def test_amounts_leave_out_nan_and_infinity(spark):
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (float("inf"),), (2.0,), (None,)], "x double")
+    got = df.agg(*[f(df, "x", 2) for f in (values.total_of, values.average_of, values.smallest_of, values.largest_of)]).head()
+    assert [float(v) for v in got] == [3.0, 1.5, 1.0, 2.0]
+
+
+def test_large_amounts_are_summed_exactly(spark):
+    df = spark.range(3000).select(F.lit(-9.9e15).alias("x"), (F.lit(9.9e15) + F.col("id")).alias("y"))
+    assert df.agg(values.total_of(df, "x", 2)).head()[0] == Decimal("-9.9e15") * 3000
+    many = spark.range(20_000_000).select(F.lit(9.9e15).alias("x"))
+    assert many.agg(values.total_of(many, "x", 2)).head()[0] == Decimal("9.9e15") * 20_000_000
+
+
 def test_nan_to_null(spark):
     df = spark.createDataFrame([(float("nan"), 1), (2.0, None), (None, 3)], "x double, y int")
     assert [tuple(r) for r in values.nan_to_null(df).collect()] == [(None, 1), (2.0, None), (None, 3)]
@@ -86,7 +113,7 @@ def test_nan_to_null(spark):
 def test_measure_of_text_boolean_and_date(spark):
     df = spark.createDataFrame([("1.10", True, dt.date(2024, 1, 1))], "t string, b boolean, d date")
     row = df.select(values.measure(df, "t").alias("t"), values.measure(df, "b").alias("b")).head()
-    assert row["t"] == Decimal("1.1") and row["b"] == 1
+    assert row["t"] == 1.1 and row["b"] == 1
     with pytest.raises(TypeError):
         values.measure(df, "d")
 

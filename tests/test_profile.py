@@ -52,6 +52,19 @@ def test_sample_sees_only_the_first_values(spark):
         profile(df, sample_rows=100)
 
 
+def test_long_texts_are_numbers_and_dates_too(spark):
+    df = spark.createDataFrame([(" " * 70 + "12", "0" * 66 + "7", "2024-01-02T00:00:00." + "0" * 60)], "a string, b string, c string")
+    assert {n: t[0] for n, t in types(df).items()} == {"a": "numeric", "b": "numeric", "c": "datetime"}
+
+
+def test_a_cast_does_not_lose_values_in_silence(spark):
+    df = spark.createDataFrame([(i, "2024-01-01" if i < 5 else "soon") for i in range(8)], "n long, d string")
+    found = profile(df, sample_rows=5, order_by="n")
+    with pytest.raises(Exception, match="not a date of its column: 'soon'"):
+        cast_by_profile(df, found).collect()
+    assert cast_by_profile(df, found, on_error="null").where("d is null").count() == 3
+
+
 def test_typed_columns_follow_the_schema(spark):
     df = spark.sql("select 1 a, 1.5d b, true c, date'2024-01-01' d, timestamp'2024-01-01' e, array(1) f")
     got = {n: t[0] for n, t in types(df).items()}
