@@ -31,14 +31,13 @@ def _fill(text: str, part: Column) -> Column:
 
 def column_types(names: Column, columns: Column) -> Column:
     """The logical types of the distinct names, in their order; `unknown` for a foreign name."""
-    known = F.map_from_entries(
-        F.transform(columns, lambda c: F.struct(c["name"].alias("key"), c["type"].alias("value")))
-    )
+    # Of a repeated name the last one counts.
+    def type_of(name: Column) -> Column:
+        return F.try_element_at(F.filter(columns, lambda c: c["name"] == name), F.lit(-1))["type"]
+
     return F.transform(
         F.array_distinct(names),
-        lambda n: F.struct(
-            n.alias("name"), F.coalesce(F.try_element_at(known, n), F.lit(UNKNOWN)).alias("type")
-        ),
+        lambda n: F.struct(n.alias("name"), F.coalesce(type_of(n), F.lit(UNKNOWN)).alias("type")),
     )
 
 

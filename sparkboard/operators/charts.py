@@ -17,6 +17,7 @@ from sparkboard.functions.values import (
     smallest_of,
     total_of,
 )
+from sparkboard.operators.ask import GRAINS
 from sparkboard.operators.quantiles import attach, group_columns, group_values, quantiles
 from sparkboard.operators.shape import label, point_value
 from sparkboard.sources.scratch import materialize
@@ -124,21 +125,49 @@ def stacked_bar(
 def line(
     df: DataFrame, x: str, metrics: Sequence[str], grain: str | None = None, scale: int | None = None
 ) -> DataFrame:
-    """Points in the order of a time or number axis; an area chart has the same data."""
-    axis = quoted(x) if grain is None else F.date_trunc(grain, quoted(x)).cast("date")
-    return chart(df.withColumn(x, axis), [x], metrics, scale).orderBy(quoted(x).asc_nulls_last())
+    """Points in the order of a time or number axis; an area chart has the same data.
+
+    `grain` groups by hour (points are times) or by day, week, month, quarter, year (points are dates).
+    """
+    axis = quoted(x) if grain is None else period_of(quoted(x), grain)
+    # The axis is one of the metrics' columns at times: it gets a name of its own.
+    own = _free("axis", df.columns)
+    points = chart(df.withColumn(own, axis), [own], metrics, scale)
+    return points.withColumnRenamed(own, x).orderBy(quoted(x).asc_nulls_last())
+
+
+def period_of(moment: Column, grain: str) -> Column:
+    if grain not in (*GRAINS, "hour"):
+        raise ValueError(f"grain is hour or one of {GRAINS}, not {grain!r}")
+    start = F.date_trunc(grain, moment)
+    return start if grain == "hour" else start.cast("date")
+
+
+def _free(name: str, taken: Sequence[str]) -> str:
+    """A column name nobody uses."""
+    name = f"__{name}"
+    while name in taken:
+        name += "_"
+    return name
 
 
 def pie(
     df: DataFrame, name: str, metric: str | None = None, scale: int | None = None
 ) -> DataFrame:
     """Slices and their share of the whole; a slice of 0 or null falls back to its row count."""
-    counted = ["COUNT"] if metric is None else [metric, "COUNT"]
-    groups = chart(df, [name], dict.fromkeys(counted), scale)
-    value = F.nullif(F.col(metric_alias(counted[0])).cast("double"), F.lit(0.0))
-    slices = groups.select(
-        label(quoted(name)).alias("label"),
-        F.coalesce(value, F.nullif("count", F.lit(0)).cast("double"), F.lit(1.0)).alias("value"),
+    own, rows = _free("slice", df.columns), _free("rows", df.columns)
+    counts = df.groupBy(quoted(name).alias(own)).agg(F.count(F.lit(1)).alias(rows))
+    value = F.lit(None).cast("double")
+    if metric is not None:
+        value = F.nullif(quoted(metric_alias(metric)).cast("double"), F.lit(0.0))
+        if parse_metric(metric)[0] == "MEDIAN":
+            groups = chart(df.withColumn(own, quoted(name)), [own], [metric], scale)
+            counts = attach(counts, groups, [own], "left")
+        else:
+            counts = df.groupBy(quoted(name).alias(own)).agg(F.count(F.lit(1)).alias(rows), aggregate(df, metric, scale))
+    slices = counts.select(
+        label(quoted(own)).alias("label"),
+        F.coalesce(value, F.nullif(quoted(rows), F.lit(0)).cast("double"), F.lit(1.0)).alias("value"),
     )
     # The total comes from the slices, one row each, not from a second look at the data.
     whole = slices.agg(F.sum("value")).scalar()
@@ -157,8 +186,13 @@ def scatter(
 
 
 def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
-    """Equal-width bins from the smallest to the largest value; empty bins are shown with 0."""
-    values = df.select(measure(df, column).cast("double").alias("v")).filter("v is not null")
+    """Equal-width bins from the smallest to the largest value; empty bins are shown with 0.
+
+    NaN and infinities have no place on the axis and are left out.
+    """
+    values = df.select(measure(df, column).cast("double").alias("v")).filter(
+        F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < float("inf"))
+    )
     limits = values.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi")).alias("s")).scalar()
     placed = values.withColumn("s", limits).select("v", "s.lo", "s.hi")
     width = (F.col("hi") - F.col("lo")) / bins
@@ -277,10 +311,11 @@ def kpi_change(
 
     Only one row per period (and group) is left when the window looks back.
     """
-    period = F.date_trunc(grain, quoted(date)).cast("date")
-    name = metric_alias(metric)
-    periods = chart(df.withColumn("period", period), [*by, "period"], [metric], scale)
-    periods = periods.withColumnRenamed(name, "value")
+    if clash := {"period", "value", "previous_value", "change", "change_type"} & set(by):
+        raise ValueError(f"the result has columns of its own named {sorted(clash)}; rename those of the groups")
+    own, value = _free("period", df.columns), metric_alias(metric)
+    periods = chart(df.withColumn(own, period_of(quoted(date), grain)), [*by, own], [metric], scale)
+    periods = periods.select(*[quoted(b) for b in by], quoted(own).alias("period"), quoted(value).alias("value"))
     before = Window.partitionBy(*[quoted(b) for b in by]).orderBy("period")
     change = F.col("value") - F.col("previous_value")
     return (

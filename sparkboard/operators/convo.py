@@ -83,16 +83,29 @@ def title_of(message: Column) -> Column:
 
 def session_titles(
     messages: DataFrame, session: str = "session_id", created: str = "created_at",
-    content: str = "content", role: str = "role",
+    content: str = "content", role: str = "role", id: str | None = None,
 ) -> DataFrame:
     """The title of every session, from its first message by the user.
 
+    Of messages of one time the one with the smallest id (without ids: the smallest title) counts.
+
     Titles are made before the first message is chosen, so that only short texts are aggregated.
     """
     asked = messages.filter(F.col(role) == "user").select(
-        session, created, title_of(F.col(content)).alias("title")
+        session, created, title_of(F.col(content)).alias("title"), F.col(id or content).alias("__id")
     )
-    return asked.groupBy(session).agg(F.min_by("title", created).alias("title"))
+    first = F.struct(F.col(created), F.col("__id")) if id else F.struct(F.col(created), F.col("title"))
+    return asked.groupBy(session).agg(F.min_by("title", first).alias("title"))
+
+
+def rename_sessions(sessions: DataFrame, titles: DataFrame, id: str = "id", updated: str | None = "updated_at") -> DataFrame:
+    """Sessions with the new titles of (id, title); with `updated`, they count as changed now."""
+    new = titles.groupBy(F.col(id).alias("__of")).agg(F.max("title").alias("__title"))
+    joined = sessions.join(new, sessions[id] == new["__of"], "left")
+    changed = {"title": F.coalesce("__title", "title")}
+    if updated:
+        changed[updated] = F.when(F.col("__title").isNotNull(), F.current_timestamp()).otherwise(F.col(updated))
+    return joined.withColumns(changed).select(*sessions.columns)
 
 
 def delete_sessions(
@@ -117,10 +130,12 @@ def dashboard_flags(
 
 
 def first_dashboards(
-    messages: DataFrame, payload: Column, session: str = "session_id", created: str = "created_at"
+    messages: DataFrame, payload: Column, session: str = "session_id", created: str = "created_at",
+    id: str | None = None,
 ) -> DataFrame:
-    """The first dashboard payload of every session which has one."""
-    held = messages.select(session, created, payload.alias("dashboard_data")).filter(
-        F.col("dashboard_data").isNotNull()
-    )
-    return held.groupBy(session).agg(F.min_by("dashboard_data", created).alias("dashboard_data"))
+    """The first dashboard payload of every session which has one; of one time, the one with the smallest id."""
+    held = messages.select(
+        session, created, payload.alias("dashboard_data"), (F.col(id) if id else payload).alias("__id")
+    ).filter(F.col("dashboard_data").isNotNull())
+    first = F.struct(created, "__id")
+    return held.groupBy(session).agg(F.min_by("dashboard_data", first).alias("dashboard_data"))

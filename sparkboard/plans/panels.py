@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkboard.operators import advise, ask, charts, route, shape
+from sparkboard.operators import advise, ask, charts, dashboards as boards, route, shape
 from sparkboard.operators.charts import Chart
 from sparkboard.operators.profile import profile
 from sparkboard.plans.common import Query, average_sql, money, on, table, text_list, total_sql
@@ -196,6 +196,70 @@ def dashboards(spark: SparkSession, folder: str) -> DataFrame:
     return shape.dashboard_summary(specs.withColumn("status", status), "p_brand")
 
 
+BOARD = (
+    Chart("flags", "bar", ("l_returnflag",), ("SUM(l_extendedprice)", "COUNT")),
+    Chart("cells", "bar", ("l_returnflag", "l_linestatus"), ("SUM(l_quantity)",)),
+    Chart("slices", "PIE", ("l_linestatus",)),
+    Chart("days", "line", ("l_shipdate",), ("SUM(l_quantity)",)),
+    Chart("spread", "histogram", ("l_quantity",)),
+    Chart("pairs", "correlation", (), ("l_quantity", "l_discount")),
+    Chart("whole", "kpi", (), ("SUM(l_quantity)", "COUNT", "MAX(l_discount)")),
+    Chart("middle", "kpi", (), ("MEDIAN(l_extendedprice)",)),
+    Chart("no axis", "area", (), ("COUNT",)),
+    Chart("no number", "pie", ("l_returnflag",), ("l_linestatus",)),
+    Chart("no column", "pie", ("ghost",), ("COUNT",)),
+    Chart("no such type", "radar", ("l_returnflag",), ("COUNT",)),
+)
+
+
+def board(spark: SparkSession, folder: str) -> boards.Dashboard:
+    """A dashboard over line items: charts that are drawn, corrected, skipped and failed."""
+    lines = table(spark, folder, "lineitem")
+    return boards.dashboard(lines, profile(lines), BOARD, 2)
+
+
+def board_points(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(board(spark, folder).points, 6, "value")
+
+
+def board_summary(spark: SparkSession, folder: str) -> DataFrame:
+    return shape.dashboard_summary(board(spark, folder).status)
+
+
+BOARD_POINTS_SQL = f"""
+    WITH limits AS (SELECT MIN(l_quantity) AS lo, (MAX(l_quantity) - MIN(l_quantity)) / 20 AS w FROM lineitem),
+    points AS (
+        SELECT 'flags' AS chart_id, l_returnflag AS label, 'sum_l_extendedprice' AS series,
+            {total_sql('l_extendedprice')} AS value FROM lineitem GROUP BY 2
+        UNION ALL SELECT 'flags', l_returnflag, 'count', COUNT(*) FROM lineitem GROUP BY 2
+        UNION ALL SELECT 'cells', l_returnflag, l_linestatus, {total_sql('l_quantity')} FROM lineitem GROUP BY 2, 3
+        UNION ALL SELECT 'slices', l_linestatus, 'share', COUNT(*) FROM lineitem GROUP BY 2
+        UNION ALL SELECT 'days', CAST(l_shipdate AS VARCHAR), 'sum_l_quantity', {total_sql('l_quantity')} FROM lineitem GROUP BY 2
+        UNION ALL SELECT 'spread', CAST(b AS VARCHAR), 'n', COUNT(l_quantity)
+            FROM range(20) AS bins(b) LEFT JOIN (
+                SELECT l_quantity, least(CAST(floor((l_quantity - lo) / w) AS INTEGER), 19) AS slot FROM lineitem, limits
+            ) AS placed ON slot = b GROUP BY 2
+        UNION ALL SELECT 'pairs', x, y, CASE WHEN x = y THEN 1.0 ELSE c END FROM
+            (SELECT corr(l_quantity, l_discount) AS c FROM lineitem) AS found,
+            (VALUES ('l_quantity'), ('l_discount')) AS left_one(x), (VALUES ('l_quantity'), ('l_discount')) AS right_one(y)
+        UNION ALL SELECT 'whole', 'sum_l_quantity', 'sum_l_quantity', {total_sql('l_quantity')} FROM lineitem
+        UNION ALL SELECT 'whole', 'count', 'count', COUNT(*) FROM lineitem
+        UNION ALL SELECT 'whole', 'max_l_discount', 'max_l_discount', MAX(l_discount) FROM lineitem
+        UNION ALL SELECT 'middle', 'median_l_extendedprice', 'median_l_extendedprice', median(l_extendedprice) FROM lineitem
+    )
+    SELECT chart_id, label, series, round(CAST(value AS DOUBLE), 6) AS value FROM points
+"""
+BOARD_STATUS_SQL = """
+    SELECT * FROM (VALUES
+        ('flags', 'bar', 'bar', 'success'), ('cells', 'bar', 'heatmap', 'success'), ('slices', 'PIE', 'pie', 'success'),
+        ('days', 'line', 'line', 'success'), ('spread', 'histogram', 'histogram', 'success'),
+        ('pairs', 'correlation', 'correlation', 'success'), ('whole', 'kpi', 'kpi', 'success'), ('middle', 'kpi', 'kpi', 'success'),
+        ('no axis', 'area', 'area', 'skipped'), ('no number', 'pie', 'pie', 'skipped'),
+        ('no column', 'pie', 'pie', 'failed'), ('no such type', 'radar', 'radar', 'failed')
+    ) AS t(chart_id, chart_type, corrected_type, status)
+"""
+
+
 def metric_columns(spark: SparkSession, folder: str) -> DataFrame:
     """The columns metrics are about, over all specifications."""
     metrics = chart_specs(spark, folder).select(F.explode("metrics").alias("metric"))
@@ -256,6 +320,21 @@ SPECS_SQL = f"""
 """
 
 QUERIES = {
+    "dashboard_points": Query("C1 R3 R6", board_points, BOARD_POINTS_SQL),
+    "dashboard_status": Query(
+        "C1 A1 R6 R7", lambda spark, folder: board(spark, folder).status.select(
+            "chart_id", "chart_type", "corrected_type", "status", "row_count"),
+        f"""SELECT s.*, n AS row_count FROM ({BOARD_STATUS_SQL}) AS s LEFT JOIN (
+                SELECT chart_id, COUNT(*) AS n FROM ({BOARD_POINTS_SQL}) AS p GROUP BY 1) AS c USING (chart_id)""",
+    ),
+    "dashboard_outcome": Query(
+        "R6", board_summary,
+        f"""SELECT COUNT(*) AS total_charts, COUNT(CASE WHEN status = 'success' THEN 1 END) AS successful_charts,
+                COUNT(CASE WHEN status = 'skipped' THEN 1 END) AS skipped_charts,
+                COUNT(CASE WHEN status = 'failed' THEN 1 END) AS failed_charts,
+                COUNT(CASE WHEN status = 'success' THEN 1 END) < 6 AS too_few
+            FROM ({BOARD_STATUS_SQL}) AS s, (SELECT 1 FROM lineitem LIMIT 1) AS any_line""",
+    ),
     "points_of_groups": Query(
         "R1 R2", on("orders", points_of_groups),
         f"""SELECT CASE WHEN o_custkey % 10 = 0 THEN 'Unknown' ELSE CAST(o_custkey AS VARCHAR) END AS label,

@@ -5,8 +5,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkboard.operators import advise, ask, charts, shape
+from sparkboard.operators import advise, ask, charts, dashboards, shape
 from sparkboard.operators.charts import Chart
+from sparkboard.operators.profile import profile
 from sparkboard.operators.quantiles import group_values, quantiles
 
 
@@ -161,6 +162,52 @@ def test_wide_heatmap(spark):
     assert charts.heatmap_wide(df, "p", "q", values=["b"]).columns == ["q", "b"]
 
 
+def test_histogram_leaves_out_what_has_no_place(spark):
+    df = spark.createDataFrame([(float(v),) for v in (0, 1, 2, 3, "nan", "inf", "-inf")], "x double")
+    assert [r["n"] for r in charts.histogram(df, "x", 4).orderBy("bin").collect()] == [1, 1, 1, 1]
+
+
+def test_hours_are_a_grain(spark):
+    df = spark.sql("select timestamp'2024-01-01 10:05:00' t, 1 x union all select timestamp'2024-01-01 10:55:00', 2 union all select timestamp'2024-01-01 11:00:00', 4")
+    assert [r["sum_x"] for r in charts.line(df, "t", ["SUM(x)"], "hour").collect()] == [3, 4]
+    got = charts.kpi_change(df, "t", "SUM(x)", "hour").orderBy("period").collect()
+    assert [(r["value"], r["change"]) for r in got] == [(3, None), (4, 1)]
+    with pytest.raises(ValueError, match="grain"):
+        charts.line(df, "t", ["SUM(x)"], "minute")
+
+
+def test_columns_may_be_named_like_results(spark):
+    df = spark.createDataFrame([("a", 1, "2024-01-05", 5), ("b", 2, "2024-02-05", 6)], "count string, value int, period string, slice int")
+    assert sorted(r["value"] for r in charts.pie(df, "count").collect()) == [1.0, 1.0]
+    assert sorted(r["value"] for r in charts.pie(df, "count", "SUM(value)").collect()) == [1.0, 2.0]
+    assert sorted(r["value"] for r in charts.pie(df, "count", "MEDIAN(slice)").collect()) == [5.0, 6.0]
+    got = charts.kpi_change(df, "period", "SUM(value)", "month").orderBy("period").collect()
+    assert [(r["value"], r["previous_value"]) for r in got] == [(1, None), (2, 1)]
+
+
+def test_dashboard_of_every_type(spark):
+    df = spark.createDataFrame([(k % 3, f"g{k % 2}", float(k), k) for k in range(30)], "a int, g string, x double, k int")
+    specs = [
+        Chart("bar", "bar", ("g",), ("SUM(x)",)), Chart("two", "bar", ("g", "a")), Chart("line", "line", ("k",), ("MAX(x)",)),
+        Chart("pie", "pie", ("g",)), Chart("hist", "histogram", ("x",)), Chart("box", "box", ("g",), ("x",)),
+        Chart("scatter", "scatter", ("a", "k")), Chart("corr", "correlation", ()), Chart("kpi", "kpi", (), ("COUNT", "AVG(x)")),
+        Chart("table", "table", ("g",)), Chart("none", "bar", ()), Chart("ghost", "line", ("ghost", "k")), Chart("odd", "sankey", ("g",)),
+        Chart("text", "kpi", (), ("SUM(g)",)),
+    ]
+    board = dashboards.dashboard(df, profile(df), specs, order_by=["k"])
+    status = {r["chart_id"]: r["status"] for r in board.status.collect()}
+    assert {k for k, v in status.items() if v == "skipped"} == {"none"}
+    assert {k for k, v in status.items() if v == "failed"} == {"ghost", "odd", "text"}
+    counts = {r["chart_id"]: r["count"] for r in board.points.groupBy("chart_id").count().collect()}
+    assert counts == {"bar": 2, "two": 6, "line": 30, "pie": 2, "hist": 20, "box": 16, "scatter": 30, "corr": 9, "kpi": 2, "table": counts["table"]}
+    assert counts == {r["chart_id"]: r["row_count"] for r in board.status.where("status = 'success'").collect()}
+
+
+def test_advice_on_a_schema_with_a_repeated_name(spark):
+    df = spark.sql("select 'pie' chart_type, array('a') dimensions, array('a') metrics, array(named_struct('name', 'a', 'type', 'text'), named_struct('name', 'a', 'type', 'numeric')) columns")
+    assert advise.advise(df).head()["skip_reason"] is None
+
+
 def test_dashboard(spark):
     df = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 3.0), (None, "x", 5.0)], "g string, s string, v double")
     got = set(rows(charts.dashboard(df, [
