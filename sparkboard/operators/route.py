@@ -7,10 +7,14 @@ meet each other.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from dataclasses import dataclass
+
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from sparkboard.functions.values import any_of
 from sparkboard.operators import ask
+from sparkboard.operators.shape import result_shape
 
 # The words which lead to a template.
 LIST_WORDS = ("list", "show", "display")
@@ -204,8 +208,40 @@ def answer(df: DataFrame, columns: DataFrame, question: str, order_by: str) -> D
 
     `order_by` is the row number or key which says what the first rows are.
     """
+    return _by_template(df, _routed(columns, question), order_by)
+
+
+@dataclass(frozen=True)
+class Answer:
+    """What became of a question: `answered` (with a result and its shape), `unknown` or `failed` (with a reason)."""
+
+    question: str
+    template: str | None
+    status: str
+    shape: str | None = None
+    result: DataFrame | None = None
+    reason: str | None = None
+
+
+def ask_dataset(df: DataFrame, columns: DataFrame, question: str, order_by: str) -> Answer:
+    """From a question to its answer: template, result, shape; a failure is told, not raised."""
+    routed = _routed(columns, question)
+    template = routed["template"]
+    if template is None:
+        return Answer(question, None, "unknown")
+    try:
+        result = _by_template(df, routed, order_by)
+        return Answer(question, template, "answered", result_shape(result), result)
+    except (PySparkException, ValueError, TypeError) as error:
+        return Answer(question, template, "failed", reason=str(error).strip().splitlines()[0])
+
+
+def _routed(columns: DataFrame, question: str) -> Row:
     one = columns.limit(1).select(F.lit(question).alias("question"), schema_array(columns).alias("columns"))
-    r = route(one).head()
+    return route(one).head()
+
+
+def _by_template(df: DataFrame, r: Row, order_by: str) -> DataFrame | None:
     templates = {
         "first_rows": lambda: ask.first_rows(df, order_by, r["n"]),
         "extreme_date": lambda: ask.extreme_date(df, r["dimension"], r["metric"], r["highest"]),
