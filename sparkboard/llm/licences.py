@@ -144,7 +144,7 @@ def trained(docs: DataFrame, text_col: str = "text", rows: int = 2000, similar:
     part: they are notices.
     """
     text = column(text_col).cast("string")
-    picked = smallest_hash(docs.select(text.alias("t")).where("t is not null").distinct(), ["t"], rows)
+    picked = smallest_hash(docs.select(text.alias("t")).where("t is not null"), ["t"], rows, docs.count())
     lines = [(w, ngrams(w)) for r in picked.collect() for line in r["t"].split("\n") if (w := tokens(line))]
     templates = [ngrams(tokens(n)) for n in itertools.chain.from_iterable(NOTICES.values())]
     lines = [(w, g) for w, g in lines if not any(len(t & g) >= similar * len(t) for t in templates)]

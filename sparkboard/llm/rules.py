@@ -54,7 +54,7 @@ def labelled(stats: DataFrame, labels: DataFrame, label: str, rows: int = LABELL
     """
     known = labels.where(f"`{label}` in (0, 1)").select("id", F.col(label).cast("int").alias("__y"))
     table = stats.join(known, "id").select("id", "__y", *[c.alias(n) for n, c in features().items()])
-    found = smallest_hash(table, ["id", "__y"], rows).collect()
+    found = smallest_hash(table, ["id", "__y"], rows, known.count()).collect()
     x = {n: np.array([r[n] for r in found], float) for n in features()}
     return x, np.array([r["__y"] for r in found], int)
 

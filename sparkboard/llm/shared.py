@@ -39,9 +39,22 @@ def dropped(*tables: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def smallest_hash(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
-    """A bounded sample which depends on the rows alone: those with the smallest hashes of the keys."""
-    return df.orderBy(F.xxhash64(*[column(k) for k in keys]), *[column(k) for k in keys]).limit(rows)
+def smallest_hash(df: DataFrame, keys: list[str], rows: int, of: int) -> DataFrame:
+    """A bounded sample which depends on the rows alone: those with the smallest hashes of the keys.
+
+    `of` is about how many rows there are. Rows whose hash is far from the smallest are left out first, so
+    that all tasks together send about twice the sample; only if too few are left (the hashes of many equal
+    rows lie together) are all looked at. Rows with equal keys count once.
+    """
+    hashed = df.withColumn("__hash", F.xxhash64(*[column(k) for k in keys]))
+    share = 2.0 * rows / max(of, 1) + 1e-6
+    order = ["__hash", *[column(k) for k in keys]]
+    if share < 0.5:
+        near = hashed.where(F.col("__hash") < int(-(2**63) + share * 2**64))
+        picked = near.dropDuplicates(keys).orderBy(*order).limit(rows)
+        if picked.count() == rows:
+            return picked.drop("__hash")
+    return hashed.dropDuplicates(keys).orderBy(*order).limit(rows).drop("__hash")
 
 
 def shipped(spark: SparkSession) -> None:

@@ -129,7 +129,7 @@ def near_classes(
     items = saved(fps.select("fp").distinct(), "fingerprints")
     n = items.count()
     depth = max(0, min(int(np.ceil(np.log2(max(n, 1) / leaf))), int(np.log2(sample)) - 4))
-    picked = np.array([r[0] for r in smallest_hash(items, ["fp"], sample).collect()], np.int64).view(np.uint64) if depth else np.zeros(0, np.uint64)
+    picked = np.array([r[0] for r in smallest_hash(items, ["fp"], sample, n).collect()], np.int64).view(np.uint64) if depth else np.zeros(0, np.uint64)
     edges = np.linspace(0, 64, trees + 1).astype(int)
     grown = [grow(picked, int(a), int(b - a), distance // trees, depth) for a, b in zip(edges, edges[1:])]
 
