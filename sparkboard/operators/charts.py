@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations_with_replacement
@@ -83,13 +83,20 @@ def aggregate(df: DataFrame, metric: str, scale: int | None = None) -> Column:
     return value.alias(metric_alias(metric))
 
 
-def medians(df: DataFrame, dimensions: Sequence[str], column: str, name: str) -> DataFrame:
-    """The exact median per group, under the given name."""
-    values = group_values(df, measure(df, column), [quoted(d) for d in dimensions])
-    groups = group_columns(values)
+def medians(df: DataFrame, dimensions: Sequence[str], columns: Mapping[str, str]) -> DataFrame:
+    """The exact medians per group: {name of the result: column}. All columns are narrowed down together."""
+    groups = [quoted(d).alias(f"__g{i}") for i, d in enumerate(dimensions)]
+    each = [F.struct(F.lit(i).alias("which"), measure(df, c).cast("double").alias("value")) for i, c in enumerate(columns.values())]
+    long = df.select(*groups, F.explode(F.array(*each)).alias("__m")).select("*", "__m.which", F.col("__m.value").alias("__value"))
+    keys = [*(f"__g{i}" for i in range(len(dimensions))), "which"]
+    values = group_values(long, F.col("__value"), [F.col(k) for k in keys])
     found = quantiles(values, (0.5,))
-    keys = [F.col(g).alias(d) for g, d in zip(groups, dimensions, strict=True)]
-    return found.select(*keys, F.col("q0").alias(name))
+    *own, which = group_columns(values)
+    per_group = found.groupBy(*own).agg(
+        *[F.max(F.when(F.col(which) == i, F.col("q0"))).alias(f"__q{i}") for i in range(len(columns))]
+    )
+    names = [F.col(g).alias(d) for g, d in zip(own, dimensions, strict=True)]
+    return per_group.select(*names, *[F.col(f"__q{i}").alias(n) for i, n in enumerate(columns)])
 
 
 def chart(
@@ -100,13 +107,14 @@ def chart(
     plain = [m for m in metrics if parse_metric(m)[0] != "MEDIAN"]
     groups = [quoted(d).alias(d) for d in dimensions]
     result = df.groupBy(*groups).agg(*[aggregate(df, m, scale) for m in plain or ["COUNT"]])
-    for m in metrics:
-        if m not in plain:
-            found = medians(df, dimensions, parse_metric(m)[1], metric_alias(m))
-            if dimensions:
-                result = attach(result, found, dimensions, "left")
-            else:
-                result = result.withColumn(metric_alias(m), found.scalar())
+    if wanted := {metric_alias(m): parse_metric(m)[1] for m in metrics if m not in plain}:
+        found = medians(df, dimensions, wanted)
+        if dimensions:
+            result = attach(result, found, dimensions, "left")
+        else:
+            only = found.select(F.struct(*[quoted(n) for n in wanted])).scalar()
+            result = result.withColumn("__medians", only)
+            result = result.select("*", *[F.col("__medians")[n].alias(n) for n in wanted]).drop("__medians")
     return result.select(*[quoted(c) for c in (*dimensions, *map(metric_alias, metrics))])
 
 

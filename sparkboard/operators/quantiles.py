@@ -1,8 +1,10 @@
-"""Exact quantiles per group by narrowing down value ranges.
+"""Exact quantiles per group by narrowing down ranges of values.
 
-The rows themselves never move. A pass over them lays each group on a grid between its smallest and
-largest value and counts per cell, which is a small partial aggregate on every task; the cells that
-hold a wanted rank become the ranges of the next pass. Once a range holds few enough rows, its
+The rows themselves never move. A pass sketches the values of every wide range, brackets each wanted rank
+by two values of the sketch, and then counts exactly what lies below, between and above, and at the
+brackets' ends; the pieces which hold a wanted rank become the ranges of the next pass. A sketch errs by
+rank, not by value, so that a pass leaves about three thousandths of a range's rows, however the values
+are spread; equal values at a bracket's end are settled at once. Once a range holds few enough rows, its
 values are ranked. The tables between the passes have a few rows per group, so Spark broadcasts
 them when their written size allows it and joins by shuffle when there are too many groups.
 """
@@ -15,12 +17,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparkboard.functions.values import quoted
-from sparkboard.sources.scratch import materialize
+from sparkboard.sources.scratch import discard, materialize
 
-CELLS = 4096
+# A sketch tells the values at these shares of a range, each to within 1 / ACCURACY of its rows.
+GRID, ACCURACY = 1000, 10_000
 # Ranges with up to this many rows are ranked in one task.
 RANKED_AT_ONCE = 100_000
-LARGEST_FINITE = 4e307
 METHODS = ("linear", "midpoint")
 
 
@@ -83,7 +85,9 @@ def quantiles(
     is_wide = (F.col("n") > ranked_at_once) & (F.col("lo") < F.col("hi"))
     while not ranges.filter(is_wide).isEmpty():
         narrowed = _narrow(values, ranges.filter(is_wide), by)
-        ranges = materialize(ranges.filter(~is_wide).unionByName(narrowed), "quantile-ranges")
+        after = materialize(ranges.filter(~is_wide).unionByName(narrowed), "quantile-ranges")
+        discard(ranges)
+        ranges = after
 
     found = _rank(values, ranges, by).groupBy(*by).agg(
         F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at")
@@ -104,37 +108,46 @@ def _position(p: float, method: str) -> Column:
     return F.least(F.greatest(F.lit(float(p)) * F.col("rows") - 0.5, F.lit(0.0)), last)
 
 
-def _inside(values: DataFrame, ranges: DataFrame, by: list[str]) -> DataFrame:
-    """The rows which fall into a range of their group, with its limits.
+def _inside(values: DataFrame, ranges: DataFrame, by: list[str], more: tuple[str, ...] = ()) -> DataFrame:
+    """The rows which fall into a range of their group, with its limits and its columns `more`.
 
     The ranges of a group do not overlap. There are at most two per quantile, so that those of the
     whole table fit into a constant.
     """
     if not by:
-        limits = ranges.agg(F.collect_list(F.struct("lo", "hi"))).scalar()
+        limits = ranges.agg(F.collect_list(F.struct("lo", "hi", *more))).scalar()
         own = F.filter("__r", lambda r: F.col("value").between(r["lo"], r["hi"]))
         return (
             values.withColumn("__r", limits)
             .withColumn("__own", F.get(own, 0))
             .filter(F.col("__own").isNotNull())
-            .select("value", "__own.lo", "__own.hi")
+            .select("value", "__own.lo", "__own.hi", *[f"__own.{m}" for m in more])
         )
-    within = attach(values, ranges.select(*by, "lo", "hi"), by)
+    within = attach(values, ranges.select(*by, "lo", "hi", *more), by)
     return within.filter(F.col("value").between(F.col("lo"), F.col("hi")))
 
 
 def _narrow(values: DataFrame, ranges: DataFrame, by: list[str]) -> DataFrame:
-    """Cut every range into cells and keep those which hold a wanted rank."""
-    low = F.greatest("lo", F.lit(-LARGEST_FINITE))
-    high = F.least("hi", F.lit(LARGEST_FINITE))
-    at = F.floor((F.col("value") - low) / (high - low) * CELLS)
-    cell = F.greatest(F.lit(0), F.least(at, F.lit(CELLS - 1))).cast("int")
-    cells = _inside(values, ranges, by).groupBy(*by, "lo", cell.alias("cell")).agg(
+    """Cut every range at the values around its wanted ranks and keep the pieces which hold one."""
+    shares = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
+    sketched = _inside(values, ranges, by).groupBy(*by, "lo").agg(
+        F.percentile_approx("value", shares, F.lit(ACCURACY)).alias("grid")
+    )
+    at = lambda r: F.floor((r - F.col("before")) * GRID / F.col("n")).cast("int")
+    around = F.transform("ranks", lambda r: F.array(
+        F.get("grid", F.greatest(at(r) - 1, F.lit(0))), F.get("grid", F.least(at(r) + 2, F.lit(GRID)))
+    ))
+    cut = attach(ranges, sketched, [*by, "lo"]).withColumn("cuts", F.array_sort(F.array_distinct(F.flatten(around))))
+    cut = materialize(cut.drop("grid"), "quantile-cuts")
+    # Odd pieces hold the values equal to a cut, even ones those between cuts.
+    below = F.size(F.filter("cuts", lambda c: c < F.col("value")))
+    piece = 2 * below + F.array_contains("cuts", F.col("value")).cast("int")
+    pieces = _inside(values, cut, by, ("cuts",)).groupBy(*by, "lo", piece.alias("piece")).agg(
         F.count(F.lit(1)).alias("n"), F.min("value").alias("first"), F.max("value").alias("last")
     )
-    # At most CELLS rows per range reach this window.
-    upto = Window.partitionBy(*by, "lo").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
-    ends = cells.withColumn("end", F.sum("n").over(upto))
+    # A few rows per range reach this window.
+    upto = Window.partitionBy(*by, "lo").orderBy("piece").rowsBetween(Window.unboundedPreceding, 0)
+    ends = pieces.withColumn("end", F.sum("n").over(upto))
     return _with_hits(ends, ranges, by).select(
         *by, F.col("first").alias("lo"), F.col("last").alias("hi"), "n",
         F.col("start").alias("before"), F.col("hits").alias("ranks"),

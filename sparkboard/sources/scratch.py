@@ -45,4 +45,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.written_at = path
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of `materialize` which nothing reads any more; others are left alone."""
+    written = getattr(df, "written_at", None)
+    if written:
+        session = df.sparkSession._jsparkSession
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(written)
+        path.getFileSystem(session.sessionState().newHadoopConf()).delete(path, True)
