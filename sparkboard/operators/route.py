@@ -79,24 +79,22 @@ def _of_type(columns: Column, kind: str) -> Column:
     return F.filter(columns, lambda c: c["type"] == kind)
 
 
+def _asked(questions: DataFrame, question: str) -> DataFrame:
+    q = F.lower(F.regexp_replace(F.col(question), r"(?U)^\s+|\s+$", ""))
+    return questions.withColumn("__q", q).withColumn("__number", first_number(F.col("__q")))
+
+
 def route(questions: DataFrame, question: str = "question", columns: str = "columns") -> DataFrame:
     """Add `template` and its roles (`dimension`, `metric`, `aggregate`, `highest`, `n`).
 
     The first template which fits wins; `template` is null where none does. The tests are for
     substrings, so "country" holds "count".
     """
-    working = questions.withColumn(
-        "__q", F.lower(F.regexp_replace(F.col(question), r"(?U)^\s+|\s+$", ""))
-    ).withColumns({
+    working = _asked(questions, question).withColumns({
         "__numeric": _of_type(F.col(columns), "numeric"),
-        "__categorical": _of_type(F.col(columns), "categorical"),
         "__datetime": _of_type(F.col(columns), "datetime"),
-        "__number": first_number(F.col("__q")),
+        "__named": F.filter(F.col(columns), lambda c: mentions(F.col("__q"), c["name"])),
     })
-    q = F.col("__q")
-    working = working.withColumn(
-        "__named", F.filter(F.col(columns), lambda c: mentions(q, c["name"]))
-    )
     working = working.withColumns({
         "__any_named": F.get("__named", 0)["name"],
         "__numeric_named": F.get(_of_type(F.col("__named"), "numeric"), 0)["name"],
@@ -110,10 +108,47 @@ def route(questions: DataFrame, question: str = "question", columns: str = "colu
             *[_first(F.col("__numeric"), _holds(part)) for part in METRIC_NAME_PARTS],
             F.get("__numeric", 0)["name"],
         ),
+        "__has_numeric": F.size("__numeric") > 0,
+        "__has_datetime": F.size("__datetime") > 0,
     })
+    return _planned(questions, working, F.col(columns).isNotNull())
+
+
+def route_to(questions: DataFrame, columns: DataFrame, question: str = "question") -> DataFrame:
+    """As `route`, for questions which all ask one dataset, whose profile is `columns`.
 
+    The schema is known while the plan is made: what it says is constants, and each mention one test.
+    """
+    schema = [(r["name"], r["type"]) for r in columns.orderBy("ordinal").select("name", "type").collect()]
+    of = lambda kind: [n for n, t in schema if t == kind]
+    nobody = F.lit(None).cast("string")
+    first = lambda names: F.lit(names[0]) if names else nobody
+
+    def named(names: list[str]) -> Column:
+        tests = [F.when(F.col("__q").contains(n.replace("_", " ")), F.lit(n)) for n in names]
+        return F.coalesce(*tests, nobody)
+
+    numeric, dates = of("numeric"), of("datetime")
+    date = [F.lit(n) if "date" in n else named([n]) for n in dates]
+    likely = [n for part in METRIC_NAME_PARTS for n in numeric if part in n]
+    working = _asked(questions, question).withColumns({
+        "__any_named": named([n for n, _ in schema]),
+        "__numeric_named": named(numeric),
+        "__categorical_named": named(of("categorical")),
+        "__first_datetime": first(dates),
+        "__date_named": F.coalesce(*date, nobody),
+        "__likely_metric": first(likely or numeric),
+        "__has_numeric": F.lit(bool(numeric)),
+        "__has_datetime": F.lit(bool(dates)),
+    })
+    return _planned(questions, working, F.lit(True))
+
+
+def _planned(questions: DataFrame, working: DataFrame, known: Column) -> DataFrame:
+    """The rules, over the roles the columns can take."""
+    q = F.col("__q")
     metric, category = F.col("__numeric_named"), F.col("__categorical_named")
-    has_numeric, has_datetime = F.size("__numeric") > 0, F.size("__datetime") > 0
+    has_numeric, has_datetime = F.col("__has_numeric"), F.col("__has_datetime")
     high = any_of(q, HIGH_WORDS)
     grouped_by = any_of(q, SUM_WORDS)
     none = F.lit(None).cast("string")
@@ -190,7 +225,7 @@ def route(questions: DataFrame, question: str = "question", columns: str = "colu
             plan("time_series", F.col("__first_datetime"), metric, F.lit("sum")),
         )
     )
-    routed = working.withColumn("__plan", F.when(F.col(columns).isNotNull(), chosen))
+    routed = working.withColumn("__plan", F.when(known, chosen))
     return routed.select(*questions.columns, "__plan.*")
 
 
@@ -237,8 +272,7 @@ def ask_dataset(df: DataFrame, columns: DataFrame, question: str, order_by: str)
 
 
 def _routed(columns: DataFrame, question: str) -> Row:
-    one = columns.limit(1).select(F.lit(question).alias("question"), schema_array(columns).alias("columns"))
-    return route(one).head()
+    return route_to(columns.limit(1).select(F.lit(question).alias("question")), columns).head()
 
 
 def _by_template(df: DataFrame, r: Row, order_by: str) -> DataFrame | None:

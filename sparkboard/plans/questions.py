@@ -53,7 +53,8 @@ def order_questions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def route_orders(spark: SparkSession, folder: str) -> DataFrame:
-    return route.route(order_questions(spark, folder)).drop("columns")
+    orders = table(spark, folder, "orders")
+    return route.route_to(orders.select("o_orderkey", F.expr(QUESTION).alias("question")), profile(orders))
 
 
 def route_messages(spark: SparkSession, folder: str) -> DataFrame:

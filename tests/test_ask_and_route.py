@@ -101,6 +101,24 @@ def test_text_measures_are_cast_exactly(spark):
     assert abs(ask.total(df, "v").head()[0] - 0.3) < 1e-12
 
 
+def test_both_ways_of_routing_agree(spark):
+    schema = [("revenue", "numeric"), ("region", "categorical"), ("order_date", "datetime"), ("units_sold", "numeric"), ("note", "text")]
+    columns = spark.createDataFrame([(i, *c) for i, c in enumerate(schema)], "ordinal int, name string, type string")
+    texts = [
+        "show 7 rows", "which day had the maximum units sold", "what year was lowest", "total revenue", "how many region", "count all",
+        "average units sold", "units sold by region", "top 12 region by revenue", "best", "list all region with revenue",
+        "revenue over time", "nothing", "sum of revenue by order date", "mean note by region", None,
+    ]
+    for kept in (schema, schema[1:2], schema[:1]):
+        own = columns.where(F.col("name").isin([n for n, _ in kept]))
+        asked = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, question string")
+        one = route.route_to(asked, own).orderBy("i").collect()
+        other = route.route(asked.withColumn("columns", route.schema_array(own))).drop("columns").orderBy("i").collect()
+        assert one == other
+    plan = route.route_to(asked, own)._jdf.queryExecution().executedPlan().toString()
+    assert "filter(" not in plan and "lambda" not in plan
+
+
 def test_numbers_of_any_size(spark):
     texts = ["top 1500000000 x", "top 99999999999 x", "top " + "9" * 30 + " x", "top 007", "none"]
     df = spark.createDataFrame([(t,) for t in texts], "q string")
