@@ -21,6 +21,8 @@ from sparkboard.sources.scratch import local_table
 CATEGORICAL_BELOW = 0.5
 # Values longer than this are compared by digest, so that long texts do not travel whole.
 DIGEST_ABOVE = 64
+# Rows which tell what a column cannot be.
+FIRST_LOOK = 1000
 # What a text value can be, one bit each: a number, one without exponent, one without a point, a
 # boolean, a date of each spelling.
 KINDS = {
@@ -103,49 +105,58 @@ def _long(df: DataFrame, values: dict[str, Column]) -> DataFrame:
 def _scalar_counts(df: DataFrame, names: list[str]) -> dict[str, dict[str, int]]:
     """Per text column: rows, values, the kinds all of its values are of, and their digits.
 
-    Each value gets a number with one bit per kind; the bits left after AND are those of the column.
+    Each value gets a number with one bit per kind; the bits left after AND are those of the column. A few
+    rows tell which kinds a column cannot be of; all rows are then tested for the others alone, which
+    gives the same bits.
     """
     if not names:
         return {}
-    values = (
-        _long(df, {n: quoted(n) for n in names})
-        .withColumn("number", F.when(is_number(F.col("value")), F.btrim("value", F.lit(BLANK_OR_SIGN))))
-        # A number is no date; most other texts are told apart from dates by how they begin.
-        .withColumn("rest", F.when(F.col("number").isNull(), F.col("value")))
-        .withColumn("date_like", F.when(F.col("rest").rlike(DATE_BEGINNING), F.col("rest")))
-    )
-    number = F.col("number")
-    plain = F.when(~(number.contains("e") | number.contains("E")), number)
-    point = F.instr(plain, ".")
-    dates = [
-        F.when(parse_date(F.col("date_like"), s).isNotNull(), KINDS[s]).otherwise(0)
-        for s in DATE_SPELLING_NAMES
-    ]
-    kinds = (
-        F.when(number.isNotNull(), F.when(point == 0, KINDS["number"] | KINDS["plain"] | KINDS["integer"])
-               .when(point > 0, KINDS["number"] | KINDS["plain"]).otherwise(KINDS["number"]))
-        .when(F.col("date_like").isNotNull(), reduce(add, dates))
-        .when(is_boolean(F.col("rest")), KINDS["boolean"])
-        .otherwise(0)
-    )
+    few = _count_kinds(df.select(*[quoted(n) for n in names]).limit(FIRST_LOOK), dict.fromkeys(names, set(KINDS)))
+    left = {
+        n: {k for k, bit in KINDS.items() if few[n]["kinds"] & bit} if few[n]["non_null"] else set(KINDS) for n in names
+    }
+    return _count_kinds(df, left)
+
+
+def _count_kinds(df: DataFrame, possible: dict[str, set[str]]) -> dict[str, dict[str, int]]:
     # Columns of their own: an aggregate evaluates its argument more than once.
-    tested = values.select(
-        "i",
-        "value",
-        F.when(F.col("value").isNotNull(), kinds).alias("kinds"),
-        F.when(point > 0, point - 1).otherwise(F.length(plain)).alias("whole"),
-        F.when(point > 0, F.length(plain) - point).otherwise(0).alias("places"),
-    )
-    counted = tested.groupBy("i").agg(
+    tested = df.select(*[
+        c for i, (n, kinds) in enumerate(possible.items()) for c in (quoted(n).alias(f"v{i}"), _tests(quoted(n), kinds).alias(f"t{i}"))
+    ])
+    row = tested.agg(
         F.count(F.lit(1)).alias("rows"),
-        F.count("value").alias("non_null"),
-        F.bit_and("kinds").alias("kinds"),
-        F.max("whole").alias("whole"),
-        F.max("places").alias("places"),
-    )
-    by_column = {int(r["i"]): r.asDict() for r in counted.collect()}
-    nothing = dict.fromkeys(counted.columns, 0)
-    return {n: by_column.get(i, nothing) for i, n in enumerate(names)}
+        *[f.alias(f"{name}{i}") for i in range(len(possible)) for name, f in (
+            ("non_null", F.count(f"v{i}")), ("kinds", F.bit_and(f"t{i}.kinds")),
+            ("whole", F.max(f"t{i}.whole")), ("places", F.max(f"t{i}.places")),
+        )],
+    ).head()
+    return {
+        n: {"rows": row["rows"], **{k: row[f"{k}{i}"] or 0 for k in ("non_null", "kinds", "whole", "places")}}
+        for i, n in enumerate(possible)
+    }
+
+
+def _tests(value: Column, possible: set[str]) -> Column:
+    """(kinds, whole, places) of a text, tested for the possible kinds alone."""
+    nothing = F.lit(None).cast("int")
+    kinds, whole, places = F.lit(0), nothing, nothing
+    if "boolean" in possible:
+        kinds = F.when(is_boolean(value), KINDS["boolean"]).otherwise(kinds)
+    spellings = [s for s in DATE_SPELLING_NAMES if s in possible]
+    if spellings:
+        # Most texts are told apart from dates by how they begin.
+        dates = [F.when(parse_date(value, s).isNotNull(), KINDS[s]).otherwise(0) for s in spellings]
+        kinds = F.when(value.rlike(DATE_BEGINNING), reduce(add, dates)).otherwise(kinds)
+    if "number" in possible:
+        # A number is no date.
+        number = F.when(is_number(value), F.btrim(value, F.lit(BLANK_OR_SIGN)))
+        plain = F.when(~(number.contains("e") | number.contains("E")), number)
+        point = F.instr(plain, ".")
+        whole = F.when(point > 0, point - 1).otherwise(F.length(plain))
+        places = F.when(point > 0, F.length(plain) - point).otherwise(0)
+        kinds = F.when(number.isNotNull(), F.when(point == 0, KINDS["number"] | KINDS["plain"] | KINDS["integer"])
+                       .when(point > 0, KINDS["number"] | KINDS["plain"]).otherwise(KINDS["number"])).otherwise(kinds)
+    return F.when(value.isNotNull(), F.struct(kinds.alias("kinds"), whole.alias("whole"), places.alias("places")))
 
 
 def _decide(own: dict[str, int], all_null: str) -> tuple[str | None, str, str | None]:
