@@ -102,14 +102,19 @@ def _largest(held: np.ndarray, rounds: int = 30) -> float:
 def _lasso(rules: list[Rule], held: np.ndarray, y: np.ndarray, penalty: float, rounds: int) -> Ensemble:
     """Logistic regression with an L1 penalty, by accelerated proximal steps; the bias is free."""
     n, k = held.shape
+    # Rows which the same rules hold for are one row with a weight.
+    packed = np.packbits(held.astype(bool), axis=1)
+    _, first, same = np.unique(packed, axis=0, return_index=True, return_inverse=True)
+    held, many = held[first], np.bincount(same.ravel(), minlength=len(first)).astype(float)
+    good = np.bincount(same.ravel(), weights=y, minlength=len(first))
     w, b = np.zeros(k), 0.0
     v, c, t = w, b, 1.0
-    step = 4 * n / (1.05 * _largest(held) + n)
+    step = 4 * n / (1.05 * _largest(held * np.sqrt(many)[:, None]) + n)
     for _ in range(rounds):
-        wrong = 1 / (1 + np.exp(-(held @ v + c))) - y
+        wrong = many / (1 + np.exp(-(held @ v + c))) - good
         new = v - step * (held.T @ wrong) / n
         new = np.sign(new) * np.maximum(np.abs(new) - step * penalty, 0)
-        bias = c - step * wrong.mean()
+        bias = c - step * wrong.sum() / n
         t, before = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
         v, c = new + (before - 1) / t * (new - w), bias + (before - 1) / t * (bias - b)
         w, b = new, bias
