@@ -108,6 +108,43 @@ def op10_html(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_bpe, op2_embeddings, op3_simhash, op4_lines, op5_mixing, op6_quality, op7_langid, op8_rules, op9_licences, op10_html)
 }
+#: Every block of 1, 2, 4, ... lines by its text, instead of by ranks.
+LINES_SQL = r"""
+    WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+    s AS (SELECT *, [{'n': n, 't': trim(ls[n], ' ' || chr(9) || chr(11) || chr(12) || chr(13))}
+                     for n in range(1, len(ls) + 1)
+                     if trim(ls[n], ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> ''] AS spoken
+          FROM d WHERE text IS NOT NULL),
+    b AS (SELECT doc_id, spoken, w, unnest(range(1, len(spoken) - w + 2)) AS i
+          FROM s JOIN (SELECT CAST(pow(2, k) AS BIGINT) AS w FROM range(0, 24) AS r(k)) AS widths ON w <= len(spoken)),
+    keyed AS (SELECT doc_id, w, i, spoken[i].n AS a, spoken[i + w - 1].n AS z, length(spoken[i].t) AS chars,
+                  md5(array_to_string([x.t for x in spoken[i:i + w - 1]], chr(10))) AS key FROM b),
+    later AS (SELECT *, row_number() OVER (PARTITION BY w, key ORDER BY doc_id, i) > 1 AS copy FROM keyed),
+    gone AS (SELECT doc_id, list(DISTINCT n) AS ns
+             FROM (SELECT doc_id, unnest(range(a, z + 1)) AS n FROM later WHERE copy AND (w > 1 OR chars >= 20)) AS u GROUP BY 1)
+    SELECT d.doc_id, coalesce(len(spoken), 0) AS n_lines,
+        coalesce(len([x for x in spoken if list_contains(ns, x.n)]), 0) AS n_removed,
+        CASE WHEN ns IS NULL THEN d.text
+             ELSE coalesce(array_to_string([s.ls[n] for n in range(1, len(s.ls) + 1) if NOT list_contains(ns, n)], chr(10)), '')
+        END AS text
+    FROM d LEFT JOIN s USING (doc_id) LEFT JOIN gone USING (doc_id)
+"""
+
+#: All pairs, for small tables.
+VECTORS_SQL = """
+    WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    good AS (SELECT * FROM v WHERE len([x for x in e if x IS NULL OR NOT isfinite(x)]) = 0 AND len([x for x in e if x <> 0]) > 0),
+    links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM good AS a JOIN good AS b
+              ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+    reach(x, y) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.x, l.y FROM reach AS r JOIN links AS l ON r.y = l.x),
+    classes AS (SELECT x AS vec_id, MIN(y) AS component_id FROM reach GROUP BY 1),
+    counts AS (SELECT x AS vec_id, COUNT(*) AS n FROM links GROUP BY 1)
+    SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+    FROM classes LEFT JOIN counts USING (vec_id)
+"""
+
 SQL: dict[str, str] = {
+    "op2_embeddings": VECTORS_SQL,
+    "op4_lines": LINES_SQL,
     "op5_mixing": mixing.mixed_sql({"source": "source", "lang": "lang", "topic": mixing.TOPIC_SQL}, MIX_POWERS),
 }
