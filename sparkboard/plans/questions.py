@@ -21,7 +21,7 @@ QUESTION_TEXTS = (
     "'tell me the day o totalprice was highest'",
     "'in which year was the lowest amount taken'",
     "'at what time was o custkey at its maximum'",
-    "'what is the total o totalprice'",
+    "'total of o totalprice, please'",
     "'total o totalprice by o orderpriority'",
     "'sum of o custkey and o totalprice'",
     "'how many o orderstatus'",
