@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, types as T
 from sparkboard.llm.shared import column
 
 #: Words whose tokens a Python worker remembers; more only cost time.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: Characters of text handled at a time.
 AT_ONCE = 1 << 20
 LOW = (1 << 20) - 1

@@ -57,8 +57,17 @@ def smallest_hash(df: DataFrame, keys: list[str], rows: int, of: int) -> DataFra
     return hashed.dropDuplicates(keys).orderBy(*order).limit(rows).drop("__hash")
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def shipped(spark: SparkSession) -> None:
-    """Give the Python workers this package, once per application, wherever they run."""
+    """Give the Python workers this package, once per application, and texts in small batches.
+
+    A batch is bounded by its bytes (4 MB, unless the session says otherwise than Spark does), so that long
+    texts take no more of a worker's memory than short ones.
+    """
+    if spark.conf.get(BATCH_BYTES) == "67108864b":
+        spark.conf.set(BATCH_BYTES, str(4 << 20))
     context = spark.sparkContext
     if getattr(context, "_sparkboard_shipped", False):
         return
