@@ -22,9 +22,9 @@ MISSING = "(none)"
 def topic(text: Column) -> Column:
     """A document's kind by its signs: table, symbols, shouted, prose or empty."""
     n = F.length(text)
-    bars = n - F.length(F.translate(text, "|", ""))
-    signs = n - F.length(F.translate(text, "#*$%&<>", ""))
-    shouts = n - F.length(F.translate(text, "!", ""))
+    bars = n - F.length(F.replace(text, F.lit("|"), F.lit("")))
+    signs = F.regexp_count(text, F.lit("[#*$%&<>]"))
+    shouts = n - F.length(F.replace(text, F.lit("!"), F.lit("")))
     return (
         F.when(text.isNull() | (n == 0), "empty")
         .when(bars * 50 > n, "table")
