@@ -22,6 +22,11 @@ from sparkboard.llm.shared import column, dropped, saved, smallest_hash
 
 #: Added to the budgets: far above the error of squared distances in double precision.
 SLACK = 1e-9
+#: How much wider than a budget the screen in single precision is: far above its error for unit vectors.
+SCREEN = 1e-4
+#: Pairs verified at a time.
+PAIRS = 1 << 16
+TILE = 16_384
 
 
 def rotation(width: int, seed: int = 7) -> np.ndarray:
@@ -81,7 +86,7 @@ def usable(vectors, id_col: str, vector_col: str) -> DataFrame:
 
 def near_duplicates(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9,
-    n_blocks: int = 4, cell: int = 4096, sample: int = 10_000,
+    n_blocks: int = 4, cell: int = 16_384, sample: int = 10_000,
 ) -> DataFrame:
     """(id, n_links, component) per row.
 
@@ -105,7 +110,7 @@ def near_duplicates(
         return out
 
     depth = max(0, int(np.ceil(np.log2(max(n, 1) / cell))))
-    picked = smallest_hash(items, ["vector"], sample).select("vector").collect() if depth else []
+    picked = smallest_hash(items, ["vector"], sample, n).select("vector").collect() if depth else []
     fitted = np.zeros((len(picked), width), np.float32)
     for k, row in enumerate(picked):
         fitted[k, : len(row[0])] = row[0]
@@ -121,7 +126,8 @@ def near_duplicates(
                 for at, lives, visits in split.cells(turned, k):
                     who = np.concatenate([lives, visits])
                     role = np.repeat(np.array([LIVES, VISITS], np.int32), [len(lives), len(visits)])
-                    raw = pa.array([v.tobytes() for v in whole[who]], pa.binary())
+                    ends = np.arange(len(who) + 1, dtype=np.int32) * (4 * width)
+                    raw = pa.Array.from_buffers(pa.binary(), len(who), [None, pa.py_buffer(ends), pa.py_buffer(whole[who].astype("<f4"))])
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), k << 32 | at, np.int64)), pa.array(role), pa.array(item[who]), pa.array(weight[who]), raw], names)
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -138,37 +144,39 @@ def near_duplicates(
         # Two residents meet twice, as (x, y) and (y, x): the smaller on the left counts. `lives` marks residents.
         resident[np.searchsorted(ids, right.loc[right["lives"], "item"].to_numpy())] = True
         resident[a] = True
-        squares = [(turned[:, p] ** 2).sum(axis=1) for p in split.parts]
         links, forest = np.zeros(len(ids), np.int64), Forest(len(ids))
-
-        def apart(x: np.ndarray, y: np.ndarray, m: int) -> np.ndarray:
-            p = split.parts[m]
-            return squares[m][x][:, None] + squares[m][y][None, :] - 2 * (turned[x][:, p] @ turned[y][:, p].T)
-
-        for s, t in blocks(len(a), len(b), 1024, 1024):
-            x, y = a[s], b[t]
-            near = apart(x, y, k) <= split.budgets[k]
-            near &= ~resident[y][None, :] | (x[:, None] < y[None, :])
-            if not near.any():
-                continue
-            i, j = np.nonzero(near)
-            if 50 * len(i) > near.size:
-                near &= whole[x] @ whole[y].T >= cosine
-            else:
-                good = np.einsum("ij,ij->i", whole[x[i]], whole[y[j]]) >= cosine
-                near[i[~good], j[~good]] = False
-            if not near.any():
-                continue
-            forest.join(x[(i := np.nonzero(near))[0]], y[i[1]])
-            for m in range(k):
-                near &= ~(apart(x, y, m) <= split.budgets[m])  # counted in that block
-            np.add.at(links, x, near @ weight[y])
-            np.add.at(links, y, weight[x] @ near)
+        # One product gives the block's squared distances: (-2x, x.x, 1) . (y, 1, y.y). In single precision, it
+        # is a screen a little wider than the budget.
+        own = turned[:, split.parts[k]]
+        square, one = (own * own).sum(axis=1, keepdims=True), np.ones((len(ids), 1))
+        screen_left = np.hstack([-2 * own, square, one]).astype(np.float32)[a]
+        screen_right = np.hstack([own, one, square]).astype(np.float32)[b].T.copy()
+        limit = np.float32(split.budgets[k] + SCREEN)
+
+        def within(x: np.ndarray, y: np.ndarray, m: int) -> np.ndarray:
+            gap = turned[x, split.parts[m]] - turned[y, split.parts[m]]
+            return np.einsum("ij,ij->i", gap, gap) <= split.budgets[m]
+
+        for s, t in blocks(len(a), len(b), 512, 2048):
+            hits = np.flatnonzero((screen_left[s] @ screen_right[:, t]).ravel() <= limit)
+            for at in range(0, len(hits), PAIRS):
+                i, j = np.divmod(hits[at:at + PAIRS], t.stop - t.start)
+                x, y = a[s][i], b[t][j]
+                for test in (lambda: ~resident[y] | (x < y), lambda: within(x, y, k), lambda: np.einsum("ij,ij->i", whole[x], whole[y]) >= cosine):
+                    good = test()
+                    x, y = x[good], y[good]
+                if not len(x):
+                    continue
+                forest.join(x, y)
+                for m in range(k):  # counted in that block
+                    first = ~within(x, y, m)
+                    x, y = x[first], y[first]
+                links += np.bincount(x, weight[y], len(ids)).astype(np.int64) + np.bincount(y, weight[x], len(ids)).astype(np.int64)
         found = np.nonzero((links > 0) | (forest.label != np.arange(len(ids))))[0]
         return pd.DataFrame({"a": ids[found], "b": ids[forest.label[found]], "links": links[found]})
 
     routed = saved(items.mapInArrow(route, "shard long, role int, item long, weight long, vector binary"), "routed")
-    tiles = in_tiles(routed.withColumn("lives", F.col("role") == LIVES))
+    tiles = in_tiles(routed.withColumn("lives", F.col("role") == LIVES), TILE)
     found = saved(paired(tiles, compare, "a long, b long, links long"), "vector-links")
     dropped(routed)
     joined = components(found.where("a <> b").select("a", "b"), "vector-components")

@@ -35,7 +35,7 @@ def linked(rows, cosine=0.9):
     return links, brute.smallest_of_class([i for i, _ in rows], near)
 
 
-def test_vectors_equal_all_pairs(spark):
+def test_vectors_equal_all_pairs(spark, monkeypatch):
     shipped(spark)
     rng = np.random.default_rng(0)
     base = rng.standard_normal((40, 6))
@@ -46,22 +46,14 @@ def test_vectors_equal_all_pairs(spark):
     links, low = linked(rows)
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("item", F.lit("x")).withColumn("shard", F.lit(1))
     for cell, tile in ((4096, 8192), (32, 50)):
-        got = {r["id"]: (r["n_links"], r["component"]) for r in small_tiles(vectors, tile, lambda: vectors.near_duplicates(table, cell=cell).collect())}
+        monkeypatch.setattr(vectors, "TILE", tile)
+        got = {r["id"]: (r["n_links"], r["component"]) for r in vectors.near_duplicates(table, cell=cell).collect()}
         assert got == {i: (n, c) for (i, _), n, c in zip(rows, links, low)}
     assert vectors.near_duplicates(table.where("false")).count() == 0
     lost = spark.createDataFrame([(None, [1.0, 0.0]), (1, [1.0, 0.0])], "vec_id long, embedding array<float>")
     assert {tuple(r) for r in vectors.near_duplicates(lost).collect()} == {(None, 0, None), (1, 0, 1)}
 
 
-def small_tiles(module, tile, run):
-    whole = module.in_tiles
-    module.in_tiles = lambda routed: whole(routed, tile)
-    try:
-        return run()
-    finally:
-        module.in_tiles = whole
-
-
 def test_mixing_reaches_its_targets(spark):
     cells = spark.createDataFrame(
         [("a", "x", 900), ("a", "y", 50), ("b", "x", 30), ("b", "y", 20), ("c", "x", 7), ("d", "y", 0)], "s string, l string, tokens long"
