@@ -4,7 +4,8 @@ Documents fall into cells, one per combination of the margins (source, language,
 are scaled, margin after margin, until each margin's categories hold their target shares (raking). The
 factors of a cell over the largest factor of all are the probabilities its documents are drawn with: the
 sample's expected shares are the targets, no document is drawn twice, and no larger sample is possible
-without that. Only the table of cells, whose rows are combinations of categories, is iterated over.
+without that. The rarer a category, the larger its factor, and the smaller the sample: `least` lets null
+and very small categories keep their own share, so that they do not scale all others down. Only the table of cells, whose rows are combinations of categories, is iterated over.
 """
 
 from __future__ import annotations
@@ -39,6 +40,22 @@ def tempered(cells: DataFrame, margin: str, power: float) -> DataFrame:
     return cells.where("tokens > 0").groupBy(margin).agg(F.pow(F.sum("tokens").cast("double"), F.lit(power)).alias("target"))
 
 
+def lenient(cells: DataFrame, margin: str, power: float, least: float) -> DataFrame:
+    """The targets of `tempered`, but null and very small categories keep the share of the tokens they have.
+
+    Very small are categories with less than the share `least` of the largest one's tokens, nulls not looked
+    at. Within a margin the factors of the others then differ by at most least ** (power - 1) (powers up to 1).
+    """
+    sums = cells.where("tokens > 0").groupBy(margin).agg(F.sum("tokens").cast("double").alias("n"))
+    named = F.col(margin) != MISSING
+    largest = sums.agg(F.max(F.when(named, F.col("n"))).alias("largest"))
+    sums = sums.crossJoin(largest).withColumn("drawn", F.coalesce(named & (F.col("n") >= F.col("largest") * least), F.lit(False)))
+    tempered_n = F.pow("n", F.lit(power))
+    scale = sums.agg((F.sum(F.when(F.col("drawn"), tempered_n)) / F.sum(F.when(F.col("drawn"), F.col("n")))).alias("scale"))
+    own = F.col("n") * F.coalesce("scale", F.lit(1.0))
+    return sums.crossJoin(scale).select(margin, F.when(F.col("drawn"), tempered_n).otherwise(own).alias("target"))
+
+
 def raked(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = 12) -> DataFrame:
     """The cells with `weight`, the factor that gives every margin its target shares.
 
@@ -71,11 +88,13 @@ def chance(id_col: Column, text_col: Column, seed: int) -> Column:
 def mixed(
     docs: DataFrame, margins: Mapping[str, Column], powers: Mapping[str, float], id_col: str = "doc_id", text_col: str = "text",
     targets: Mapping[str, DataFrame] | None = None, rounds: int = 12, seed: int = 1,
+    least: float | None = None,
 ) -> DataFrame:
     """The documents, all columns as they were, with `mix`: (margins, n_tokens, probability, kept).
 
     `margins` names the category columns; targets are the token shares raised to `powers`, or the tables of
-    `targets`. A null category is the category "(none)". A text without a word has no tokens: it adds
+    `targets`. With `least`, null and very small categories keep their own share (see `lenient`); without it
+    one rare category may leave hardly any row. A null category is the category "(none)". A text without a word has no tokens: it adds
     nothing to a mix and has probability 0. Repeated rows of one id share its luck.
     """
     text = column(text_col).cast("string")
@@ -84,7 +103,7 @@ def mixed(
     facts = docs.withColumn("__mix", F.struct(*categories, tokens.alias("n_tokens")))
     by = [F.col(f"__mix.{m}").alias(m) for m in margins]
     cells = saved(facts.groupBy(*by).agg(F.sum("__mix.n_tokens").alias("tokens")), "mix-cells")
-    targets = targets or {m: tempered(cells, m, p) for m, p in powers.items()}
+    targets = targets or {m: tempered(cells, m, p) if least is None else lenient(cells, m, p, least) for m, p in powers.items()}
     weights = raked(cells, targets, rounds)
     top = weights.agg(F.max("weight")).first()[0] or 1.0
     odds = weights.select(*(F.col(m).alias(f"__{m}") for m in margins), (F.col("weight") / top).alias("__p"))

@@ -81,6 +81,19 @@ def test_mixing_of_odd_rows(spark):
     assert mixing.mixed(docs.where("false"), margins(), MIX_POWERS).count() == 0
 
 
+def test_rare_categories_do_not_drop_the_corpus(spark, sf001):
+    docs = spark.read.parquet(f"{sf001}/documents.parquet").select("doc_id", "text", "lang", "source")
+    rows = [(-1, "three words here", "en", None), (-2, "three words here", None, "src0"), (-3, "word " * 300, "en", "new"), (-4, "drei Worte hier", "xx", "src0")]
+    odd = spark.createDataFrame(rows, docs.schema)
+    plain = mixing.mixed(docs, margins(), MIX_POWERS).where("mix.kept").count()
+    assert plain > 500 and corpus_pipeline.mix(spark, docs.unionByName(odd), sf001).count() > 0.9 * plain
+    # The others' shares are still the targets, the rare ones' their own.
+    cells = spark.createDataFrame([("a", 90_000), ("b", 10_000), ("c", 10), (mixing.MISSING, 50_000)], "s string, tokens long")
+    got = {r["s"]: r["target"] for r in mixing.lenient(cells, "s", 0.5, 0.01).collect()}
+    assert np.isclose(got["a"] / got["b"], 3) and np.isclose(got["c"] / sum(got.values()), 10 / 150_010) and np.isclose(got[mixing.MISSING] / sum(got.values()), 50_000 / 150_010)
+    assert mixing.lenient(cells.where(F.col("s") == mixing.MISSING), "s", 0.5, 0.01).count() == 1
+
+
 ARTICLE = "".join(f"<p>Paragraph {k}, which is of some length, with commas, and goes on.</p>" for k in range(4))
 TEXT = " ".join(f"Paragraph {k}, which is of some length, with commas, and goes on." for k in range(4))
 
