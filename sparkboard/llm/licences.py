@@ -82,6 +82,10 @@ NOTICES = {
         "subject to the terms of the Mozilla Public License, v. 2.0", "licensed under the Mozilla Public License, version 2.0",
         "SPDX-License-Identifier: MPL-2.0",
     ],
+    "proprietary": [
+        "All rights reserved", "Copyright 2020 the authors, all rights reserved", "Copyright by the publisher. All rights reserved.",
+        "confidential and proprietary", "this file is proprietary and confidential",
+    ],
     "unlicense": [
         "This is free and unencumbered software released into the public domain", "SPDX-License-Identifier: Unlicense",
     ],
@@ -92,7 +96,7 @@ AFTER = ["", "see the license file for details", "all rights reserved", "unless
 TALK = [
     "the license of the driver was checked at the gate", "a general public meeting will be held", "please read the terms of the license",
     "the public domain is a topic of its own", "he was granted permission to use the road", "the version of the story in the file",
-    "free software is a matter of liberty", "all rights reserved", "the foundation published its report", "copyright 2020 by the publisher",
+    "free software is a matter of liberty", "the foundation published its report", "copyright 2020 by the publisher",
     "creative people and the commons", "the commercial license can be bought from our office", "version 2.0", "see the file for details",
 ]
 

@@ -248,6 +248,17 @@ def test_licences_are_found_and_talk_is_not(spark, docs, odd, none):
     assert licences.scanned(odd, scanner).count() == 0 and licences.scanned(none, scanner).count() == 0
 
 
+def test_reserved_rights_are_a_family(spark, docs):
+    scanner = licences.trained(docs, rows=300)
+    planted = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.trim("line").rlike(r"^All rights reserved\.?$")).distinct().count()
+    assert planted > 0
+    got = licences.scanned(docs, scanner).where("family = 'proprietary'").select("id").distinct().count()
+    assert got >= planted
+    texts = [(1, "Copyright 2021 Example Ltd. All rights reserved."), (2, "CONFIDENTIAL AND PROPRIETARY"), (3, "Released under the MIT License. All rights reserved."), (4, "all seats were taken, tables reserved")]
+    got = licences.scanned(spark.createDataFrame(texts, "doc_id long, text string"), scanner).collect()
+    assert {(r["id"], r["family"]) for r in got} == {(1, "proprietary"), (2, "proprietary"), (3, "mit")}
+
+
 def test_anchors_lose_no_notice():
     words = set(licences.anchors(0.6, set()))
     for notice in (n for f in licences.NOTICES.values() for n in f):
