@@ -6,8 +6,9 @@ few weights become one expression. A family holds only if its probability passes
 corpus paragraphs kept apart, and if enough of the n-grams of one of its templates are in the paragraph;
 a paragraph that is like a licence but like no family is `unknown`.
 
-The scan is a projection: paragraphs are the lines of a text. Lines are looked at only if they hold one
-of the anchor words, which are chosen so that a line without any has too few of every template's n-grams.
+The scan is a projection: paragraphs are the lines of a text and the runs of lines a notice may be wrapped
+over. They are looked at only if they hold one of the anchor words, which are chosen so that a text without
+any has too few of every template's n-grams.
 """
 
 from __future__ import annotations
@@ -189,35 +190,98 @@ def trained(docs: DataFrame, text_col: str = "text", rows: int = 2000, similar:
     return Scanner(families, weights, draft.bias, min(0.9, max(0.4, held_out)), similar, draft.anchors)
 
 
+#: The words of the longest template: a notice that starts and ends amid lines holds fewer in the lines between.
+LONGEST = max(len(tokens(n)) for n in itertools.chain.from_iterable(NOTICES.values()))
+
+
+def _windows(anchor: str) -> Column:
+    """The runs of lines a notice may be wrapped over: (line, last_line, notice), each with an anchor word.
+
+    No line of a run is blank; comment signs alone are blank. From each line on, runs go on as long as the lines
+    between the first and the last hold fewer words than the longest template.
+    """
+    lines = F.transform(F.split("t", "\n", -1), lambda x: F.struct(x.alias("x"), F.size(F.regexp_extract_all(F.lower(x), F.lit(f"({TOKEN})"), F.lit(1))).alias("n"), x.rlike(anchor).alias("a")))
+
+    def ends(near: Column) -> Column:
+        """How many of the lines, the first one included, a run may have."""
+        start = F.struct(F.when(F.get(near, F.lit(0))["n"] > 0, 1).otherwise(0).alias("size"), F.lit(0).alias("between"), (F.get(near, F.lit(0))["n"] > 0).alias("on"))
+        more = lambda a, x: a["on"] & (x["n"] > 0) & (a["between"] < LONGEST)
+        return F.aggregate(
+            F.slice(near, 2, LONGEST + 1), start,
+            lambda a, x: F.struct(
+                F.when(more(a, x), a["size"] + 1).otherwise(a["size"]).alias("size"),
+                F.when(more(a, x), a["between"] + x["n"]).otherwise(a["between"]).alias("between"), more(a, x).alias("on"),
+            ),
+        )["size"]
+
+    def starting(all_lines: Column, i: Column) -> Column:
+        def sized(near: Column) -> Column:
+            runs = F.transform(F.sequence(F.lit(1), F.greatest(ends(near), F.lit(1))), lambda m: F.struct(
+                i.alias("line"), (i + m - 1).alias("last_line"), F.slice(near, F.lit(1), m).alias("of")))
+            kept = F.filter(runs, lambda r: (F.get(near, F.lit(0))["n"] > 0) & F.exists(r["of"], lambda x: x["a"]))
+            return F.transform(kept, lambda r: F.struct(r["line"], r["last_line"], F.array_join(F.transform(r["of"], lambda x: x["x"]), "\n").alias("notice")))
+
+        return _once(F.slice(all_lines, i + 1, F.lit(LONGEST + 2)), lambda near: F.when(F.exists(near, lambda x: x["a"]), sized(near)))
+
+    found = _once(lines, lambda every: F.transform(F.sequence(F.lit(0), F.size(every) - 1), lambda i: starting(every, i)))
+    return F.flatten(F.filter(found, lambda x: x.isNotNull()))
+
+
 def scanned(docs: DataFrame, scanner: Scanner, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, line, family, probability, similarity, notice): a row per line which is a licence notice.
+    """(id, line, last_line, family, probability, similarity, notice): a row per licence notice.
 
-    `line` counts all lines from 0. Null and empty texts have no rows; repeated rows each give theirs.
+    A notice is a line, or a run of lines it is wrapped over; lines count from 0, blank ones too. Of
+    overlapping runs the one with a family, most like its template, then the shortest and first counts. Null
+    and empty texts have no rows; repeated rows each give theirs.
     """
     rows = docs.select(column(id_col).alias("id"), column(text_col).cast("string").alias("t"))
-    words = r"(?i)(?<![a-z0-9])(?:" + "|".join(map(re.escape, scanner.anchors)) + r")(?![a-z0-9])"
-    rows = rows.where(F.col("t").rlike(words)).select("id", F.posexplode(F.split("t", "\n", -1)).alias("line", "notice")).where(F.col("notice").rlike(words))
-    rows = rows.withColumn("w", F.regexp_extract_all(F.lower("notice"), F.lit(f"({TOKEN})")))
-    pairs = F.transform(F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda b, i: F.concat_ws(" ", F.get("w", i), b))
-    rows = rows.withColumn("g", F.array_distinct(F.concat("w", F.when(F.size("w") > 1, pairs).otherwise(F.array().cast("array<string>")))))
+    anchor = r"(?i)(?<![a-z0-9])(?:" + "|".join(map(re.escape, scanner.anchors)) + r")(?![a-z0-9])"
+    rows = rows.where(F.col("t").rlike(anchor))
     # The weights of the few n-grams that have any, and the templates, are constants of the plan.
     constant = lambda value, kind: F.from_json(F.lit(json.dumps(value)), kind)
-    known = constant(scanner.weights, "map<string,array<double>>")
-    hits = F.filter(F.transform("g", lambda g: F.try_element_at(known, g)), lambda h: h.isNotNull())
-    z = F.aggregate(hits, constant(scanner.bias, "array<double>"), lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
+    known, bias = constant(scanner.weights, "map<string,array<double>>"), constant(scanner.bias, "array<double>")
     templates = constant([[sorted(ngrams(tokens(n))) for n in NOTICES[f]] for f in scanner.families[:-1]], "array<array<array<string>>>")
 
-    def judged(p: Column) -> Column:
-        best = F.array_max(F.slice(p, 1, len(scanner.families) - 1))
-        k = (F.array_position(p, best) - 1).cast("int")
-        share = F.transform(F.get(templates, k), lambda t: F.size(F.array_intersect(t, F.col("g"))) / F.size(t))
-        return F.struct(best.alias("probability"), k.alias("k"), F.array_max(share).alias("similarity"), F.element_at(p, -1).alias("none"))
-
-    # Exploded, so that the filter below is not pushed into what it filters by.
-    rows = rows.select("id", "line", "notice", F.explode(F.array(_once(_once(_once(z, _exponents), _shares), judged))).alias("f"))
-    sure = (F.col("f.probability") >= scanner.threshold) & (F.col("f.similarity") >= scanner.similar)
-    family = F.when(sure, F.get(constant(scanner.families, "array<string>"), F.col("f.k"))).otherwise(UNKNOWN)
-    return rows.where(sure | (F.col("f.none") < 0.5)).select("id", "line", family.alias("family"), "f.probability", "f.similarity", "notice")
+    def grams(w: Column) -> Column:
+        pairs = F.transform(F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), lambda b, i: F.concat_ws(" ", F.get(w, i), b))
+        return F.array_distinct(F.concat(w, F.when(F.size(w) > 1, pairs).otherwise(F.array().cast("array<string>"))))
+
+    def judged(g: Column) -> Column:
+        hits = F.filter(F.transform(g, lambda x: F.try_element_at(known, x)), lambda h: h.isNotNull())
+        z = F.aggregate(hits, bias, lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
+
+        def best_of(p: Column) -> Column:
+            best = F.array_max(F.slice(p, 1, len(scanner.families) - 1))
+            k = (F.array_position(p, best) - 1).cast("int")
+            share = F.transform(F.get(templates, k), lambda t: F.size(F.array_intersect(t, g)) / F.size(t))
+            return F.struct(best.alias("probability"), k.alias("k"), F.array_max(share).alias("similarity"), F.element_at(p, -1).alias("none"))
+
+        return _once(_once(_once(z, _exponents), _shares), best_of)
+
+    def candidate(r: Column) -> Column:
+        def ranked(f: Column) -> Column:
+            sure = (f["probability"] >= scanner.threshold) & (f["similarity"] >= scanner.similar)
+            # Sorted by these: with a family first, then the most similar, the shortest, the first.
+            return F.struct(
+                F.when(sure, 0).otherwise(1).alias("rank"), F.when(sure, -f["similarity"]).otherwise(0.0).alias("unlike"),
+                (r["last_line"] - r["line"]).alias("more"), r["line"].alias("line"), r["last_line"].alias("last_line"),
+                f["probability"].alias("probability"), f["similarity"].alias("similarity"), f["none"].alias("none"), f["k"].alias("k"), r["notice"].alias("notice"),
+            )
+
+        words = F.regexp_extract_all(F.lower(r["notice"]), F.lit(f"({TOKEN})"), F.lit(1))
+        return _once(_once(_once(words, grams), judged), ranked)
+
+    good = F.filter(F.transform(_windows(anchor), candidate), lambda c: (c["rank"] == 0) | (c["none"] < 0.5))
+    # Materialised by the explode: the best runs, no two of which overlap.
+    rows = rows.select("id", F.explode(F.array(F.array_sort(good))).alias("good")).where(F.size("good") > 0)
+    shape = rows.schema["good"].dataType
+    apart = F.aggregate(
+        "good", F.array().cast(shape),
+        lambda kept, c: F.when(F.exists(kept, lambda k: (k["line"] <= c["last_line"]) & (c["line"] <= k["last_line"])), kept).otherwise(F.concat(kept, F.array(c))),
+    )
+    rows = rows.select("id", F.explode(apart).alias("f"))
+    family = F.when(F.col("f.rank") == 0, F.get(constant(scanner.families, "array<string>"), F.col("f.k"))).otherwise(UNKNOWN)
+    return rows.select("id", "f.line", "f.last_line", family.alias("family"), "f.probability", "f.similarity", "f.notice")
 
 
 def _once(value: Column, use: Callable[[Column], Column]) -> Column:

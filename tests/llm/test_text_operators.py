@@ -259,6 +259,24 @@ def test_reserved_rights_are_a_family(spark, docs):
     assert {(r["id"], r["family"]) for r in got} == {(1, "proprietary"), (2, "proprietary"), (3, "mit")}
 
 
+def test_wrapped_notices_are_found(spark, docs):
+    scanner = licences.trained(docs, rows=300)
+    headers = {
+        "bsd": " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are met:",
+        "gpl-3.0": "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.",
+        "gpl-2.0": "# This program is free software; you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation; either version 2 of the License, or\n# (at your option) any later version.",
+        "isc": "// Permission to use, copy, modify, and/or distribute this software\n// for any purpose with or without fee\n// is hereby granted, provided that the above notice appears in all copies.",
+        "mit": "Permission is hereby granted, free of charge,\nto any person obtaining a copy\nof this software and associated\ndocumentation files (the Software), to deal",
+    }
+    texts = [(k, f"/*\n *\n{h}\n *\n */\nint main") for k, h in enumerate(headers.values())]
+    texts.append((9, "\n".join("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files".split())))
+    got = [r for r in licences.scanned(spark.createDataFrame(texts, "doc_id long, text string"), scanner).collect() if r["family"] != "unknown"]
+    assert [(r["id"], r["family"]) for r in sorted(got)] == [*enumerate(headers), (9, "mit")]
+    for r in got:
+        lines = dict(texts)[r["id"]].split("\n")
+        assert r["notice"] == "\n".join(lines[r["line"]:r["last_line"] + 1]) and r["last_line"] > r["line"]
+
+
 def test_anchors_lose_no_notice():
     words = set(licences.anchors(0.6, set()))
     for notice in (n for f in licences.NOTICES.values() for n in f):
