@@ -172,7 +172,11 @@ def identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text", at_least: float = 0.5) -> DataFrame:
-    """The rows whose language is known with a probability of at least `at_least`, all columns as they were."""
+    """The rows whose likeliest language has a probability of at least `at_least`, all columns as they were.
+
+    The probability is among the learned languages only and goes to 1 with a text's length: in effect only
+    texts without a letter are rejected. Foreign prose and letter noise pass as the nearest learned language.
+    """
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("boolean")

@@ -171,6 +171,12 @@ def test_language_on_held_out_documents(docs, odd, none):
     assert langid.accepted(odd, model).columns == odd.columns
 
 
+def test_language_stage_rejects_letterless_texts_only(spark, docs):
+    texts = [(1, "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. " * 3), (2, "xqzv kjwq pfhg zzxk " * 20), (3, "12 345 -- !!"), (4, "")]
+    got = langid.accepted(spark.createDataFrame(texts, "doc_id long, text string"), language_model(docs))
+    assert {r["doc_id"] for r in got.collect()} == {1, 2}  # as the docstring says
+
+
 def test_language_model_of_nothing(none):
     model = langid.train(none.withColumn("lang", F.lit("en")))
     assert model.predict(langid.buckets("words")) == ("und", 0.0)
