@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sparkboard.llm import bpe, html, langid, licences, lines, mixing, quality, rules, simhash, stats, vectors
+from sparkboard.llm import bpe, html, interactions, langid, licences, lines, mixing, quality, resample, rules, simhash, stats, vectors
 from sparkboard.llm.shared import saved, shipped
 
 
@@ -105,8 +105,21 @@ def op10_html(spark: SparkSession, folder: str) -> DataFrame:
     return html.extracted(table(spark, folder, "pages"))
 
 
+def op11_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    found = resample.resampled(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+def op12_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return interactions.interactions(table(spark, folder, "documents"), table(spark, folder, "labels"), F.col("lang"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_embeddings, op3_simhash, op4_lines, op5_mixing, op6_quality, op7_langid, op8_rules, op9_licences, op10_html)
+    f.__name__: f
+    for f in (
+        op1_bpe, op2_embeddings, op3_simhash, op4_lines, op5_mixing, op6_quality, op7_langid, op8_rules, op9_licences, op10_html,
+        op11_resampling, op12_filters,
+    )
 }
 #: Every block of 1, 2, 4, ... lines by its text, instead of by ranks.
 LINES_SQL = r"""
@@ -146,5 +159,6 @@ VECTORS_SQL = """
 SQL: dict[str, str] = {
     "op2_embeddings": VECTORS_SQL,
     "op4_lines": LINES_SQL,
+    "op12_filters": interactions.interactions_sql(),
     "op5_mixing": mixing.mixed_sql({"source": "source", "lang": "lang", "topic": mixing.TOPIC_SQL}, MIX_POWERS),
 }
