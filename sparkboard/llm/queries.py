@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sparkboard.llm import bpe, html, interactions, langid, licences, lines, mixing, quality, resample, rules, simhash, stats, vectors
+from sparkboard.llm import bpe, html, interactions, langid, licences, lines, maxent, mixing, quality, resample, rules, simhash, stats, vectors
 from sparkboard.llm.shared import saved, shipped
 
 
@@ -114,11 +114,20 @@ def op12_filters(spark: SparkSession, folder: str) -> DataFrame:
     return interactions.interactions(table(spark, folder, "documents"), table(spark, folder, "labels"), F.col("lang"))
 
 
+def op13_maxent(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = F.coalesce(remainder(5) == 1, F.lit(True))
+    learning = docs.where(~held_out)
+    counts = maxent.token_counts(learning)
+    found = maxent.scored(docs, maxent.trained(learning, maxent.untrained(counts)), counts).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_bpe, op2_embeddings, op3_simhash, op4_lines, op5_mixing, op6_quality, op7_langid, op8_rules, op9_licences, op10_html,
-        op11_resampling, op12_filters,
+        op11_resampling, op12_filters, op13_maxent,
     )
 }
 #: Every block of 1, 2, 4, ... lines by its text, instead of by ranks.
