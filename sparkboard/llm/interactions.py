@@ -1,24 +1,24 @@
 """How filters act together: what each one removes behind any others, and what is lost by it.
 
-Every filter has a relation of the rows that fail it. The rows that survive a set of filters are those in
-none of their relations (left-anti joins); a filter removes the rows of its relation that are in none of the
-relations before it (left-anti joins), and is redundant for those that are in one of them (left-semi join).
-This depends on the set of the filters before, not on their order, so n filters need 2^n sets for n! orders.
+Every filter has a relation of the rows that fail it. Left-semi joins with the relations of some filters and
+left-anti joins with those of all others give the rows which fail just these: disjoint regions, 2^n for n
+filters, the survivors of all filters one of them. What any prefix of any order leaves, removes, finds removed
+before and loses of labelled rows is made of whole regions, so that n! orders need no further look at rows.
 Relations are bucketed by the row's key, so that none of these joins moves a row.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from functools import reduce
 from itertools import permutations
 from math import factorial
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sparkboard.llm.shared import WORD, column, dropped, saved
-from sparkboard.sources.scratch import local_table, new_path
+from sparkboard.sources.scratch import new_path
 
 #: Rows of a bucket aimed at.
 BUCKET_ROWS = 250_000
@@ -26,7 +26,6 @@ BUCKET_ROWS = 250_000
 MANY = 10_000
 
 KEY = "__key"
-COUNTS = ("rows", "good", "toxic")
 
 
 def text_filters(text: Column) -> dict[str, Column]:
@@ -94,85 +93,76 @@ class Relations:
 
 
 def audited(rows: DataFrame, failing: Mapping[str, DataFrame]) -> DataFrame:
-    """(part, before, filter, survivors_*, removed_*, redundant_rows) per part, set of filters before, and filter.
+    """(part, mask, rows, good, toxic): the rows of each part by the filters they fail.
 
-    `rows` holds (key, part, good, toxic), `failing` a relation of the same columns per filter. `before` is a
-    bit mask in the order of `failing`. Every part has a row for each combination, zeros included. No rows
-    give no parts.
+    `rows` holds (key, part, good, toxic), `failing` a relation of the same columns per filter. `mask` has a
+    bit per filter, in the order of `failing`; masks without a row are left out.
     """
-    spark, names, columns = rows.sparkSession, list(failing), [KEY, "part", "good", "toxic"]
+    spark, columns = rows.sparkSession, [KEY, "part", "good", "toxic"]
     relations = Relations(spark, rows.count())
     everything = relations.store(rows.select(*columns), "rows")
-    fails = [relations.store(failing[f].select(*columns), f"fails_{k}") for k, f in enumerate(names)]
-    sets = range(1 << len(names))
-
-    def tagged(table: str, mask: int, place: int, what: str, joins: str) -> str:
-        return f"SELECT part, good, toxic, {mask} AS before, {place} AS place, '{what}' AS what FROM {table} {joins}"
-
-    def anti(mask: int) -> str:
-        return " ".join(f"LEFT ANTI JOIN {f} USING ({KEY})" for k, f in enumerate(fails) if mask >> k & 1)
-
-    def counted(selects: list[str]) -> DataFrame:
-        # All joins of a list are one stage: they are laid below each other before they are counted.
+    fails = [relations.store(failing[f].select(*columns), f"fails_{k}") for k, f in enumerate(failing)]
+
+    def region(mask: int) -> str:
+        """The rows in the relations of these filters and in no other."""
+        inside = [f for k, f in enumerate(fails) if mask >> k & 1]
+        start, *others = inside or [everything]
+        joins = [f"LEFT SEMI JOIN {f} USING ({KEY})" for f in others]
+        joins += [f"LEFT ANTI JOIN {f} USING ({KEY})" for k, f in enumerate(fails) if not mask >> k & 1]
+        return f"SELECT part, good, toxic, {mask} AS mask FROM {start} {' '.join(joins)}"
+
+    def counted(masks: range) -> DataFrame:
+        # All joins of some regions are one stage: they are laid below each other before they are counted.
         return saved(spark.sql(f"""
-            SELECT part, before, place, what, count(*) AS rows, count_if(good) AS good, count_if(toxic) AS toxic
-            FROM ({" UNION ALL ".join(selects)}) GROUP BY part, before, place, what"""), "audit-counts")
-
-    done = [counted([tagged(everything, mask, -1, "survivors", anti(mask)) for mask in sets])]
-    for place, own in enumerate(fails):
-        selects = []
-        for mask in sets:
-            if mask >> place & 1:
-                continue
-            # Of the rows which fail this filter: those no filter before has removed, and the others.
-            selects.append(tagged(own, mask, place, "removed", anti(mask)))
-            if mask:
-                gone = " UNION ALL ".join(f"SELECT {KEY} FROM {f}" for k, f in enumerate(fails) if mask >> k & 1)
-                selects.append(tagged(own, mask, place, "redundant", f"LEFT SEMI JOIN ({gone}) USING ({KEY})"))
-        done.append(counted(selects))
-    found = saved(reduce(DataFrame.unionByName, done), "audit-counts")
-    relations.drop()
-    dropped(*done)
+            SELECT part, mask, count(*) AS rows, count_if(good) AS good, count_if(toxic) AS toxic
+            FROM ({" UNION ALL ".join(map(region, masks))}) GROUP BY part, mask"""), "audit-counts")
 
-    # One row per part and combination: parts are few beside rows, combinations bounded by the filters.
-    asked = [(mask, place) for mask in sets for place in range(len(names)) if not mask >> place & 1]
-    combinations = F.explode(F.array(*[F.struct(F.lit(m).alias("before"), F.lit(p).alias("place"), F.lit(names[p]).alias("filter")) for m, p in asked]))
-    every = found.where("before = 0 and what = 'survivors'").select("part", combinations.alias("c")).select("part", "c.*")
-    of = lambda what, *numbers: found.where(F.col("what") == what).select("part", "before", "place", *[F.col(c).alias(f"{what}_{c}") for c in numbers])
-    all_ = every.join(of("survivors", *COUNTS).drop("place"), ["part", "before"], "left")
-    all_ = all_.join(of("removed", *COUNTS), ["part", "before", "place"], "left").join(of("redundant", "rows"), ["part", "before", "place"], "left")
-    numbers = [f"{w}_{c}" for w, c in [*(("survivors", c) for c in COUNTS), *(("removed", c) for c in COUNTS), ("redundant", "rows")]]
-    return all_.select("part", "before", "place", "filter", *[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in numbers])
+    n, at_once = 1 << len(fails), 8
+    found = reduce(DataFrame.unionByName, [counted(range(at, min(at + at_once, n))) for at in range(0, n, at_once)])
+    relations.drop()
+    return found
 
 
 def orders(audit: DataFrame, names: list[str]) -> DataFrame:
-    """A row per part, order of the filters and step: the audit's counts for the filters before the step.
+    """A row per part, order of the filters and step, from the audit of these filters.
 
-    (part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley), where
-    unique_fails are the rows which fail the step's filter only, and shapley is what the filter removes,
-    summed over all orders.
+    (part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley): the
+    rows left after the step, those its filter removes (of them the good and the toxic ones), those which fail
+    it and were removed before, those which fail it only, and what it removes summed over all orders.
     """
     n = len(names)
-    steps = [
-        ("".join(order), k + 1, sum(1 << names.index(f) for f in order[:k]), names.index(order[k]))
+    # One row per part, with at most 2^n counts.
+    parts = audit.groupBy("part").agg(F.collect_list(F.struct("mask", "rows", "good", "toxic")).alias("regions"))
+    steps = F.array(*[
+        F.struct(
+            F.lit("".join(order)).alias("filter_order"), F.lit(k + 1).alias("step"),
+            F.lit(sum(1 << names.index(f) for f in order[:k])).alias("before"), F.lit(1 << names.index(order[k])).alias("own"),
+        )
         for order in permutations(names) for k in range(n)
-    ]
-    schema = T.StructType([
-        T.StructField("filter_order", T.StringType()), T.StructField("step", T.IntegerType()),
-        T.StructField("before", T.IntegerType()), T.StructField("place", T.IntegerType()),
     ])
-    table = local_table(audit.sparkSession, steps, schema)
-    n_before = F.bit_count("before")
-    # A set of k filters stands before a filter in k! (n - 1 - k)! orders.
-    times = F.element_at(F.array(*[F.lit(factorial(k) * factorial(n - 1 - k)) for k in range(n)]), n_before + 1)
-    alone = F.when(n_before == n - 1, F.col("removed_rows")).otherwise(0)
-    per_filter = audit.groupBy("part", "place").agg(F.sum(times * F.col("removed_rows")).alias("shapley"), F.max(alone).cast("long").alias("unique_fails"))
-    found = audit.join(table, ["before", "place"]).join(per_filter, ["part", "place"])
-    return found.select(
+    rows = parts.select("*", F.explode(steps).alias("s")).select("part", "regions", "s.*")
+
+    def total(what: str, which: Callable[[Column], Column]) -> Column:
+        return F.aggregate("regions", F.lit(0).cast("long"), lambda a, r: a + F.when(which(r["mask"]), r[what]).otherwise(0))
+
+    own, before = F.col("own"), F.col("before")
+    here = lambda m: ((m.bitwiseAND(before)) == 0) & (m.bitwiseAND(own) != 0)
+
+    def shapley() -> Column:
+        # Of the filters a row fails, the first one removes it: each of f filters in n! / f orders.
+        orders_of = lambda m: (F.lit(factorial(n)) / F.bit_count(m)).cast("long")
+        fails = lambda m: m.bitwiseAND(own) != 0
+        return F.aggregate("regions", F.lit(0).cast("long"), lambda a, r: a + F.when(fails(r["mask"]), r["rows"] * orders_of(r["mask"])).otherwise(0))
+
+    return rows.select(
         "part", "filter_order", "step",
-        (F.col("survivors_rows") - F.col("removed_rows")).alias("kept"), F.col("removed_rows").alias("removed"),
-        F.col("redundant_rows").alias("redundant"), "unique_fails",
-        F.col("removed_good").alias("good_lost"), F.col("removed_toxic").alias("toxic_lost"), "shapley",
+        total("rows", lambda m: m.bitwiseAND(before.bitwiseOR(own)) == 0).alias("kept"),
+        total("rows", here).alias("removed"),
+        total("rows", lambda m: (m.bitwiseAND(before) != 0) & (m.bitwiseAND(own) != 0)).alias("redundant"),
+        total("rows", lambda m: m == own).alias("unique_fails"),
+        total("good", here).alias("good_lost"),
+        total("toxic", here).alias("toxic_lost"),
+        shapley().alias("shapley"),
     )
 
 
