@@ -57,6 +57,25 @@ def smallest_hash(df: DataFrame, keys: list[str], rows: int, of: int) -> DataFra
     return hashed.dropDuplicates(keys).orderBy(*order).limit(rows).drop("__hash")
 
 
+def most_frequent(counts: DataFrame, key: str, size: int) -> list:
+    """The (key, n) rows of the largest counts, the largest first, at most `size`, on the driver.
+
+    Counts are cut between ranges of an eighth of a power of two, so that no task sends more than what is
+    asked for: fewer rows come where a whole range does not fit any more.
+    """
+    ranged = counts.withColumn("__range", F.floor(F.log2("n") * 8).cast("int"))
+    least, left = None, size
+    for r in ranged.groupBy("__range").count().orderBy(F.desc("__range")).collect():  # at most 504 rows
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r["__range"]
+    if least is None:
+        return []
+    found = ranged.where(F.col("__range") >= least).select(key, "n").collect()
+    return sorted(found, key=lambda r: (-r["n"], bytes(r[key])))
+
+
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
