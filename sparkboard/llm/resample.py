@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sparkboard.llm.shared import column, saved
+from sparkboard.llm.shared import column, dropped, most_frequent, saved
 from sparkboard.sources.csv import with_row_number
 
 N_BUCKETS = 10_000
@@ -118,7 +118,10 @@ def head_words(docs: DataFrame, text_col: str = "text", size: int = HEAD) -> lis
         yield out()
 
     counted = _texts(docs, text_col).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r["word"]) for r in counted.orderBy(F.desc("n"), "word").limit(size).collect()]
+    written = saved(counted, "word-counts")
+    words = [bytes(r["word"]) for r in most_frequent(written, "word", size)]
+    dropped(written)
+    return words
 
 
 def bucket_totals(docs: DataFrame, head: list[bytes], text_col: str = "text", n_buckets: int = N_BUCKETS) -> DataFrame:
