@@ -118,6 +118,46 @@ def chart(
     return result.select(*[quoted(c) for c in (*dimensions, *map(metric_alias, metrics))])
 
 
+SET = "__set"
+
+
+@dataclass(frozen=True)
+class Grouped:
+    """Groups of several dimension lists from one aggregation; `of` gives those of one list, as `chart` would."""
+
+    rows: DataFrame
+    own: Mapping[str, str]
+    metrics: tuple[str, ...]
+
+    def of(self, dimensions: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+        chosen = self.rows.where(F.col(SET) == _set_number(list(self.own), dimensions))
+        return chosen.select(*[F.col(self.own[d]).alias(d) for d in dimensions], *[quoted(metric_alias(m)) for m in metrics])
+
+
+def _set_number(every: Sequence[str], chosen: Sequence[str]) -> int:
+    """The grouping id of a dimension list: a bit for each dimension that is not in it, the first one's highest."""
+    return sum(1 << (len(every) - 1 - i) for i, d in enumerate(every) if d not in chosen)
+
+
+def grouped(df: DataFrame, requests: Sequence[tuple[Sequence[str], Sequence[str]]], scale: int | None = None) -> Grouped:
+    """The charts (dimensions, metrics) in one scan and one shuffle, as grouping sets. No medians.
+
+    Every list of dimensions gets all metrics, which are partial sums before anything moves. A table without
+    rows has no row for an empty list.
+    """
+    dimensions = list(dict.fromkeys(d for asked, _ in requests for d in asked))
+    metrics = tuple({metric_alias(m): m for _, asked in requests for m in asked}.values())
+    if len(dimensions) > 63:
+        raise ValueError("more than 63 dimensions in one aggregation")
+    own = {d: f"__d{i}" for i, d in enumerate(dimensions)}
+    values = [aggregate(df, m, scale) for m in metrics]
+    if not own:
+        return Grouped(df.groupBy().agg(F.lit(0).cast("long").alias(SET), *values), own, metrics)
+    sets = [list(x) for x in dict.fromkeys(tuple(own[d] for d in own if d in asked) for asked, _ in requests)]
+    wide = df.withColumns({name: quoted(d) for d, name in own.items()})
+    return Grouped(wide.groupingSets(sets, *own.values()).agg(F.grouping_id().alias(SET), *values), own, metrics)
+
+
 def bar(df: DataFrame, x: str, metric: str | None = None, scale: int | None = None) -> DataFrame:
     """One bar per value; without a metric the dimension itself is the measure."""
     return chart(df, [x], [metric or f"SUM({x})"], scale).orderBy(quoted(x).asc_nulls_last())

@@ -203,6 +203,40 @@ def test_dashboard_of_every_type(spark):
     assert counts == {r["chart_id"]: r["row_count"] for r in board.status.where("status = 'success'").collect()}
 
 
+def test_grouped_charts_share_one_scan(spark, sf001):
+    lines = spark.read.parquet(f"{sf001}/lineitem.parquet")
+    sets = [["l_returnflag"], ["l_linestatus"], ["l_returnflag", "l_linestatus"], ["l_linenumber"], ["l_suppkey"], []]
+    metrics = ["SUM(l_quantity)", "AVG(l_discount)", "COUNT"]
+    found = charts.grouped(lines, [(s, metrics) for s in sets], 2)
+    plan = found.rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1
+    for s in sets:
+        assert sorted(map(repr, found.of(s, metrics).collect())) == sorted(map(repr, charts.chart(lines, s, metrics, 2).collect()))
+
+
+def test_grouped_charts_know_nulls_from_totals(spark):
+    df = spark.createDataFrame([(None, "x", 1), ("a", None, 2), ("a", "x", 4)], "g string, `s.t` string, v int")
+    found = charts.grouped(df, [(["g"], ["SUM(v)"]), (["g", "s.t"], ["SUM(v)"]), ([], ["SUM(v)"]), (["v"], ["SUM(v)"])])
+    assert sorted(map(repr, rows(found.of(["g"], ["SUM(v)"])))) == ["('a', 6)", "(None, 1)"]
+    assert len(found.of(["g", "s.t"], ["SUM(v)"]).collect()) == 3
+    assert rows(found.of([], ["SUM(v)"])) == [(7,)]
+    assert sorted(rows(found.of(["v"], ["SUM(v)"]))) == [(1, 1), (2, 2), (4, 4)]
+
+
+def test_charts_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "g string, v double")
+    specs = [Chart("k", "kpi", (), ("COUNT", "SUM(v)")), Chart("b", "bar", ("g",), ("SUM(v)",)), Chart("p", "pie", ("g",))]
+    board = dashboards.dashboard(df, profile(df), specs)
+    assert {r["chart_id"]: r["row_count"] for r in board.status.collect()}["k"] == 2
+    assert board.points.where("chart_id = 'b'").count() == 0
+
+
+def test_scatter_of_a_dashboard_can_keep_a_part(spark):
+    df = spark.range(10_000).selectExpr("id x", "id * 2 y")
+    board = dashboards.dashboard(df, profile(df), [Chart("s", "scatter", ("x", "y"))], fraction=0.1)
+    assert 800 < board.points.count() < 1200
+
+
 def test_advice_on_a_schema_with_a_repeated_name(spark):
     df = spark.sql("select 'pie' chart_type, array('a') dimensions, array('a') metrics, array(named_struct('name', 'a', 'type', 'text'), named_struct('name', 'a', 'type', 'numeric')) columns")
     assert advise.advise(df).head()["skip_reason"] is None
