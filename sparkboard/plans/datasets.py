@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sparkboard.functions.naming import dataset_name, normalize_names
 from sparkboard.functions.values import json_field, nan_to_null, typed
 from sparkboard.operators.profile import cast_by_profile, distinct_ratio, profile, type_lookup
-from sparkboard.plans.common import Query, money, on, plain, table
+from sparkboard.plans.common import Query, money, on, plain, table, total_sql
 from sparkboard.sources.csv import read_csv, with_row_number
-from sparkboard.sources.scratch import new_path
+from sparkboard.sources.scratch import materialize, new_path
 from sparkboard.sources.store import (
+    Catalog,
     dataset_record,
     latest_per_session,
-    lookup,
     read_dataset,
     rows_as_json,
     upload_csv,
@@ -93,30 +93,38 @@ CATALOG = {
     "documents": "doc_id text* lang* source* n_chars",
     "conversations": "conv_id turn role* text*",
     "events": "event_id ts@ user_id event_type* value props*",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag* l_linestatus* l_shipdate@",
+    "supplier": "s_suppkey s_name* s_nationkey s_acctbal",
+    "nation": "n_nationkey n_name* n_regionkey",
+    "region": "r_regionkey r_name*",
+    "pages": "page_id url* html*",
+    "benchmark": "item_id text*",
+    "labels": "doc_id quality toxic",
 }
 
 
-def catalog(spark: SparkSession, folder: str) -> DataFrame:
-    """One catalog record per table, from its profile."""
-    records = [
-        dataset_record(spark, profile(table(spark, folder, t)), f"My {t}.v1.CSV", t) for t in CATALOG
-    ]
-    return reduce(DataFrame.unionAll, records)
+def catalog(spark: SparkSession, folder: str) -> Catalog:
+    """A stored catalog with one record per table, from its profile; every record is added twice, as by a retry."""
+    found = Catalog(spark, new_path(spark, "catalog"), buckets=16)
+    records = [dataset_record(spark, profile(table(spark, folder, t)), f"My {t}.v1.CSV", t) for t in CATALOG]
+    together = materialize(reduce(DataFrame.unionAll, records), "all-records")
+    for _ in range(2):
+        found.add(together, "first")
+    return found
 
 
 def catalog_records(spark: SparkSession, folder: str) -> DataFrame:
-    return catalog(spark, folder).select(
+    return catalog(spark, folder).records().select(
         "dataset_id", "dataset_name", "row_count", "column_count", _columns_text()
     )
 
 
 def dataset_lookup(spark: SparkSession, folder: str) -> DataFrame:
-    # The record is stored, among others, and found again.
-    path = new_path(spark, "catalog")
-    for name in ("documents", "events"):
-        rows = table(spark, folder, name)
-        dataset_record(spark, profile(rows.select(*rows.columns)), name, name).write.mode("append").parquet(path)
-    return lookup(spark.read.parquet(path), "documents").select("dataset_id", "row_count", "column_count")
+    """One record of the whole catalog, by its dataset and by its session; one bucket is opened for each."""
+    found = catalog(spark, folder)
+    found.compact()
+    parts = [found.dataset("documents").withColumn("by", F.lit("dataset")), found.session("lineitem").withColumn("by", F.lit("session"))]
+    return reduce(DataFrame.unionByName, parts).select("by", "dataset_id", "row_count", "column_count")
 
 
 def _type_sql(name: str) -> str:
@@ -223,18 +231,16 @@ def _text_profile_sql() -> str:
 
 
 def retyped_lineitems(spark: SparkSession, folder: str) -> DataFrame:
-    """Text in, typed rows out: sums over the columns the profile found to be numbers."""
-    rows = table(spark, folder, "lineitem").select(
-        F.col("l_orderkey").cast("string").alias("l_orderkey"),
-        F.col("l_quantity").cast("string").alias("l_quantity"),
-        F.date_format("l_shipdate", "dd/MM/yyyy").alias("l_shipped"),
-        F.when(F.col("l_discount") > 0.05, "True").otherwise("false").alias("l_reduced"),
-    )
-    found = nan_to_null(cast_by_profile(rows, profile(rows)))
-    return plain(found.groupBy("l_shipped").agg(
-        F.sum("l_orderkey").alias("keys"),
-        F.sum("l_quantity").alias("quantity"),
-        F.count_if("l_reduced").alias("reduced"),
+    """Text in, typed rows out, all columns: sums over what the profile found to be numbers."""
+    rows = table(spark, folder, "lineitem")
+    shipped = F.date_format("l_shipdate", "dd/MM/yyyy").alias("l_shipped")
+    reduced = F.when(F.col("l_discount") > 0.05, "True").otherwise("false").alias("l_reduced")
+    text = rows.select(*[F.col(c).cast("string").alias(c) for c in rows.columns if c != "l_shipdate"], shipped, reduced)
+    # Written, as an upload is: casts and sums together are too much for one generated method.
+    found = materialize(nan_to_null(cast_by_profile(text, profile(text))), "typed-lineitems")
+    sums = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    return plain(found.groupBy("l_shipped", "l_returnflag", "l_linestatus").agg(
+        *[F.sum(c).alias(c.removeprefix("l_")) for c in sums], F.count_if("l_reduced").alias("reduced"),
     ))
 
 
@@ -378,8 +384,9 @@ QUERIES = {
     ),
     "catalog_records": Query("E9 P1 P2", catalog_records, CATALOG_SQL),
     "dataset_lookup": Query(
-        "E10 P2", dataset_lookup,
-        "SELECT 'documents' AS dataset_id, COUNT(*) AS row_count, 5 AS column_count FROM documents",
+        "E9 E10 E11 P2", dataset_lookup,
+        """SELECT 'dataset' AS by, 'documents' AS dataset_id, COUNT(*) AS row_count, 5 AS column_count FROM documents
+           UNION ALL SELECT 'session', 'lineitem', COUNT(*), 11 FROM lineitem""",
     ),
     "latest_order_per_customer": Query(
         "E11", on("orders", lambda o: latest_per_session(o, "o_custkey", "o_orderdate", "o_orderkey").select(
@@ -396,9 +403,12 @@ QUERIES = {
     "profile_text_lineitems": Query("P1", profiled_text, _text_profile_sql()),
     "retyped_lineitems": Query(
         "E7 E12 P1", retyped_lineitems,
-        """SELECT CAST(l_shipdate AS VARCHAR) AS l_shipped, CAST(SUM(l_orderkey) AS BIGINT) AS keys,
-               SUM(l_quantity) AS quantity, CAST(COUNT(CASE WHEN l_discount > 0.05 THEN 1 END) AS BIGINT)
-               AS reduced FROM lineitem GROUP BY l_shipdate""",
+        f"""SELECT CAST(l_shipdate AS VARCHAR) AS l_shipped, l_returnflag, l_linestatus, {", ".join(
+                f"CAST(SUM({c}) AS BIGINT) AS {c.removeprefix('l_')}"
+                for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))}, SUM(l_quantity) AS quantity, {", ".join(
+                f"{total_sql(c)} AS {c.removeprefix('l_')}" for c in ("l_extendedprice", "l_discount", "l_tax"))},
+                CAST(COUNT(CASE WHEN l_discount > 0.05 THEN 1 END) AS BIGINT) AS reduced
+            FROM lineitem GROUP BY l_shipdate, l_returnflag, l_linestatus""",
     ),
     "distinct_ratio": Query(
         "P3", on("lineitem", lambda li: distinct_ratio(li, "l_extendedprice")),

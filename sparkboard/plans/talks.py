@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparkboard.operators import audit, convo
 from sparkboard.plans.common import Query, on, plain, table
+from sparkboard.sources.buckets import Table
 from sparkboard.sources.scratch import new_path
 from sparkboard.streaming.audit import rate_audit_stream, write_audit
 
@@ -73,6 +74,16 @@ def audit_stream(spark: SparkSession, folder: str) -> DataFrame:
     return plain(spark.read.schema(result.schema).parquet(path))
 
 
+def stored_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """Messages in a stored table, saved twice as by a retry; sessions that hold a system message are deleted from it."""
+    messages = table(spark, folder, "conversations")
+    stored = Table(spark, new_path(spark, "messages"), "conv_id", messages.schema, buckets=32)
+    for _ in range(2):
+        stored.append(messages, "first")
+    stored.delete(messages.where("role = 'system'").select("conv_id"))
+    return convo.session_rollup(stored.read(), "conv_id", "turn")
+
+
 AUDIT_SQL = f"""
     SELECT CAST(time_bucket(INTERVAL '1 hour', ts) AS VARCHAR) AS window_start,
         CAST(time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' AS VARCHAR) AS window_end,
@@ -124,6 +135,11 @@ QUERIES = {
         """SELECT conv_id, MAX(turn) AS updated_at, COUNT(*) AS n_messages, COUNT(*) AS messages_left
            FROM conversations GROUP BY conv_id HAVING COUNT(*) FILTER (WHERE role = 'system') = 0""",
     ),
+    "stored_sessions": Query(
+        "E8 H3 H5", stored_sessions,
+        """SELECT conv_id, MAX(turn) AS updated_at, COUNT(*) AS n_messages FROM conversations
+           GROUP BY conv_id HAVING COUNT(*) FILTER (WHERE role = 'system') = 0""",
+    ),
     "dashboard_flags": Query(
         "H6", on("conversations", lambda c: convo.dashboard_flags(c, F.col("role") == "system", "conv_id")),
         "SELECT conv_id, bool_or(role = 'system') AS has_dashboard FROM conversations GROUP BY 1",

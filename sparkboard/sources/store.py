@@ -6,12 +6,14 @@ import hashlib
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from sparkboard.functions.naming import dataset_name
 from sparkboard.functions.values import nan_to_null
 from sparkboard.operators.profile import cast_by_profile, profile
+from sparkboard.sources.buckets import Table
 from sparkboard.sources.csv import read_csv_once
+from sparkboard.sources.scratch import discard, materialize
 
 COLUMNS_TYPE = "array<struct<name:string,type:string>>"
 
@@ -97,9 +99,62 @@ def latest_of_session(datasets: DataFrame, session_id: str) -> DataFrame:
     return mine.orderBy(F.desc("created_at"), F.desc("dataset_id")).limit(1)
 
 
+RECORD = T.StructType([
+    T.StructField("dataset_id", T.StringType()), T.StructField("dataset_name", T.StringType()),
+    T.StructField("owner_uid", T.StringType()), T.StructField("session_id", T.StringType()),
+    T.StructField("row_count", T.LongType()), T.StructField("column_count", T.IntegerType()),
+    T.StructField("columns", T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("type", T.StringType())]))),
+    T.StructField("created_at", T.TimestampType()), T.StructField("location", T.StringType()),
+])
+
+
+@dataclass(frozen=True)
+class Catalog:
+    """The records of a store, dealt by dataset and, a second time, by session, so that either lookup opens one bucket."""
+
+    spark: SparkSession
+    path: str
+    buckets: int = 64
+
+    @property
+    def by_dataset(self) -> Table:
+        return Table(self.spark, f"{self.path}/by_dataset", "dataset_id", RECORD, self.buckets)
+
+    @property
+    def by_session(self) -> Table:
+        return Table(self.spark, f"{self.path}/by_session", "session_id", RECORD, self.buckets)
+
+    def add(self, records: DataFrame, upload_id: str | None = None) -> None:
+        """Add records; with an upload id, adding them again changes nothing."""
+        written = materialize(records, "records")
+        for table in (self.by_session, self.by_dataset):
+            table.append(written, upload_id)
+        discard(written)
+
+    def dataset(self, dataset_id: str) -> DataFrame:
+        """The newest record of a dataset: no row or one."""
+        return latest_per_session(self.by_dataset.lookup(dataset_id), "dataset_id", "created_at", "location")
+
+    def session(self, session_id: str) -> DataFrame:
+        """The newest record of a session: no row or one."""
+        return latest_of_session(self.by_session.lookup(session_id), session_id)
+
+    def records(self) -> DataFrame:
+        return self.by_dataset.read()
+
+    def compact(self) -> None:
+        """Many small files to one a bucket. Of a dataset uploaded again the newest record stays; sessions keep all."""
+        self.by_dataset.compact([F.desc("created_at"), F.desc_nulls_last("location")])
+        self.by_session.compact()
+
+
+def catalog_of(spark: SparkSession, store: str) -> Catalog:
+    return Catalog(spark, f"{store.rstrip('/')}/catalog")
+
+
 def read_uploaded(spark: SparkSession, store: str, dataset_id: str) -> DataFrame:
     """The rows of an uploaded dataset, as its record says."""
-    record = lookup(spark.read.parquet(f"{store}/datasets"), dataset_id).head()
+    record = catalog_of(spark, store).dataset(dataset_id).head()
     if record is None:
         raise ValueError(f"no dataset {dataset_id!r} in {store}")
     return spark.read.parquet(record["location"])
@@ -138,9 +193,6 @@ def upload_csv(
     rows.write.parquet(location)
     name = file_name or path.rstrip("/").rsplit("/", 1)[-1]
     record = dataset_record(spark, columns, name, dataset_id, owner, session_id, location)
-    record.write.mode("append").parquet(f"{store}/datasets")
-    return Upload(
-        spark.read.parquet(location),
-        columns,
-        lookup(spark.read.parquet(f"{store}/datasets"), dataset_id),
-    )
+    catalog = catalog_of(spark, store)
+    catalog.add(record, location.rsplit("/", 1)[-1])
+    return Upload(spark.read.parquet(location), columns, catalog.dataset(dataset_id))

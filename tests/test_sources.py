@@ -121,7 +121,7 @@ def test_an_upload_can_be_repeated(spark, tmp_path):
     place = str(tmp_path / "store")
     first = store.upload_csv(spark, write(tmp_path, "a.csv", "x\n1\n2\n"), place, "d")
     again = store.upload_csv(spark, write(tmp_path, "b.csv", "x\n7\n8\n9\n"), place, "d")
-    catalog = spark.read.parquet(f"{place}/datasets")
+    catalog = store.catalog_of(spark, place).records()
     assert store.lookup(catalog, "d").count() == 1 and store.lookup(catalog, "d").head()["row_count"] == 3
     assert sorted(r["x"] for r in store.read_uploaded(spark, place, "d").collect()) == [7, 8, 9]
     assert first.rows.count() == 2 and again.rows.count() == 3
@@ -158,7 +158,7 @@ def test_upload(spark, tmp_path):
         "customer_id": "bigint", "order_date": "timestamp_ntz", "amt": "decimal(3,2)",
         "flag": "boolean", "empty": "double", "region": "string", "row_number": "bigint",
     }
-    catalog = spark.read.parquet(f"{place}/datasets")
+    catalog = store.catalog_of(spark, place).records()
     assert store.latest_of_session(catalog, "s").head()["dataset_id"] == "d2"
     assert store.latest_per_session(catalog).head()["dataset_id"] == "d2"
     assert store.lookup(catalog, "nobody").count() == 0
