@@ -236,8 +236,7 @@ def retyped_lineitems(spark: SparkSession, folder: str) -> DataFrame:
     shipped = F.date_format("l_shipdate", "dd/MM/yyyy").alias("l_shipped")
     reduced = F.when(F.col("l_discount") > 0.05, "True").otherwise("false").alias("l_reduced")
     text = rows.select(*[F.col(c).cast("string").alias(c) for c in rows.columns if c != "l_shipdate"], shipped, reduced)
-    # Written, as an upload is: casts and sums together are too much for one generated method.
-    found = materialize(nan_to_null(cast_by_profile(text, profile(text))), "typed-lineitems")
+    found = nan_to_null(cast_by_profile(text, profile(text)))
     sums = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
     return plain(found.groupBy("l_shipped", "l_returnflag", "l_linestatus").agg(
         *[F.sum(c).alias(c.removeprefix("l_")) for c in sums], F.count_if("l_reduced").alias("reduced"),

@@ -45,15 +45,32 @@ def test_vectors_equal_all_pairs(spark, monkeypatch):
     rows += [(735, [float("nan")] * 6), (736, [float("inf")] + [1.0] * 5), (737, rows[8][1][:4]), (738, rows[9][1])]
     links, low = linked(rows)
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("item", F.lit("x")).withColumn("shard", F.lit(1))
-    for cell, tile in ((4096, 8192), (32, 50)):
+    for cell, tile, cells in ((4096, 8192, None), (32, 50, True), (32, 100, False)):
         monkeypatch.setattr(vectors, "TILE", tile)
-        got = {r["id"]: (r["n_links"], r["component"]) for r in vectors.near_duplicates(table, cell=cell).collect()}
+        got = {r["id"]: (r["n_links"], r["component"]) for r in vectors.near_duplicates(table, cell=cell, cells=cells).collect()}
         assert got == {i: (n, c) for (i, _), n, c in zip(rows, links, low)}
     assert vectors.near_duplicates(table.where("false")).count() == 0
     lost = spark.createDataFrame([(None, [1.0, 0.0]), (1, [1.0, 0.0])], "vec_id long, embedding array<float>")
     assert {tuple(r) for r in vectors.near_duplicates(lost).collect()} == {(None, 0, None), (1, 0, 1)}
 
 
+def test_rows_which_repeat_an_id_with_other_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for cells in (True, False):
+        got = sorted(tuple(r) for r in vectors.near_duplicates(table, cell=1, cells=cells).collect())
+        assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
+
+
+def test_cells_are_used_where_they_pay():
+    rng = np.random.default_rng(3)
+    spread = rng.standard_normal((2000, 64)).astype(np.float32)
+    corners = np.where(rng.random((8, 64)) < 0.5, -1, 1)
+    gathered = (corners[rng.integers(8, size=2000)] + 0.01 * rng.standard_normal((2000, 64))).astype(np.float32)
+    assert not vectors.Blocks(64, 0.9, 4, 6, spread).pays(spread, 16)
+    assert vectors.Blocks(64, 0.9, 4, 2, gathered).pays(gathered, 16)
+
+
 def test_mixing_reaches_its_targets(spark):
     cells = spark.createDataFrame(
         [("a", "x", 900), ("a", "y", 50), ("b", "x", 30), ("b", "y", 20), ("c", "x", 7), ("d", "y", 0)], "s string, l string, tokens long"
