@@ -8,12 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 
 from sparkboard.functions.naming import snake_case_columns
 from sparkboard.functions.values import missing_to_null, quoted
+from sparkboard.sources.records import PLACE, records, splittable
 from sparkboard.sources.scratch import materialize
 
 ROW_NUMBER = "row_number"
 _RECORD = "__record"
-# Where a row comes from: its file, the block of the file, and its place within the block.
-PLACE = ("__file", "__block", "__place")
 
 
 def read_csv(
@@ -26,14 +25,16 @@ def read_csv(
     """Read comma-separated files with a header row; every column is text, missing values null.
 
     With "auto", one pass over the raw lines finds the files which are not UTF-8 (they are read as
-    Latin-1) and those with line breaks inside quotes. Only the latter give up splitting a file
-    into many tasks. Naming both arguments skips that pass for a single file. Several files may have
-    their columns in different orders, but must have the same ones. With row numbers, the files are parsed
+    Latin-1) and those with line breaks inside quotes, whose lines are joined to records first. Both kinds
+    are split into many tasks; only files of other charsets, or of lines that end with carriage returns alone,
+    are not if their quotes hold line breaks. Naming both arguments skips that pass for a single file. A file
+    which ends inside quotes fails. Several files may have their columns in different orders, but must
+    have the same ones. With row numbers, the files are parsed
     once into a table, and a column of the file which would be called like the number gets another name.
     """
     if row_number:
         return read_csv_once(spark, path, encoding, multiline)
-    return _read(spark, path, encoding, multiline).drop(*PLACE)
+    return _read(spark, path, encoding, multiline, in_order=True).drop(*PLACE)
 
 
 def read_csv_once(
@@ -44,11 +45,12 @@ def read_csv_once(
     The files are parsed once, into a columnar table in the shared folder.
     """
     rows = _read(spark, path, encoding, multiline, reserved=(ROW_NUMBER,))
-    return number_rows(materialize(place_rows(rows), "csv-text"))
+    return number_rows(materialize(rows, "csv-text"))
 
 
 def _read(
-    spark: SparkSession, path: str, encoding: str, multiline: bool | str, reserved: tuple[str, ...] = ()
+    spark: SparkSession, path: str, encoding: str, multiline: bool | str, reserved: tuple[str, ...] = (),
+    in_order: bool = False,
 ) -> DataFrame:
     parts, names = [], None
     for charset, broken, paths in _reading_groups(spark, path, encoding, multiline):
@@ -59,7 +61,7 @@ def _read(
         if names is not None and set(own) != set(names):
             raise ValueError(f"files with different columns in {path}: {sorted(set(own) ^ set(names))}")
         names = names or own
-        parts.append(_read_group(spark, own, charset, broken, paths))
+        parts.append(_read_group(spark, own, charset, broken, paths, in_order))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -117,8 +119,18 @@ def _reader(spark: SparkSession, charset: str, multiline: bool):
 
 
 def _read_group(
-    spark: SparkSession, names: list[str], charset: str, multiline: bool, paths: list[str]
+    spark: SparkSession, names: list[str], charset: str, multiline: bool, paths: list[str], in_order: bool
 ) -> DataFrame:
+    """The files' rows with their places, on demand sorted by them if joining lines has lost their order."""
+    if multiline and splittable(spark, paths, charset):
+        fields = ", ".join(f"c{k} STRING" for k in range(len(names)))
+        options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _RECORD}
+        cells = F.from_csv("record", f"{fields}, {_RECORD} STRING", options).alias("cells")
+        found = records(spark, paths, charset)
+        rows = (found.orderBy(*PLACE) if in_order else found).select(*PLACE, cells)
+        given = [F.col(f"cells.c{k}").alias(n) for k, n in enumerate(names)]
+        rows = rows.select(*given, F.col(f"cells.{_RECORD}").alias(_RECORD), *PLACE)
+        return _checked(rows, names).select(*map(_cell, names), *PLACE)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _RECORD]])
     rows = (
         _reader(spark, charset, multiline)
@@ -126,19 +138,23 @@ def _read_group(
         .schema(schema)
         .csv(paths)
     )
-    # Short rows are filled with nulls. A row with more cells than the header is an error: reading
-    # it would lose the cells at its end.
-    outside_quotes = F.regexp_replace(quoted(_RECORD), r'"([^"]|"")*"', "")
+    return place_rows(_checked(rows, names).select(*map(_cell, names), *_file_and_block()))
+
+
+def _cell(name: str) -> Column:
+    return missing_to_null(quoted(name)).alias(name)
+
+
+def _checked(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Short rows are filled with nulls. A row with more cells than the header is an error: reading it
+    would lose the cells at its end."""
+    outside_quotes = F.regexp_replace(quoted(_RECORD), r'"[^"]*+(?:""[^"]*+)*+"', "")
     cells = F.length(outside_quotes) - F.length(F.replace(outside_quotes, F.lit(","), F.lit(""))) + 1
     too_long = quoted(_RECORD).isNotNull() & (cells > len(names))
     # The message names the first cell: Spark does not read the raw record without a column.
     first = F.coalesce(quoted(names[0]), F.lit(""))
     message = F.concat(F.lit(f"more than {len(names)} cells, row '"), first, F.lit("': "), quoted(_RECORD))
-    checked = rows.filter(F.when(too_long, F.raise_error(message).cast("boolean")).otherwise(True))
-    return checked.select(
-        *[missing_to_null(quoted(n)).alias(n) for n in names],
-        *_file_and_block(),
-    )
+    return rows.filter(F.when(too_long, F.raise_error(message).cast("boolean")).otherwise(True))
 
 
 def _file_and_block() -> list[Column]:
