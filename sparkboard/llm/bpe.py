@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, types as T
 
-from sparkboard.llm.shared import column
+from sparkboard.llm.shared import column, valid_text
 
 #: Words whose tokens a Python worker remembers; more only cost time.
 REMEMBERED = 150_000
@@ -267,7 +267,10 @@ def digests(text: str | None, tokenizer: WordTokenizer) -> tuple[int, str, str]:
 
 
 def encoded_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256) per row. A null text is an empty one; other columns are not read."""
+    """(id, n_tokens, ids_sha256, decoded_sha256) per row.
+
+    A null text is an empty one, bytes which are not UTF-8 are U+FFFD; other columns are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(tokenizer_path)
@@ -279,13 +282,13 @@ def encoded_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id"
                 ["id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    rows = docs.select(column(id_col).cast("long").alias("id"), column(text_col).cast("string").alias("text"))
+    rows = docs.select(column(id_col).cast("long").alias("id"), valid_text(text_col).alias("text"))
     return rows.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encoded(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, the columns of `keep`, n_tokens, ids array<int>, decoded_sha256) per row: the tokens themselves,
-    and the digest of what they decode to. A null text has no tokens.
+    and the digest of what they decode to. A null text has no tokens, bytes which are not UTF-8 are U+FFFD.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,7 +305,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_c
             made = [pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(shown, pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], [*batch.schema.names[1:], "n_tokens", "ids", "decoded_sha256"])
 
-    rows = docs.select(column(text_col).cast("string").alias("__text"), column(id_col).cast("long").alias("id"), *[column(c) for c in keep])
+    rows = docs.select(valid_text(text_col).alias("__text"), column(id_col).cast("long").alias("id"), *[column(c) for c in keep])
     schema = T.StructType(rows.schema.fields[1:]).add("n_tokens", "long").add("ids", T.ArrayType(T.IntegerType())).add("decoded_sha256", "string")
     return rows.mapInArrow(run, schema)
 

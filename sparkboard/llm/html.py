@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sparkboard.llm.shared import column
+from sparkboard.llm.shared import column, valid_text
 
 # Names of HTML elements, roles, and words of class names and ids.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -285,7 +285,10 @@ def main_text(markup: str | None) -> str:
 
 
 def extracted(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
-    """(id, the columns of `keep`, text, n_chars) per row; text is empty where there is none or the page is null."""
+    """(id, the columns of `keep`, text, n_chars) per row; text is empty where there is none or the page is null.
+
+    Bytes which are not UTF-8 are U+FFFD.
+    """
     names = [id_col, *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,6 +297,6 @@ def extracted(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
             made = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], [*names, "text", "n_chars"])
 
-    rows = pages.select(column(html_col).cast("string").alias("__html"), *[column(c) for c in names])
+    rows = pages.select(valid_text(html_col).alias("__html"), *[column(c) for c in names])
     schema = rows.drop("__html").schema.add("text", "string").add("n_chars", "long")
     return rows.mapInArrow(run, schema)

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sparkboard.llm.shared import column
+from sparkboard.llm.shared import column, saved, valid_text
 
 UNKNOWN = "und"
 BUCKETS = 1 << 14
@@ -88,7 +88,7 @@ class Model:
     sizes: tuple[int, ...]
 
     def predict(self, counts: np.ndarray | None) -> tuple[str, float]:
-        """The likeliest language and its probability, every language as likely beforehand."""
+        """The likeliest language and its probability, every language as likely beforehand; of equal ones the first by name."""
         if counts is None or not self.languages:
             return UNKNOWN, 0.0
         hit = np.flatnonzero(counts)
@@ -103,16 +103,19 @@ def train(
 ) -> Model:
     """Learn from at most `per_language` texts of each language: those with the smallest hashes.
 
-    The bound is this parameter; rows with a null text or language are passed over. Ties between equal
-    texts do not matter, as equal texts count alike. Counts are added up per task before they meet, one
+    The bound is this parameter; rows with a null text or language are passed over. Copies of a text count
+    once, for the bound and for the model. Bytes which are not UTF-8 are U+FFFD. Counts are added up per task before they meet, one
     row per task and language, each a vector of `n_buckets`.
     """
-    rows = docs.select(column(text_col).cast("string").alias("text"), column(lang_col).cast("string").alias("lang")).dropna()
+    rows = docs.select(valid_text(text_col).alias("text"), valid_text(lang_col).alias("lang")).dropna()
     # The bound by a threshold on the hash, found per language from counts of hash ranges: no sort, no hot language.
-    rows = rows.withColumn("h", F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 16)).cast("int"))
-    sizes_by = rows.groupBy("lang", "h").count().groupBy("lang").agg(F.sum("count").alias("n"), F.collect_list(F.struct("h", "count")).alias("by"))
-    reach = sizes_by.select("lang", _threshold("by", per_language).alias("top"))
-    picked = rows.join(F.broadcast(reach), "lang").where("h <= top").select("text", "lang")
+    rows = rows.withColumn("whole", F.xxhash64("text", F.lit(5)))
+    rows = rows.withColumn("h", F.pmod("whole", F.lit(1 << 16)).cast("int"))
+    texts = rows.select("lang", "h", "whole").distinct()
+    sizes_by = texts.groupBy("lang", "h").count().groupBy("lang").agg(F.sum("count").alias("n"), F.collect_list(F.struct("h", "count")).alias("by"))
+    # Written, so that the planner knows its size: one row per language.
+    reach = saved(sizes_by.select("lang", _threshold("by", per_language).alias("top")), "language-reach")
+    picked = rows.join(reach, "lang").where("h <= top").select("text", "lang").distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
@@ -141,7 +144,7 @@ def train(
 
 
 def _threshold(by: str, rows: int):
-    """The largest hash up to which a language has at most `rows` rows (at least its first range)."""
+    """The largest hash up to which a language has at most `rows` texts (at least its first range)."""
     ordered = F.array_sort(F.col(by))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).alias("top"))
     return F.aggregate(
@@ -167,7 +170,7 @@ def identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
             lang, score = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["id", "lang_pred", "score"])
 
-    rows = docs.select(column(id_col).cast("long").alias("id"), column(text_col).cast("string").alias("text"))
+    rows = docs.select(column(id_col).cast("long").alias("id"), valid_text(text_col).alias("text"))
     return rows.mapInArrow(run, "id long, lang_pred string, score double")
 
 
@@ -185,4 +188,4 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text", at_least: fl
         found = [m.predict(buckets(t.as_py() or "", m.n_buckets, m.sizes)) for t in texts]
         return pa.array([lang != UNKNOWN and score >= at_least for lang, score in found], pa.bool_())
 
-    return docs.where(sure(column(text_col).cast("string")))
+    return docs.where(sure(valid_text(text_col)))

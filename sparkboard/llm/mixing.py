@@ -14,7 +14,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sparkboard.llm.shared import WORD, column, dropped, saved
+from sparkboard.llm.shared import WORD, column, dropped, free_name, saved
 
 #: What a null category counts as.
 MISSING = "(none)"
@@ -88,29 +88,31 @@ def chance(id_col: Column, text_col: Column, seed: int) -> Column:
 def mixed(
     docs: DataFrame, margins: Mapping[str, Column], powers: Mapping[str, float], id_col: str = "doc_id", text_col: str = "text",
     targets: Mapping[str, DataFrame] | None = None, rounds: int = 12, seed: int = 1,
-    least: float | None = None,
+    least: float | None = None, name: str = "mix",
 ) -> DataFrame:
-    """The documents, all columns as they were, with `mix`: (margins, n_tokens, probability, kept).
+    """The documents, all columns as they were, with a column `name`: (margins, n_tokens, probability, kept).
 
     `margins` names the category columns; targets are the token shares raised to `powers`, or the tables of
     `targets`. With `least`, null and very small categories keep their own share (see `lenient`); without it
     one rare category may leave hardly any row. A null category is the category "(none)". A text without a word has no tokens: it adds
-    nothing to a mix and has probability 0. Repeated rows of one id share its luck.
+    nothing to a mix and has probability 0. Repeated rows of one id share its luck. A column of the documents called like the new one is
+    left out for it.
     """
     text = column(text_col).cast("string")
     tokens = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    own, cell, odd = (free_name(f"__mix_{x}", docs.columns) for x in ("own", "cell", "odds"))
     categories = [F.coalesce(c.cast("string"), F.lit(MISSING)).alias(m) for m, c in margins.items()]
-    facts = docs.withColumn("__mix", F.struct(*categories, tokens.alias("n_tokens")))
-    by = [F.col(f"__mix.{m}").alias(m) for m in margins]
-    cells = saved(facts.groupBy(*by).agg(F.sum("__mix.n_tokens").alias("tokens")), "mix-cells")
+    facts = docs.withColumn(own, F.struct(*categories, tokens.alias("n_tokens")))
+    by = [F.col(f"{own}.{m}").alias(m) for m in margins]
+    cells = saved(facts.groupBy(*by).agg(F.sum(f"{own}.n_tokens").alias("tokens")), "mix-cells")
     targets = targets or {m: tempered(cells, m, p) if least is None else lenient(cells, m, p, least) for m, p in powers.items()}
     weights = raked(cells, targets, rounds)
     top = weights.agg(F.max("weight")).first()[0] or 1.0
-    odds = weights.select(*(F.col(m).alias(f"__{m}") for m in margins), (F.col("weight") / top).alias("__p"))
-    on = [F.col(f"__mix.{m}") == F.col(f"__{m}") for m in margins]
-    p = F.when(F.col("__mix.n_tokens") > 0, F.col("__p")).otherwise(0.0)
-    mix = F.struct("__mix.*", p.alias("probability"), (chance(column(id_col), text, seed) < p).alias("kept")).alias("mix")
-    return facts.join(odds, on, "left").select(*[column(c) for c in docs.columns], mix)
+    odds = weights.select(F.struct(*margins).alias(cell), (F.col("weight") / top).alias(odd))
+    p = F.when(F.col(f"{own}.n_tokens") > 0, F.col(odd)).otherwise(0.0)
+    mix = F.struct(f"{own}.*", p.alias("probability"), (chance(column(id_col), text, seed) < p).alias("kept")).alias(name)
+    on = [F.col(f"{own}.{m}") == F.col(f"{cell}.{m}") for m in margins]
+    return facts.join(odds, on, "left").select(*[column(c) for c in docs.columns if c.lower() != name.lower()], mix)
 
 
 def mixed_sql(margins: Mapping[str, str], powers: Mapping[str, float], rounds: int = 12, seed: int = 1, table: str = "documents") -> str:

@@ -19,6 +19,19 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def valid_text(name: str) -> Column:
+    """A column as text for Python: bytes which are not UTF-8 (a Spark string may hold any) become U+FFFD."""
+    return F.make_valid_utf8(column(name).cast("string"))
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, with as many underscores behind it as keep it apart from those taken, whatever their case."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """The table written to the folder all executors share and read back.
 

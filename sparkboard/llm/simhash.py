@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from sparkboard.llm.links import LIVES, VISITS, Forest, blocks, components, in_tiles, paired
-from sparkboard.llm.shared import column, saved, smallest_hash
+from sparkboard.llm.shared import column, free_name, saved, smallest_hash
 
 #: Shingles whose bits are counted at a time.
 AT_ONCE = 65_536
@@ -44,10 +44,10 @@ def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > len(stops), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, digest: bool = False) -> DataFrame:
     """(id, fp) per row; fp is the fingerprint as a signed long. Null and wordless texts have fingerprint 0.
 
-    Repeated rows each give a row; other columns are not read.
+    Repeated rows each give a row; other columns are not read. With `digest` a column of that name tells texts apart.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,10 +55,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             texts = batch.column(1).cast(pa.binary())
             prints = [fingerprint(t.as_py(), shingle) if t.is_valid else 0 for t in texts]
             fps = pa.array(np.array(prints, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), fps], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), fps, *batch.columns[2:]], ["id", "fp", *batch.schema.names[2:]])
 
     rows = docs.select(column(id_col).cast("long").alias("id"), column(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, fp long")
+    if digest:
+        rows = rows.withColumn("digest", F.xxhash64("text"))
+    return rows.mapInArrow(run, "id long, fp long" + ", digest long" * digest)
 
 
 @dataclass(frozen=True)
@@ -180,16 +182,26 @@ def near_duplicates(
     return prints.join(heads.join(lowest, "root").select("fp", "component"), "fp").select("id", "fp", "component")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """The documents of which no near-duplicate has a smaller id, all columns as they were.
+def one_of_each(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, trees: int = 3
+) -> DataFrame:
+    """One document of each group of near-duplicates, the one with the smallest id, all columns as they were.
 
-    Of rows with that same id one stays. Rows without an id stay: they cannot be told apart.
+    Rows which repeat an id with texts that are no near-duplicates are in groups of their own and all stay; of rows
+    equal in id and text one stays. Rows without an id stay: they cannot be told apart.
     """
-    found = near_duplicates(docs, id_col, text_col, **settings)
-    kept = found.where("id = component").select(F.col("id").alias("__id"), F.col("fp").alias("__fp")).groupBy("__id").agg(F.min("__fp").alias("__fp"))
-    unnamed = docs.where(column(id_col).isNull())
-    first = docs.join(kept, column(id_col).cast("long") == F.col("__id"), "left_semi").dropDuplicates([id_col])
-    return first.unionByName(unnamed)
+    prints = saved(fingerprints(docs, id_col, text_col, shingle, digest=True), "simhash")
+    classes = near_classes(prints, distance, trees).withColumnRenamed("component", "root")
+    # One row per fingerprint and one per group, so that a large group joins as one row.
+    heads = prints.where("id is not null").groupBy("fp").agg(F.min(F.struct("id", "digest")).alias("head"))
+    kept = heads.join(classes, "fp").groupBy("root").agg(F.min("head").alias("head"))
+    own, text = free_name("__digest", docs.columns), column(text_col).cast("string")
+    kept_id, kept_digest = (free_name(name, docs.columns) for name in ("__kept_id", "__kept_digest"))
+    kept = kept.select(F.col("head.id").alias(kept_id), F.col("head.digest").alias(kept_digest))
+    rows = docs.withColumn(own, F.xxhash64(text))
+    this = (column(id_col).cast("long") == F.col(kept_id)) & (F.col(own) == F.col(kept_digest))
+    first = rows.join(kept, this, "left_semi").dropDuplicates([id_col, own]).drop(own)
+    return first.unionByName(docs.where(column(id_col).isNull()))
 
 
 def hexadecimal(fp: str = "fp"):
