@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 # Requests per caller, and per how long.
 LIMIT, WIDTH = 30, "1 minute"
+DELIVERY = "__delivery"
 
 
 def caller(user: Column, address: Column) -> Column:
@@ -15,6 +16,17 @@ def caller(user: Column, address: Column) -> Column:
     )
 
 
+def with_own_id(events: DataFrame, event_id: str) -> DataFrame:
+    """The events, those without an id given one of their own: they are no deliveries of each other."""
+    known = F.col(event_id).cast("string")
+    return events.withColumn(DELIVERY, F.when(known.isNull(), F.concat(F.lit("?"), F.uuid())).otherwise(F.concat(F.lit("="), known)))
+
+
+def delivered_once(events: DataFrame, event_id: str) -> DataFrame:
+    """One row per event id of a table, whichever delivery it is from; events without an id all stay."""
+    return with_own_id(events, event_id).dropDuplicates([DELIVERY]).drop(DELIVERY)
+
+
 def rate_audit(
     events: DataFrame, time: str, key: Column, limit: int = LIMIT, width: str = WIDTH
 ) -> DataFrame:

@@ -74,6 +74,20 @@ def audit_stream(spark: SparkSession, folder: str) -> DataFrame:
     return plain(spark.read.schema(result.schema).parquet(path))
 
 
+def audit_redelivered(spark: SparkSession, folder: str) -> DataFrame:
+    """The audit of events which all arrive three times: twice in one delivery, and once in another one."""
+    source = new_path(spark, "deliveries")
+    events = table(spark, folder, "events")
+    events.unionByName(events).write.parquet(source)
+    events.write.mode("append").parquet(source)
+    stream = spark.readStream.schema(events.schema).parquet(source)
+    key = audit.caller(F.when(F.col("event_type") != "error", F.col("user_id")), F.col("user_id") % 7)
+    result = rate_audit_stream(stream, "ts", key, AUDIT_DELAY, AUDIT_LIMIT, AUDIT_WIDTH, event_id="event_id")
+    path, checkpoint = new_path(spark, "audit"), new_path(spark, "audit-state")
+    write_audit(result, path, checkpoint).awaitTermination()
+    return plain(spark.read.schema(result.schema).parquet(path))
+
+
 def stored_sessions(spark: SparkSession, folder: str) -> DataFrame:
     """Messages in a stored table, saved twice as by a retry; sessions that hold a system message are deleted from it."""
     messages = table(spark, folder, "conversations")
@@ -91,6 +105,8 @@ AUDIT_SQL = f"""
         COUNT(*) AS requests
     FROM events GROUP BY 1, 2, 3 HAVING COUNT(*) > {AUDIT_LIMIT}
 """
+_CLOSED_SQL = f"""SELECT * FROM ({AUDIT_SQL}) AS windows WHERE CAST(window_end AS TIMESTAMP)
+    <= (SELECT MAX(ts) - INTERVAL '10 minutes' FROM events)"""
 _BLANK = "[\\s\\x0B\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]"
 
 
@@ -151,9 +167,6 @@ QUERIES = {
            WHERE role <> 'user' GROUP BY conv_id""",
     ),
     "rate_audit": Query("L1", on("events", audit_table), AUDIT_SQL),
-    "rate_audit_stream": Query(
-        "L1", audit_stream,
-        f"""SELECT * FROM ({AUDIT_SQL}) AS windows WHERE CAST(window_end AS TIMESTAMP)
-                <= (SELECT MAX(ts) - INTERVAL '10 minutes' FROM events)""",
-    ),
+    "rate_audit_stream": Query("L1", audit_stream, _CLOSED_SQL),
+    "rate_audit_redelivered": Query("L1", audit_redelivered, _CLOSED_SQL),
 }

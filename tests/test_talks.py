@@ -104,3 +104,28 @@ def test_stream_equals_batch_and_survives_a_restart(spark, tmp_path):
     batch = audit.rate_audit(table, "ts", F.col("u"), 3, "1 hour")
     assert batch.count() > 0
     assert sorted(rows(streamed)) == sorted(rows(batch))
+
+
+def test_a_delivery_repeated_across_a_restart_counts_once(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    calls = [(k, start + dt.timedelta(minutes=7 * k % 600), f"u{k % 5}") for k in range(300)]
+    calls += [(None, start + dt.timedelta(minutes=5), "nobody")] * 9  # without an id: all count
+    schema = "id long, ts timestamp_ntz, u string"
+    source, paths = str(tmp_path / "in"), (str(tmp_path / "out"), str(tmp_path / "state"))
+    write = lambda given: spark.createDataFrame(given, schema).coalesce(1).write.mode("append").parquet(source)
+
+    def run():
+        stream = spark.readStream.schema(schema).parquet(source)
+        audited = rate_audit_stream(stream, "ts", F.col("u"), "1 day", 3, "1 hour", event_id="id")
+        write_audit(audited, *paths).awaitTermination()
+        return spark.read.schema(audited.schema).parquet(paths[0])
+
+    write(calls)
+    run()
+    write([c for c in calls if c[0] is not None])  # again, to a query which was stopped in between
+    write([(-1, start + dt.timedelta(days=9), "end")])
+    streamed = run()
+    table = spark.createDataFrame(calls + calls[:300], schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    batch = audit.rate_audit(audit.delivered_once(table, "id"), "ts", F.col("u"), 3, "1 hour")
+    assert sorted(rows(streamed)) == sorted(rows(batch))
+    assert [r["requests"] for r in batch.where("caller = 'nobody'").collect()] == [9]
