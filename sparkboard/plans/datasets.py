@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sparkboard.functions import documents
 from sparkboard.functions.naming import dataset_name, normalize_names
 from sparkboard.functions.values import json_field, nan_to_null, typed
 from sparkboard.operators.profile import cast_by_profile, distinct_ratio, profile, type_lookup
@@ -243,6 +244,29 @@ def retyped_lineitems(spark: SparkSession, folder: str) -> DataFrame:
     ))
 
 
+# The fields of a line item's document, and the types they are read as.
+LINE_FIELDS = {
+    "l_orderkey": "bigint", "l_linenumber": "int", "l_partkey": "bigint", "l_suppkey": "bigint", "l_quantity": "double",
+    "l_extendedprice": "double", "l_discount": "double", "l_tax": "double", "l_returnflag": "string",
+    "l_linestatus": "string", "l_shipdate": "timestamp_ntz",
+}
+
+
+def line_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Line items as JSON rows, stored as variants, and all their fields read back with types."""
+    rows = rows_as_json(table(spark, folder, "lineitem"))
+    stored = materialize(rows.withColumn("data", documents.document(F.col("data"))), "line-documents")
+    return plain(documents.fields(stored, "data", LINE_FIELDS))
+
+
+def event_fields(events: DataFrame) -> DataFrame:
+    """One field of an event's document as several types, and one which is not there."""
+    parsed = events.withColumn("props", documents.document(F.col("props")))
+    kinds = {"k_text": "string", "k_whole": "bigint", "k_exact": "decimal(18,2)", "k_double": "double"}
+    read = [documents.field(F.col("props"), "k", kind).alias(name) for name, kind in kinds.items()]
+    return parsed.select("event_id", *read, documents.field(F.col("props"), "missing", "bigint").alias("missing"))
+
+
 # Raw names as people write headers, from the values of several tables.
 RAW_NAMES = (
     ("part", "concat(p_name, ' ', p_brand, ' ID')"),
@@ -358,6 +382,17 @@ QUERIES = {
         """SELECT event_id, json_extract_string(props, '$.k') AS k,
                json_extract_string(props, '$.missing') AS missing FROM events""",
     ),
+    "line_documents": Query(
+        "E5 E6 E7", line_documents,
+        f"""SELECT {", ".join(c for c in LINE_FIELDS if c != "l_shipdate")}, CAST(l_shipdate AS VARCHAR) AS l_shipdate
+            FROM lineitem""",
+    ),
+    "event_fields": Query(
+        "E6 E7", on("events", event_fields),
+        """SELECT event_id, json_extract_string(props, '$.k') AS k_text, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k_whole,
+               CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k_exact, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k_double,
+               CAST(json_extract_string(props, '$.missing') AS BIGINT) AS missing FROM events""",
+    ),
     "totals_of_json_field": Query(
         "E6 E7", on("events", lambda e: e.groupBy("event_type").agg(
             F.sum(typed(json_field(F.col("props"), "k"), "numeric")).alias("k"))),
