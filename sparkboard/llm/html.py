@@ -13,6 +13,7 @@ from __future__ import annotations
 import functools
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -69,6 +70,10 @@ ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
+#: Characters of attributes up to which the judgement on them is remembered.
+REMEMBERED = 300
+
+
 @functools.lru_cache(20_000)
 def _unwanted(tag: str, attributes: str) -> tuple[bool, bool]:
     """(hidden or of an unwanted role, unwanted by its class or id)."""
@@ -117,6 +122,9 @@ def parse(markup: str, forms: bool, names: bool) -> Page:
     stack: list[tuple[str, int, bool, bool, bool]] = []
     at, skipping, links, articles = 0, 0, 0, 0
     now = Block(0)
+    # Where on the stack elements are by tag, and scopes of any tag: what is not open costs no search.
+    places: dict[str, list[int]] = {}
+    scopes = [-1]
 
     def flush(node: int) -> None:
         nonlocal now
@@ -128,6 +136,9 @@ def parse(markup: str, forms: bool, names: bool) -> Page:
     def pop() -> None:
         nonlocal skipping, links, articles
         tag, node, is_node, is_link, skips = stack.pop()
+        places[tag].pop()
+        if tag in SCOPES:
+            scopes.pop()
         skipping -= skips
         links -= is_link
         articles -= tag == "article"
@@ -135,6 +146,14 @@ def parse(markup: str, forms: bool, names: bool) -> Page:
             nodes[node].last = len(nodes) - 1
             flush(stack[-1][1] if stack else 0)
 
+    def last(*tags: str) -> int:
+        """The place of the innermost open element of these tags, -1 if there is none."""
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
+
+    def end(k: int) -> None:
+        while len(stack) > k:
+            pop()
+
     def add(text: str) -> None:
         if not skipping and text:
             now.parts.append(text)
@@ -156,16 +175,10 @@ def parse(markup: str, forms: bool, names: bool) -> Page:
         if token[2] or token[5]:
             if tag == "br":
                 add(" ")
-            elif tag == "p" and not any(t[0] == "p" for t in stack):
+            elif tag == "p" and last("p") < 0:
                 flush(stack[-1][1] if stack else 0)
-            else:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        while len(stack) > k:
-                            pop()
-                        break
-                    if tag in INLINE and stack[k][0] in SCOPES:
-                        break
+            elif (k := last(tag)) >= (scopes[-1] if tag in INLINE else 0) and k >= 0:
+                end(k)
             continue
         attributes = token[4] if token[3] else token[7]
         if tag in RAW:
@@ -176,27 +189,18 @@ def parse(markup: str, forms: bool, names: bool) -> Page:
             if tag in ("br", "hr"):
                 add(" ")
             continue
-        if tag in ENDS_PARAGRAPH:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    while len(stack) > k:
-                        pop()
-                    break
-                if stack[k][0] in SCOPES:
-                    break
+        if tag in ENDS_PARAGRAPH and (k := last("p")) > scopes[-1]:
+            end(k)
         if tag in CLOSED_BY:
             ended, within = CLOSED_BY[tag]
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in within:
+            while (k := last(*ended)) > last(*within):
+                end(k)
+                if not any(t[0] in ended for t in stack[max(0, k - 2):k]):
                     break
-                if stack[k][0] in ended:
-                    while len(stack) > k:
-                        pop()
-                    if not any(t[0] in ended for t in stack[max(0, k - 2):k]):
-                        break
         if attributes.endswith("/") and tag in ("svg", "path"):
             continue
-        hidden, named = _unwanted(tag, attributes) if attributes.strip() else (False, False)
+        judge = _unwanted if len(attributes) <= REMEMBERED else _unwanted.__wrapped__
+        hidden, named = judge(tag, attributes) if attributes.strip() else (False, False)
         skips = tag in NEVER or hidden or (named and names) or (tag == "form" and forms) or (tag == "header" and not articles)
         is_node = tag not in INLINE
         around = stack[-1][1] if stack else 0
@@ -206,6 +210,9 @@ def parse(markup: str, forms: bool, names: bool) -> Page:
             flush(node)
         else:
             node = around
+        places.setdefault(tag, []).append(len(stack))
+        if tag in SCOPES:
+            scopes.append(len(stack))
         stack.append((tag, node, is_node, tag == "a", skips))
         skipping += skips
         links += tag == "a"
@@ -230,10 +237,12 @@ def score(page: Page) -> None:
         while above >= 0 and share <= 6:
             nodes[above].points += points / share
             above, share = nodes[above].parent, share + 1
-        while at >= 0:
-            nodes[at].length += len(text)
-            nodes[at].linked += linked
-            at = nodes[at].parent
+        nodes[at].length += len(text)
+        nodes[at].linked += linked
+    # Lengths go up to all elements around: parents come before what is in them.
+    for n in reversed(nodes[1:]):
+        nodes[n.parent].length += n.length
+        nodes[n.parent].linked += n.linked
 
 
 def chosen(page: Page) -> list[tuple[int, int]]:
@@ -279,8 +288,10 @@ def main_text(markup: str | None) -> str:
         page = parse(markup, forms, names)
         if page.blocks:
             score(page)
-            ranges = chosen(page)
-            return " ".join(text for at, text, _ in page.blocks if any(a <= at <= b for a, b in ranges))
+            ranges = chosen(page)  # in order and apart from each other
+            firsts = [a for a, _ in ranges]
+            within = lambda at: (k := bisect_right(firsts, at)) > 0 and at <= ranges[k - 1][1]
+            return " ".join(text for at, text, _ in page.blocks if within(at))
     return ""
 
 
