@@ -115,15 +115,25 @@ def mixed(
     return facts.join(odds, on, "left").select(*[column(c) for c in docs.columns if c.lower() != name.lower()], mix)
 
 
-def mixed_sql(margins: Mapping[str, str], powers: Mapping[str, float], rounds: int = 12, seed: int = 1, table: str = "documents") -> str:
-    """The same for DuckDB: (doc_id, margins, n_tokens, probability, kept)."""
+def mixed_sql(margins: Mapping[str, str], powers: Mapping[str, float], rounds: int = 12, seed: int = 1, table: str = "documents", least: float | None = None) -> str:
+    """The same for DuckDB, from margins without targets of their own: (doc_id, margins, n_tokens, probability, kept)."""
     names = list(margins)
     steps = [
         f"""facts AS MATERIALIZED (SELECT doc_id, text, {", ".join(f"coalesce({e}, '{MISSING}') AS {m}" for m, e in margins.items())},
             coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS n_tokens FROM {table})""",
         f"cells AS MATERIALIZED (SELECT {', '.join(names)}, sum(n_tokens)::BIGINT AS tokens FROM facts GROUP BY ALL)",
     ]
-    steps += [f"t_{m} AS MATERIALIZED (SELECT {m}, pow(sum(tokens)::DOUBLE, {powers[m]}) AS target FROM cells WHERE tokens > 0 GROUP BY {m})" for m in names]
+    for m in names:
+        p = powers[m]
+        if least is None:
+            steps.append(f"t_{m} AS MATERIALIZED (SELECT {m}, pow(sum(tokens)::DOUBLE, {p}) AS target FROM cells WHERE tokens > 0 GROUP BY {m})")
+            continue
+        steps.append(f"n_{m} AS (SELECT {m}, sum(tokens)::DOUBLE AS n FROM cells WHERE tokens > 0 GROUP BY {m})")
+        steps.append(
+            f"""d_{m} AS (SELECT *, coalesce({m} <> '{MISSING}' AND n >= {least} * (SELECT max(n) FROM n_{m} WHERE {m} <> '{MISSING}'), false) AS drawn FROM n_{m})"""
+        )
+        scale = f"coalesce((SELECT sum(pow(n, {p})) / sum(n) FROM d_{m} WHERE drawn), 1.0)"
+        steps.append(f"t_{m} AS MATERIALIZED (SELECT {m}, CASE WHEN drawn THEN pow(n, {p}) ELSE n * {scale} END AS target FROM d_{m})")
     steps.append("w0 AS MATERIALIZED (SELECT *, CASE WHEN tokens > 0 THEN 1.0::DOUBLE ELSE 0.0 END AS weight FROM cells)")
     k = 0
     for _ in range(rounds):

@@ -45,6 +45,8 @@ def op4_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 #: The token shares of each margin are raised to these powers: large sources and languages give way.
 MIX_POWERS = {"source": 0.5, "lang": 0.7, "topic": 1.0}
+#: Categories with less than this share of the largest one's tokens, and nulls, keep the share they have.
+MIX_LEAST = 0.05
 
 
 def margins() -> dict[str, Column]:
@@ -52,7 +54,7 @@ def margins() -> dict[str, Column]:
 
 
 def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    found = mixing.mixed(table(spark, folder, "documents"), margins(), MIX_POWERS)
+    found = mixing.mixed(table(spark, folder, "documents"), margins(), MIX_POWERS, least=MIX_LEAST)
     return found.select(
         "doc_id", "mix.source", "mix.lang", "mix.topic", "mix.n_tokens", F.round("mix.probability", 8).alias("probability"), "mix.kept"
     )
@@ -169,5 +171,5 @@ SQL: dict[str, str] = {
     "op2_embeddings": VECTORS_SQL,
     "op4_lines": LINES_SQL,
     "op12_filters": interactions.interactions_sql(),
-    "op5_mixing": mixing.mixed_sql({"source": "source", "lang": "lang", "topic": mixing.TOPIC_SQL}, MIX_POWERS),
+    "op5_mixing": mixing.mixed_sql({"source": "source", "lang": "lang", "topic": mixing.TOPIC_SQL}, MIX_POWERS, least=MIX_LEAST),
 }

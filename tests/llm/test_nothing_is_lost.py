@@ -1,11 +1,12 @@
 """Repeated ids with other texts, copies while learning, bytes which are not UTF-8, and columns with the operators' names."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sparkboard.llm import bpe, html, langid, mixing, simhash
-from sparkboard.llm.queries import MIX_POWERS, margins, tokenizer_file
+from sparkboard.llm.queries import MIX_POWERS, QUERIES, SQL, margins, tokenizer_file
 from sparkboard.llm.shared import shipped
 
 ONE = "the quick brown fox jumps over the lazy dog and runs away from it all day long"
@@ -66,3 +67,19 @@ def test_columns_with_the_names_of_the_mix(spark):
     assert kept.columns == docs.columns and {r["mix"] for r in kept.collect()} == {"mine"}
     alone = mixing.mixed(docs, margins(), MIX_POWERS)
     assert alone.columns.count("mix") == 1 and alone.where("mix.probability = 1").count() == 40
+
+
+def test_one_rare_row_costs_the_mix_nothing(spark, sf001, tmp_path):
+    """The registered query and its SQL over documents with a null source, a null language and a new source."""
+    docs = spark.read.parquet(f"{sf001}/documents.parquet")
+    rows = [(-1, "three words here", "en", None), (-2, "three words here", None, "src0"), (-3, "word " * 300, "en", "new")]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("int"))
+    plain = QUERIES["op5_mixing"](spark, sf001).where("kept").count()
+    docs.select(*odd.columns).unionByName(odd).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["op5_mixing"](spark, str(tmp_path)).toPandas().sort_values("doc_id").reset_index(drop=True)
+    assert plain > 500 and found["kept"].sum() > 0.9 * plain
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    wanted = con.execute(SQL["op5_mixing"]).df().sort_values("doc_id").reset_index(drop=True)
+    assert list(found.columns) == list(wanted.columns) and len(found) == len(wanted)
+    assert (found["kept"] == wanted["kept"]).all() and (abs(found["probability"] - wanted["probability"]) < 1e-7).all()
