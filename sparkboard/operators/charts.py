@@ -18,6 +18,7 @@ from sparkboard.functions.values import (
     total_of,
 )
 from sparkboard.operators.ask import GRAINS
+from sparkboard.operators.gram import wide_correlations
 from sparkboard.operators.quantiles import attach, group_columns, group_values, quantiles
 from sparkboard.operators.shape import label, point_value
 from sparkboard.sources.scratch import materialize
@@ -34,6 +35,8 @@ METRICS = {
     "VARIANCE": lambda df, name, scale: F.var_samp(measure(df, name, scale)),
 }
 TABLE_ROWS = 50
+# Columns whose pairs (36) are aggregates of one plan; plans grow with the square of the columns.
+CORRELATED_AT_ONCE = 8
 
 
 @dataclass(frozen=True)
@@ -322,12 +325,24 @@ def heatmap_wide(
     return cells.groupBy(y).pivot(x, list(values) if values is not None else None).agg(cell)
 
 
+def _correlation(x: Column, y: Column) -> Column:
+    # corr() fails for constant columns.
+    spreads = [F.stddev_samp(F.when(other.isNotNull(), own)) for own, other in ((x, y), (y, x))]
+    return F.try_divide(F.covar_samp(x, y), spreads[0] * spreads[1])
+
+
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every pair of columns, in one aggregation of one row."""
+    """Pearson correlation of every pair of columns, in one pass: a row of aggregates, or blocks of many columns.
+
+    A pair is looked at in the rows in which both have a value; it is null for fewer than two of them and where a
+    column is constant in them.
+    """
     numbers = df.select(*[measure(df, c).cast("double").alias(c) for c in columns])
+    if len(columns) > CORRELATED_AT_ONCE:
+        return wide_correlations(numbers)
     pairs = list(combinations_with_replacement(columns, 2))
     row = numbers.agg(*[
-        F.corr(quoted(a), quoted(b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)
+        _correlation(quoted(a), quoted(b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)
     ])
     cells = []
     for i, (a, b) in enumerate(pairs):

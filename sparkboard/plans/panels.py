@@ -108,6 +108,22 @@ CORRELATION_SQL = " UNION ALL ".join(
     for a in CORRELATED for b in CORRELATED
 )
 
+# The components of the embeddings, as columns.
+COMPONENTS = 64
+COMPONENTS_SQL = "SELECT UNNEST([{}], recursive := true) FROM embeddings".format(", ".join(
+    f"{{'x': 'e{a}', 'y': 'e{b}', 'correlation': ROUND(corr(embedding[{a}]::DOUBLE, embedding[{b}]::DOUBLE), 6) + 0.0}}"
+    for a in range(1, COMPONENTS + 1) for b in range(a, COMPONENTS + 1)
+))
+
+
+def component_correlations(spark: SparkSession, folder: str) -> DataFrame:
+    """Correlations of the embeddings' components, each pair of columns once."""
+    rows = table(spark, folder, "embeddings").select(*[F.get("embedding", i).alias(f"e{i + 1}") for i in range(COMPONENTS)])
+    found = charts.correlations(rows, rows.columns)
+    number = lambda name: F.substring(name, 2, 9).cast("int")
+    return found.where(number("x") <= number("y")).select("x", "y", (F.round("correlation", 6) + 0.0).alias("correlation"))
+
+
 ALL_METRICS = (
     "COUNT", "SUM(l_extendedprice)", "AVG(l_extendedprice)", "MIN(l_extendedprice)",
     "MAX(l_extendedprice)", "MEDIAN(l_extendedprice)", "STDDEV(l_quantity)", "VARIANCE(l_quantity)",
@@ -491,6 +507,7 @@ QUERIES = {
         "C12", on("lineitem", lambda li: rounded(charts.correlations(li, CORRELATED), 8, "correlation")),
         CORRELATION_SQL,
     ),
+    "component_correlations": Query("C12", component_correlations, COMPONENTS_SQL),
     "kpi_card": Query(
         "C13", on("orders", lambda o: charts.kpi_card(o, "o_totalprice", 2)),
         f"""SELECT {total_sql('o_totalprice')} AS primary_value, {average_sql('o_totalprice')} AS average,
