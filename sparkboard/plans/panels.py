@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkboard.operators import advise, ask, charts, dashboards as boards, route, shape
+from sparkboard.operators import advise, ask, charts, dashboards as boards, route, shape, sketches
 from sparkboard.operators.charts import Chart
 from sparkboard.operators.profile import profile
+from sparkboard.operators.quantiles import attach
 from sparkboard.plans.common import Query, average_sql, money, on, table, text_list, total_sql
+from sparkboard.sources.scratch import materialize
 
 # --- result shaping ---------------------------------------------------------------------------
 
@@ -124,6 +126,16 @@ def component_correlations(spark: SparkSession, folder: str) -> DataFrame:
     return found.where(number("x") <= number("y")).select("x", "y", (F.round("correlation", 6) + 0.0).alias("correlation"))
 
 
+def boxes_of_months(spark: SparkSession, folder: str) -> DataFrame:
+    """Box plots by return flag, merged from sketches of months: exact ends, and whether the quartiles keep their error."""
+    rows = table(spark, folder, "lineitem").withColumn("month", F.date_trunc("month", "l_shipdate"))
+    months = materialize(sketches.box_sketches(rows, "l_extendedprice", ["l_returnflag", "month"]), "box-sketches")
+    boxes = sketches.approximate_boxes(sketches.merged_sketches(months, ["l_returnflag"]), ["l_returnflag"])
+    boxes = materialize(boxes, "boxes")
+    found = attach(boxes, sketches.rank_errors(rows, "l_extendedprice", boxes, ["l_returnflag"]), ["l_returnflag"])
+    return found.select("l_returnflag", "n", "min", "max", (F.col("error") < 0.01).alias("within_error"))
+
+
 ALL_METRICS = (
     "COUNT", "SUM(l_extendedprice)", "AVG(l_extendedprice)", "MIN(l_extendedprice)",
     "MAX(l_extendedprice)", "MEDIAN(l_extendedprice)", "STDDEV(l_quantity)", "VARIANCE(l_quantity)",
@@ -507,6 +519,11 @@ QUERIES = {
         "C12", on("lineitem", lambda li: rounded(charts.correlations(li, CORRELATED), 8, "correlation")),
         CORRELATION_SQL,
     ),
+    "boxes_of_months": Query(
+        "C10", boxes_of_months,
+        """SELECT l_returnflag, COUNT(l_extendedprice) AS n, MIN(l_extendedprice) AS min, MAX(l_extendedprice) AS max, true AS within_error
+           FROM lineitem GROUP BY l_returnflag""",
+    ),
     "component_correlations": Query("C12", component_correlations, COMPONENTS_SQL),
     "kpi_card": Query(
         "C13", on("orders", lambda o: charts.kpi_card(o, "o_totalprice", 2)),

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from sparkboard.functions.naming import dataset_name
 from sparkboard.functions.values import nan_to_null
-from sparkboard.operators.profile import cast_by_profile, profile
+from sparkboard.operators.profile import cast_by_profile, merged_parts, profile, profile_of_parts, profile_parts
 from sparkboard.sources.buckets import Table
 from sparkboard.sources.csv import read_csv_once
 from sparkboard.sources.scratch import discard, materialize
@@ -108,6 +108,15 @@ RECORD = T.StructType([
 ])
 
 
+#: The parts of profiles (`operators.profile.profile_parts`), by dataset.
+PARTS = T.StructType([
+    T.StructField("dataset_id", T.StringType()), T.StructField("ordinal", T.IntegerType()), T.StructField("name", T.StringType()),
+    T.StructField("kind", T.StringType()), T.StructField("rows", T.LongType()), T.StructField("non_null", T.LongType()),
+    T.StructField("kinds", T.IntegerType()), T.StructField("whole", T.IntegerType()), T.StructField("places", T.IntegerType()),
+    T.StructField("distinct", T.BinaryType()),
+])
+
+
 @dataclass(frozen=True)
 class Catalog:
     """The records of a store, dealt by dataset and, a second time, by session, so that either lookup opens one bucket."""
@@ -142,6 +151,18 @@ class Catalog:
     def records(self) -> DataFrame:
         return self.by_dataset.read()
 
+    @property
+    def parts(self) -> Table:
+        return Table(self.spark, f"{self.path}/profile_parts", "dataset_id", PARTS, self.buckets)
+
+    def add_profile(self, dataset_id: str, rows: DataFrame, upload_id: str) -> None:
+        """Take rows appended to a dataset into its profile: they alone are read, and once per upload id."""
+        self.parts.append(profile_parts(rows).select(F.lit(dataset_id).alias("dataset_id"), "*"), upload_id)
+
+    def profile(self, dataset_id: str, all_null: str = "text") -> DataFrame:
+        """The profile of all rows of a dataset that `add_profile` has seen; no row for an unknown dataset."""
+        return profile_of_parts(merged_parts(self.parts.lookup(dataset_id)), all_null)
+
     def compact(self) -> None:
         """Many small files to one a bucket. Of a dataset uploaded again the newest record stays; sessions keep all."""
         self.by_dataset.compact([F.desc("created_at"), F.desc_nulls_last("location")])
