@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from sparkboard.functions.values import any_of
 from sparkboard.operators import ask
-from sparkboard.operators.shape import result_shape
+from sparkboard.operators.shape import counted, shape_by
 
 # The words which lead to a template.
 LIST_WORDS = ("list", "show", "display")
@@ -248,7 +248,7 @@ def answer(df: DataFrame, columns: DataFrame, question: str, order_by: str) -> D
 
 @dataclass(frozen=True)
 class Answer:
-    """What became of a question: `answered` (with a result and its shape), `unknown` or `failed` (with a reason)."""
+    """What became of a question: `answered` (with a result, its shape and size), `unknown` or `failed` (with a reason)."""
 
     question: str
     template: str | None
@@ -256,17 +256,21 @@ class Answer:
     shape: str | None = None
     result: DataFrame | None = None
     reason: str | None = None
+    n_rows: int | None = None
 
 
 def ask_dataset(df: DataFrame, columns: DataFrame, question: str, order_by: str) -> Answer:
-    """From a question to its answer: template, result, shape; a failure is told, not raised."""
+    """From a question to its answer: template, result, shape; a failure is told, not raised.
+
+    The dataset is read once: the result is written to the shared folder and counted meanwhile.
+    """
     routed = _routed(columns, question)
     template = routed["template"]
     if template is None:
         return Answer(question, None, "unknown")
     try:
-        result = _by_template(df, routed, order_by)
-        return Answer(question, template, "answered", result_shape(result), result)
+        result, n = counted(_by_template(df, routed, order_by))
+        return Answer(question, template, "answered", shape_by(n, len(result.columns)), result, n_rows=n)
     except (PySparkException, ValueError, TypeError) as error:
         return Answer(question, template, "failed", reason=str(error).strip().splitlines()[0])
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
 
 from sparkboard.functions.values import parse_number, quoted
+from sparkboard.sources.scratch import materialize
 
 UNKNOWN_LABEL = "Unknown"
 # Fixed value: a dashboard with fewer working charts than this carries a warning.
@@ -76,7 +77,11 @@ def shape_of(n_rows: Column, n_columns: Column) -> Column:
 
 def result_shape(result: DataFrame) -> str:
     """Kind of answer for one result; two of its rows are enough to tell."""
-    rows, columns = result.limit(2).count(), len(result.columns)
+    return shape_by(result.limit(2).count(), len(result.columns))
+
+
+def shape_by(rows: int, columns: int) -> str:
+    """Kind of answer by the size of one result."""
     if rows == 0:
         return "empty"
     if columns == 1:
@@ -84,6 +89,14 @@ def result_shape(result: DataFrame) -> str:
     return "chart" if columns == 2 and rows > 1 else "table"
 
 
+def counted(result: DataFrame) -> tuple[DataFrame, int]:
+    """The result, written in the one run of its plan, and how many rows passed by. Its order is kept."""
+    seen, place = Observation(), "__place"
+    rows = result.observe(seen, F.count(F.lit(1)).alias("n")).withColumn(place, F.monotonically_increasing_id())
+    written = materialize(rows, "answer")
+    return written.orderBy(place).drop(place), seen.get["n"]
+
+
 def dashboard_summary(charts: DataFrame, by: str | None = None) -> DataFrame:
     """Charts by outcome, from a table with `status`; `too_few` below six working ones."""
     groups = charts.groupBy(by) if by else charts.groupBy()

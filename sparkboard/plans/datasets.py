@@ -9,7 +9,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sparkboard.functions import documents
 from sparkboard.functions.naming import dataset_name, normalize_names
 from sparkboard.functions.values import json_field, nan_to_null, typed
-from sparkboard.operators.profile import cast_by_profile, distinct_ratio, profile, type_lookup
+from sparkboard.operators.profile import (
+    DISTINCT_ERROR,
+    cast_by_profile,
+    distinct_ratio,
+    merged_parts,
+    profile,
+    profile_of_parts,
+    profile_parts,
+    type_lookup,
+)
 from sparkboard.plans.common import Query, money, on, plain, table, total_sql
 from sparkboard.sources.csv import read_csv, with_row_number
 from sparkboard.sources.scratch import materialize, new_path
@@ -338,7 +347,30 @@ SCHEMA_TYPES_SQL = f"""
     FROM names GROUP BY 1, 2
 """
 
+def merged_profile(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents' profile merged from parts by source, and whether its distinct counts keep their error."""
+    documents = table(spark, folder, "documents")
+    early = F.coalesce(F.col("source") < "src15", F.lit(False))
+    parts = reduce(DataFrame.unionByName, [materialize(profile_parts(documents.where(c)), "parts") for c in (early, ~early)])
+    found = profile_of_parts(merged_parts(parts))
+    texts = ("text", "lang", "source")
+    exact = documents.agg(*[F.count_distinct(c).alias(c) for c in texts]).unpivot([], list(texts), "name", "exact")
+    near = F.abs(F.col("distinct_count") - F.col("exact")) <= DISTINCT_ERROR * F.col("exact")
+    return found.join(exact, "name", "left").select("name", "type", "row_count", "non_null", near.alias("within_error"))
+
+
+MERGED_PROFILE_SQL = " UNION ALL ".join(
+    f"""SELECT '{c}' AS name, CASE WHEN COUNT({c}) > 0 AND COUNT(DISTINCT {c}) < 0.5 * COUNT({c}) THEN 'categorical' ELSE 'text' END AS type,
+        COUNT(*) AS row_count, COUNT({c}) AS non_null, true AS within_error FROM documents"""
+    for c in ("text", "lang", "source")
+) + " UNION ALL " + " UNION ALL ".join(
+    f"SELECT '{c}' AS name, 'numeric' AS type, COUNT(*) AS row_count, CAST(NULL AS BIGINT) AS non_null, CAST(NULL AS BOOLEAN) AS within_error FROM documents"
+    for c in ("doc_id", "n_chars")
+)
+
+
 QUERIES = {
+    "merged_profile": Query("P1 P2 P3", merged_profile, MERGED_PROFILE_SQL),
     "csv_customers": Query(
         "E1 E2 E3 E4", csv_customers,
         """SELECT CAST(c_custkey AS VARCHAR) AS customer_id, c_name AS customer_name,

@@ -6,9 +6,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from sparkboard.operators import ask, charts, convo, route
+from sparkboard.operators import ask, charts, convo, route, shape
 from sparkboard.operators.profile import profile
-from sparkboard.plans.common import Query, average_sql, on, table, total_sql
+from sparkboard.plans.common import Query, average_sql, money, on, table, total_sql
 from sparkboard.sources.csv import with_row_number
 from sparkboard.sources.scratch import local_table, materialize
 
@@ -82,17 +82,21 @@ ASKED = (
 ANSWERS = T.StructType([
     T.StructField("question", T.StringType(), False), T.StructField("template", T.StringType()),
     T.StructField("status", T.StringType(), False), T.StructField("shape", T.StringType()), T.StructField("n_rows", T.LongType()),
+    T.StructField("value", T.DoubleType()),
 ])
 
 
 def answers(spark: SparkSession, folder: str) -> DataFrame:
-    """Questions on the orders, answered: the template, what became of it, the shape and the size of the result."""
+    """Questions on the orders, answered: the template, what became of it, shape and size of the result, the sum of its points."""
     orders = table(spark, folder, "orders")
     columns = profile(orders)
     rows = []
     for question, *_ in ASKED:
         a = route.ask_dataset(orders, columns, question, "o_orderkey")
-        rows.append((question, a.template, a.status, a.shape, a.result.count() if a.result is not None else None))
+        value = None
+        if a.result is not None:
+            value = shape.points(a.result).agg(F.round(F.sum("value").cast("double"), 2)).first()[0]
+        rows.append((question, a.template, a.status, a.shape, a.n_rows, value))
     return local_table(spark, rows, ANSWERS)
 
 
@@ -102,10 +106,17 @@ def _answers_sql() -> str:
         "grouped": "SELECT COUNT(DISTINCT o_orderstatus) FROM orders", "time_series": "SELECT COUNT(DISTINCT o_orderdate) FROM orders",
         "groups_with_total": "SELECT COUNT(DISTINCT o_orderpriority) FROM orders",
     }
+    values = {
+        "first_rows": f"SELECT SUM(o_custkey + {money('o_totalprice')}) FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 10) AS first",
+        "extreme_date": "SELECT MAX(v) FROM (SELECT SUM(o_custkey) AS v FROM orders GROUP BY CAST(o_orderdate AS DATE)) AS days",
+        "total": f"SELECT SUM({money('o_totalprice')}) FROM orders", "distinct_count": "SELECT COUNT(DISTINCT o_orderstatus) FROM orders",
+        "row_count": "SELECT COUNT(*) FROM orders", "average": "SELECT AVG(o_custkey) FROM orders", "top_rows": "SELECT MAX(o_custkey) FROM orders",
+    }
     quote = lambda v: "NULL" if v is None else f"'{v}'"
     return " UNION ALL ".join(
         f"""SELECT '{q}' AS question, CAST({quote(t)} AS VARCHAR) AS template, '{'answered' if t else 'unknown'}' AS status,
-            CAST({quote(s)} AS VARCHAR) AS shape, CAST(({sizes.get(t, 'SELECT 1') if t else 'SELECT NULL'}) AS BIGINT) AS n_rows"""
+            CAST({quote(s)} AS VARCHAR) AS shape, CAST(({sizes.get(t, 'SELECT 1') if t else 'SELECT NULL'}) AS BIGINT) AS n_rows,
+            ROUND(CAST(({values.get(t, 'SELECT SUM(o_custkey) FROM orders') if t else 'SELECT NULL'}) AS DOUBLE), 2) AS value"""
         for q, t, s in ASKED
     )
 
