@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sparkboard.llm.shared import column, saved, valid_text
+from sparkboard.llm.shared import column, dropped, saved, valid_text
 
 UNKNOWN = "und"
 BUCKETS = 1 << 14
@@ -96,6 +96,31 @@ class Model:
         best = int(np.argmax(logs))
         return self.languages[best], float(1.0 / np.exp(logs - logs[best]).sum())
 
+    def fit(self, counts: np.ndarray | None) -> tuple[str, int, float, float] | None:
+        """The likeliest language, the number of n-grams, and mean and variance of their log-probabilities in it."""
+        if counts is None or not self.languages:
+            return None
+        hit = np.flatnonzero(counts)
+        logs = counts[hit].astype(np.float64) @ self.weights[hit]
+        best, n = int(np.argmax(logs)), int(counts[hit].sum())
+        mean = logs[best] / n
+        return self.languages[best], n, float(mean), float((counts[hit] * (self.weights[hit, best] - mean) ** 2).sum() / n)
+
+
+@dataclass(frozen=True)
+class Usual:
+    """How well a language's own texts fit it: (mean, spread between texts, spread within a text, limit)."""
+
+    of: dict[str, tuple[float, float, float, float]]
+
+    def foreign(self, fit: tuple[str, int, float, float]) -> bool:
+        """Whether a text fits its likeliest language worse than any text of that language should."""
+        lang, n, mean, _ = fit
+        if lang not in self.of:
+            return False
+        usual, between, within, limit = self.of[lang]
+        return (usual - mean) / (between**2 + within**2 / n) ** 0.5 > limit
+
 
 def train(
     docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 4000,
@@ -107,15 +132,7 @@ def train(
     once, for the bound and for the model. Bytes which are not UTF-8 are U+FFFD. Counts are added up per task before they meet, one
     row per task and language, each a vector of `n_buckets`.
     """
-    rows = docs.select(valid_text(text_col).alias("text"), valid_text(lang_col).alias("lang")).dropna()
-    # The bound by a threshold on the hash, found per language from counts of hash ranges: no sort, no hot language.
-    rows = rows.withColumn("whole", F.xxhash64("text", F.lit(5)))
-    rows = rows.withColumn("h", F.pmod("whole", F.lit(1 << 16)).cast("int"))
-    texts = rows.select("lang", "h", "whole").distinct()
-    sizes_by = texts.groupBy("lang", "h").count().groupBy("lang").agg(F.sum("count").alias("n"), F.collect_list(F.struct("h", "count")).alias("by"))
-    # Written, so that the planner knows its size: one row per language.
-    reach = saved(sizes_by.select("lang", _threshold("by", per_language).alias("top")), "language-reach")
-    picked = rows.join(reach, "lang").where("h <= top").select("text", "lang").distinct()
+    picked = _learning_texts(docs, text_col, lang_col, per_language)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
@@ -143,6 +160,62 @@ def train(
     return Model(tuple(lang for lang, _ in found), weights, n_buckets, sizes)
 
 
+def _learning_texts(docs: DataFrame, text_col: str, lang_col: str, per_language: int) -> DataFrame:
+    """(text, lang): the distinct texts which a model learns from."""
+    rows = docs.select(valid_text(text_col).alias("text"), valid_text(lang_col).alias("lang")).dropna()
+    # The bound by a threshold on the hash, found per language from counts of hash ranges: no sort, no hot language.
+    rows = rows.withColumn("whole", F.xxhash64("text", F.lit(5)))
+    rows = rows.withColumn("h", F.pmod("whole", F.lit(1 << 16)).cast("int"))
+    texts = rows.select("lang", "h", "whole").distinct()
+    sizes_by = texts.groupBy("lang", "h").count().groupBy("lang").agg(F.sum("count").alias("n"), F.collect_list(F.struct("h", "count")).alias("by"))
+    # Written, so that the planner knows its size: one row per language.
+    reach = saved(sizes_by.select("lang", _threshold("by", per_language).alias("top")), "language-reach")
+    return rows.join(reach, "lang").where("h <= top").select("text", "lang").distinct()
+
+
+#: Languages with fewer texts of at least so many n-grams reject nothing.
+FEWEST, LONG_ENOUGH = 30, 100
+#: The spread between texts, in nats per n-gram, is taken to be this at least; the limit, in spreads, as well.
+LEAST_SPREAD, LEAST_LIMIT = 0.1, 20.0
+
+
+def usual_fits(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang", per_language: int = 4000) -> Usual:
+    """How the texts that the model was learned from fit their languages: a length-normalised measure.
+
+    A text's departure is the mean log-probability of its n-grams below the language's mean, in spreads: that
+    between texts, and that within a text over the root of its length, so that short texts have more room. The
+    limit is twice the furthest departure of the language's own learned texts, `LEAST_LIMIT` at least: no
+    learned text is rejected. One row per language comes to the driver.
+    """
+    known = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = known.value
+        for batch in batches:
+            fits = [m.fit(buckets(t.as_py(), m.n_buckets, m.sizes)) for t in batch.column(0)]
+            rows = [f[1:] for f, lang in zip(fits, batch.column(1)) if f is not None and f[0] == lang.as_py()]
+            langs = [f[0] for f, lang in zip(fits, batch.column(1)) if f is not None and f[0] == lang.as_py()]
+            n, mean, variance = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(langs, pa.string()), pa.array(n, pa.int64()), pa.array(mean, pa.float64()), pa.array(variance, pa.float64())],
+                ["lang", "n", "mean", "variance"],
+            )
+
+    texts = _learning_texts(docs, text_col, lang_col, per_language)
+    fits = saved(texts.mapInArrow(run, "lang string, n long, mean double, variance double"), "language-fits")
+    long = F.col("n") >= LONG_ENOUGH
+    spreads = fits.where(long).groupBy("lang").agg(
+        F.count(F.lit(1)).alias("texts"), F.avg("mean").alias("usual"), F.greatest(F.stddev_pop("mean"), F.lit(LEAST_SPREAD)).alias("between"),
+        F.sqrt(F.avg("variance")).alias("within"),
+    ).where(F.col("texts") >= FEWEST)
+    spreads = saved(spreads, "language-spreads")
+    departure = (F.col("usual") - F.col("mean")) / F.sqrt(F.col("between") ** 2 + F.col("within") ** 2 / F.col("n"))
+    furthest = fits.join(spreads, "lang").groupBy("lang", "usual", "between", "within").agg(F.max(departure).alias("furthest"))
+    found = furthest.collect()
+    dropped(fits, spreads)
+    return Usual({r["lang"]: (r["usual"], r["between"], r["within"], max(2 * r["furthest"], LEAST_LIMIT)) for r in found})
+
+
 def _threshold(by: str, rows: int):
     """The largest hash up to which a language has at most `rows` texts (at least its first range)."""
     ordered = F.array_sort(F.col(by))
@@ -174,18 +247,23 @@ def identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     return rows.mapInArrow(run, "id long, lang_pred string, score double")
 
 
-def accepted(docs: DataFrame, model: Model, text_col: str = "text", at_least: float = 0.5) -> DataFrame:
-    """The rows whose likeliest language has a probability of at least `at_least`, all columns as they were.
+def accepted(docs: DataFrame, model: Model, text_col: str = "text", at_least: float = 0.5, usual: Usual | None = None) -> DataFrame:
+    """The rows which are in a learned language, all columns as they were.
 
-    The probability is among the learned languages only and goes to 1 with a text's length: in effect only
-    texts without a letter are rejected. Foreign prose and letter noise pass as the nearest learned language.
+    Rejected are texts without a letter, those whose likeliest language has a probability below `at_least`
+    (among the learned ones only, so that it goes to 1 with a text's length) and, with `usual`, those which fit
+    that language far worse than its own texts: foreign prose and letter noise.
     """
-    known = docs.sparkSession.sparkContext.broadcast(model)
+    known = docs.sparkSession.sparkContext.broadcast((model, usual))
 
     @F.arrow_udf("boolean")
     def sure(texts: pa.Array) -> pa.Array:
-        m = known.value
-        found = [m.predict(buckets(t.as_py() or "", m.n_buckets, m.sizes)) for t in texts]
-        return pa.array([lang != UNKNOWN and score >= at_least for lang, score in found], pa.bool_())
+        m, limits = known.value
+        kept = []
+        for t in texts:
+            counts = buckets(t.as_py() or "", m.n_buckets, m.sizes)
+            lang, score = m.predict(counts)
+            kept.append(lang != UNKNOWN and score >= at_least and not (limits is not None and limits.foreign(m.fit(counts))))
+        return pa.array(kept, pa.bool_())
 
     return docs.where(sure(valid_text(text_col)))

@@ -70,6 +70,11 @@ def language_model(docs: DataFrame) -> langid.Model:
     return langid.train(docs.where(remainder(4) != 2))
 
 
+def language_fits(docs: DataFrame, model: langid.Model) -> langid.Usual:
+    """How the documents the model is learned from fit their languages."""
+    return langid.usual_fits(docs.where(remainder(4) != 2), model)
+
+
 def labelled_part(labels: DataFrame) -> DataFrame:
     """The labels that may be learned from: of rows which are not held out."""
     return labels.where(remainder(5) != 0).withColumnRenamed("doc_id", "id")
