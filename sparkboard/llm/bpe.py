@@ -227,16 +227,22 @@ class Decoder:
         return joined
 
     def readable(self, ids: Iterable[int], last: bool = False) -> str:
-        t = self.tokenizer
-        raw = bytearray()
-        for i in ids:
-            sign = t.text[i]
-            if i in t.special.values():
-                raw += sign.encode() + b" "
+        table = _raw_bytes(self.tokenizer)
+        return self.chars.decode(b"".join(map(table.__getitem__, ids)), last)
+
+
+def _raw_bytes(tokenizer: WordTokenizer) -> dict[int, bytes]:
+    """What each id stands for: the bytes of its signs and a space where a word ends; special ids as they are spelled."""
+    if not hasattr(tokenizer, "_raw"):
+        special, table = set(tokenizer.special.values()), {}
+        for i, sign in tokenizer.text.items():
+            if i in special:
+                table[i] = sign.encode() + b" "
                 continue
-            ends = t.end and sign.endswith(t.end)
-            raw += bytes(t.sign_bytes[c] for c in (sign[: -len(t.end)] if ends else sign)) + (b" " if ends else b"")
-        return self.chars.decode(bytes(raw), last)
+            ends = bool(tokenizer.end) and sign.endswith(tokenizer.end)
+            table[i] = bytes(tokenizer.sign_bytes[c] for c in (sign[: -len(tokenizer.end)] if ends else sign)) + (b" " if ends else b"")
+        tokenizer._raw = table
+    return tokenizer._raw
 
 
 def _shown_bytes(tokenizer: WordTokenizer) -> list[bytes]:
@@ -255,35 +261,45 @@ def load(path: str) -> WordTokenizer:
     return _LOADED[path]
 
 
-def digests(text: str | None, tokenizer: WordTokenizer) -> tuple[int, str, str]:
-    """(number of ids, SHA-256 of the ids, SHA-256 of the decoded text) in constant memory."""
-    ids_hash, text_hash, n, decoder = hashlib.sha256(), hashlib.sha256(), 0, Decoder(tokenizer)
+def digests(text: str | None, tokenizer: WordTokenizer, readable: bool = False) -> tuple:
+    """(number of ids, SHA-256 of the ids, of the decoded text and, if asked for, of the readable text) in constant memory."""
+    ids_hash, text_hash, readable_hash = hashlib.sha256(), hashlib.sha256(), hashlib.sha256()
+    n, decoder = 0, Decoder(tokenizer)
     for block in tokenizer.encode(text or ""):
         ids_hash.update(block)
         ids = np.frombuffer(block, "<u4")
         n += len(ids)
         text_hash.update(decoder.shown(ids))
-    return n, ids_hash.hexdigest(), text_hash.hexdigest()
+        if readable:
+            readable_hash.update(decoder.readable(ids.tolist()).encode("utf-8"))
+    readable_hash.update(decoder.readable([], last=True).encode("utf-8"))
+    found = n, ids_hash.hexdigest(), text_hash.hexdigest()
+    return (*found, readable_hash.hexdigest()) if readable else found
 
 
-def encoded_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256) per row.
+def encoded_digests(
+    docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", readable: bool = False
+) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256) per row, with `readable` also readable_sha256.
 
+    The decoded text is the vocabulary's texts joined by spaces, the readable one that of the byte-to-text machine.
     A null text is an empty one, bytes which are not UTF-8 are U+FFFD; other columns are not read.
     """
 
+    names = ["ids_sha256", "decoded_sha256", *(["readable_sha256"] if readable else [])]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(tokenizer_path)
         for batch in batches:
-            rows = [digests(t.as_py(), tokenizer) for t in batch.column(1)]
-            n, ids, text = zip(*rows) if rows else ((), (), ())
+            rows = [digests(t.as_py(), tokenizer, readable) for t in batch.column(1)]
+            n, *found = zip(*rows) if rows else [()] * (1 + len(names))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())],
-                ["id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                [batch.column(0), pa.array(n, pa.int64()), *[pa.array(x, pa.string()) for x in found]],
+                ["id", "n_tokens", *names],
             )
 
     rows = docs.select(column(id_col).cast("long").alias("id"), valid_text(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(run, "id long, n_tokens long" + "".join(f", {x} string" for x in names))
 
 
 def encoded(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -23,7 +23,7 @@ def tokenizer_file() -> str:
 
 
 def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    return bpe.encoded_digests(table(spark, folder, "documents"), tokenizer_file()).withColumnRenamed("id", "doc_id")
+    return bpe.encoded_digests(table(spark, folder, "documents"), tokenizer_file(), readable=True).withColumnRenamed("id", "doc_id")
 
 
 def op2_embeddings(spark: SparkSession, folder: str) -> DataFrame:
