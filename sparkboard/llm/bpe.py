@@ -13,6 +13,7 @@ from __future__ import annotations
 import codecs
 import functools
 import hashlib
+import itertools
 import json
 import struct
 import unicodedata
@@ -32,6 +33,8 @@ AT_ONCE = 1 << 20
 LOW = (1 << 20) - 1
 #: Above every rank.
 NO_RULE = 1 << 60
+#: Words up to so many bytes are merged many at a time, in tables of these widths.
+WIDTHS = (8, 16, 32)
 
 
 def byte_signs() -> dict[int, str]:
@@ -58,6 +61,8 @@ class Merges:
         self.longest = max(self.length.values(), default=1)
         self.lookahead = sufficient_lookahead(merges, self.length, vocab)
         self.full = 2 * (self.lookahead + self.longest)
+        self.pairs = np.array(sorted(self.rule), np.int64)
+        self.made = np.array([self.rule[p] for p in self.pairs.tolist()] + [NO_RULE], np.int64)
 
     def tokens(self, symbols: list[int]) -> list[int]:
         """All merges one by one, the lowest rank first, from the left among equals."""
@@ -78,6 +83,36 @@ class Merges:
                 pairs[i] = rule(made << 20 | parts[i + 1], NO_RULE)
         return parts
 
+    def _rules(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        wanted = left << 20 | right
+        found = np.searchsorted(self.pairs, wanted)
+        if len(self.pairs):
+            found[self.pairs[np.minimum(found, len(self.pairs) - 1)] != wanted] = len(self.pairs)
+        return self.made[found]
+
+    def many(self, symbols: np.ndarray) -> np.ndarray:
+        """The tokens of many symbol sequences, one per line, -1 behind their ends: in each round every line makes one merge."""
+        done, live, now = symbols.copy(), np.arange(len(symbols)), symbols
+        column = np.arange(symbols.shape[1])
+        pairs = self._rules(now[:, :-1], now[:, 1:])
+        while len(live):
+            at = pairs.argmin(axis=1)
+            best = pairs[np.arange(len(live)), at]
+            goes_on = best < NO_RULE
+            done[live[~goes_on]] = now[~goes_on]
+            live, now, pairs, at, best = (x[goes_on] for x in (live, now, pairs, at, best))
+            line, made = np.arange(len(live)), best & LOW
+            behind = column > at[:, None]
+            # What stands behind the merged pair moves up by one.
+            now = np.where(behind, np.pad(now[:, 1:], ((0, 0), (0, 1)), constant_values=-1), now)
+            pairs = np.where(behind[:, :-1], np.pad(pairs[:, 1:], ((0, 0), (0, 1)), constant_values=NO_RULE), pairs)
+            now[line, at] = made
+            inner = at + 1 < now.shape[1]
+            pairs[line[inner], at[inner]] = self._rules(made[inner], now[line[inner], at[inner] + 1])
+            later = at > 0
+            pairs[line[later], at[later] - 1] = self._rules(now[line[later], at[later] - 1], made[later])
+        return done
+
     def stream(self, symbols: Iterable[int]) -> Iterator[int]:
         """The tokens of a symbol stream, each as soon as nothing to its right can change it."""
         window: list[int] = []
@@ -150,20 +185,56 @@ class WordTokenizer:
         ids = self.merges.tokens(symbols) if len(symbols) < self.merges.full else list(self.merges.stream(symbols))
         return _packed(len(ids)).pack(*ids)
 
+    def words_of(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of those of the words which are short, made many at a time."""
+        raw = [w.encode("utf-8") for w in words]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        every = np.frombuffer(b"".join(raw), np.uint8)
+        ends = np.cumsum(size)
+        symbols = np.array(self.inside, np.int64)[every]
+        symbols[ends - 1] = np.array(self.final, np.int64)[every[ends - 1]]
+        found, least = {}, 0
+        for width in WIDTHS:
+            own = np.flatnonzero((size > least) & (size <= width))
+            least, places = width, np.arange(width)
+            if not len(own):
+                continue
+            inside = places < size[own, None]
+            table = np.full(inside.shape, -1, np.int64)
+            table[inside] = symbols[((ends - size)[own, None] + places)[inside]]
+            tokens = self.merges.many(table)
+            ids, cuts = tokens[tokens >= 0].astype("<u4").tobytes(), (4 * np.cumsum((tokens >= 0).sum(axis=1))).tolist()
+            found.update((words[k], ids[a:z]) for k, a, z in zip(own.tolist(), [0, *cuts], cuts))
+        return found
+
     def encode(self, text: str) -> Iterator[bytes]:
         """The ids of a text, block by block. Special tokens are recognised in the text as given."""
-        at = 0
-        for special in self.specials.finditer(text):
-            yield from self._plain(text[at:special.start()])
-            yield np.array([self.special[special[0]]], "<u4").tobytes()
-            at = special.end()
-        yield from self._plain(text[at:])
-
-    def _plain(self, text: str) -> Iterator[bytes]:
+        for _, block in self.encode_all([text]):
+            yield block
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[tuple[int, bytes]]:
+        """(number of the text, ids of a block) for many texts, each with a block at least."""
+        held: list[tuple[int, list[str] | bytes]] = []
+        size = 0
+        for k, text in enumerate(texts):
+            at = 0
+            for special in itertools.chain(self.specials.finditer(text), [None]):
+                for piece in _pieces(text[at:special.start() if special else len(text)]):
+                    held.append((k, self.words.findall(_lower(unicodedata.normalize("NFC", piece)))))
+                    size += len(piece)
+                    if size >= AT_ONCE:
+                        yield from self._blocks(held)
+                        held, size = [], 0
+                if special:
+                    held.append((k, np.array([self.special[special[0]]], "<u4").tobytes()))
+                    at = special.end()
+        yield from self._blocks(held)
+
+    def _blocks(self, held: list[tuple[int, list[str] | bytes]]) -> Iterator[tuple[int, bytes]]:
         known = self.known
-        for piece in _pieces(text):
-            piece = _lower(unicodedata.normalize("NFC", piece))
-            yield b"".join(map(known.__getitem__, self.words.findall(piece)))
+        known.learn([x for _, x in held if isinstance(x, list)])
+        for k, x in held:
+            yield k, x if isinstance(x, bytes) else b"".join(map(known.__getitem__, x))
 
 
 @functools.lru_cache(4096)
@@ -172,16 +243,23 @@ def _packed(n: int) -> struct.Struct:
 
 
 class _Known(dict):
-    """Tokens of words met before, at most REMEMBERED of them."""
+    """Tokens of words met before: at most REMEMBERED of them, or those of one block of text."""
 
     def __init__(self, tokenizer: WordTokenizer) -> None:
         self.tokenizer = tokenizer
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
+    def learn(self, texts: list[list[str]]) -> None:
+        new = set().union(*texts).difference(self)
+        if len(self) + len(new) > REMEMBERED:
             self.clear()
+            new = set().union(*texts)
+        new = [w for w in new if len(w) <= WIDTHS[-1]]
+        if new:
+            self.update(self.tokenizer.words_of(new))
+
+    def __missing__(self, word: str) -> bytes:
         found = self.tokenizer.word(word)
-        if len(word) < 100:
+        if len(word) < 100 and len(self) < REMEMBERED:
             self[word] = found
         return found
 
@@ -219,10 +297,10 @@ class Decoder:
         self.chars = codecs.getincrementaldecoder("utf-8")("replace")
         self.shown_bytes = _shown_bytes(tokenizer)
 
-    def shown(self, ids: np.ndarray) -> bytes:
-        if not len(ids):
+    def shown(self, ids: list[int]) -> bytes:
+        if not ids:
             return b""
-        joined = b" ".join(map(self.shown_bytes.__getitem__, ids.tolist()))
+        joined = b" ".join(map(self.shown_bytes.__getitem__, ids))
         joined, self.first = (joined if self.first else b" " + joined), False
         return joined
 
@@ -231,16 +309,18 @@ class Decoder:
         return self.chars.decode(b"".join(map(table.__getitem__, ids)), last)
 
 
-def _raw_bytes(tokenizer: WordTokenizer) -> dict[int, bytes]:
+def _raw_bytes(tokenizer: WordTokenizer) -> list[bytes]:
     """What each id stands for: the bytes of its signs and a space where a word ends; special ids as they are spelled."""
     if not hasattr(tokenizer, "_raw"):
-        special, table = set(tokenizer.special.values()), {}
+        special, end = set(tokenizer.special.values()), tokenizer.end
+        spelled, table = str.maketrans({c: chr(b) for c, b in tokenizer.sign_bytes.items()}), [b""] * len(_shown_bytes(tokenizer))
         for i, sign in tokenizer.text.items():
             if i in special:
                 table[i] = sign.encode() + b" "
-                continue
-            ends = bool(tokenizer.end) and sign.endswith(tokenizer.end)
-            table[i] = bytes(tokenizer.sign_bytes[c] for c in (sign[: -len(tokenizer.end)] if ends else sign)) + (b" " if ends else b"")
+            elif end and sign.endswith(end):
+                table[i] = sign[: -len(end)].translate(spelled).encode("latin-1") + b" "
+            else:
+                table[i] = sign.translate(spelled).encode("latin-1")
         tokenizer._raw = table
     return tokenizer._raw
 
@@ -263,18 +343,24 @@ def load(path: str) -> WordTokenizer:
 
 def digests(text: str | None, tokenizer: WordTokenizer, readable: bool = False) -> tuple:
     """(number of ids, SHA-256 of the ids, of the decoded text and, if asked for, of the readable text) in constant memory."""
-    ids_hash, text_hash, readable_hash = hashlib.sha256(), hashlib.sha256(), hashlib.sha256()
-    n, decoder = 0, Decoder(tokenizer)
-    for block in tokenizer.encode(text or ""):
-        ids_hash.update(block)
-        ids = np.frombuffer(block, "<u4")
-        n += len(ids)
-        text_hash.update(decoder.shown(ids))
-        if readable:
-            readable_hash.update(decoder.readable(ids.tolist()).encode("utf-8"))
-    readable_hash.update(decoder.readable([], last=True).encode("utf-8"))
-    found = n, ids_hash.hexdigest(), text_hash.hexdigest()
-    return (*found, readable_hash.hexdigest()) if readable else found
+    return next(all_digests([text], tokenizer, readable))
+
+
+def all_digests(texts: Iterable[str | None], tokenizer: WordTokenizer, readable: bool = False) -> Iterator[tuple]:
+    """The `digests` of each text."""
+    for _, blocks in itertools.groupby(tokenizer.encode_all(t or "" for t in texts), key=lambda b: b[0]):
+        ids_hash, text_hash, readable_hash = hashlib.sha256(), hashlib.sha256(), hashlib.sha256()
+        n, decoder = 0, Decoder(tokenizer)
+        for _, block in blocks:
+            ids_hash.update(block)
+            ids = np.frombuffer(block, "<u4").tolist()
+            n += len(ids)
+            text_hash.update(decoder.shown(ids))
+            if readable:
+                readable_hash.update(decoder.readable(ids).encode("utf-8"))
+        readable_hash.update(decoder.readable([], last=True).encode("utf-8"))
+        found = n, ids_hash.hexdigest(), text_hash.hexdigest()
+        yield (*found, readable_hash.hexdigest()) if readable else found
 
 
 def encoded_digests(
@@ -291,7 +377,7 @@ def encoded_digests(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(tokenizer_path)
         for batch in batches:
-            rows = [digests(t.as_py(), tokenizer, readable) for t in batch.column(1)]
+            rows = list(all_digests((t.as_py() for t in batch.column(1)), tokenizer, readable))
             n, *found = zip(*rows) if rows else [()] * (1 + len(names))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), *[pa.array(x, pa.string()) for x in found]],
@@ -311,11 +397,12 @@ def encoded(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_c
         tokenizer = load(tokenizer_path)
         for batch in batches:
             ids, shown = [], []
-            for t in batch.column(0):
+            texts = (t.as_py() or "" for t in batch.column(0))
+            for _, found in itertools.groupby(tokenizer.encode_all(texts), key=lambda b: b[0]):
                 blocks, decoder, digest = [], Decoder(tokenizer), hashlib.sha256()
-                for block in tokenizer.encode(t.as_py() or ""):
+                for _, block in found:
                     blocks.append(block)
-                    digest.update(decoder.shown(np.frombuffer(block, "<u4")))
+                    digest.update(decoder.shown(np.frombuffer(block, "<u4").tolist()))
                 ids.append(np.frombuffer(b"".join(blocks), "<u4").astype(np.int32))
                 shown.append(digest.hexdigest())
             made = [pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(shown, pa.string())]
