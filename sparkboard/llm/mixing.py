@@ -56,27 +56,44 @@ def lenient(cells: DataFrame, margin: str, power: float, least: float) -> DataFr
     return sums.crossJoin(scale).select(margin, F.when(F.col("drawn"), tempered_n).otherwise(own).alias("target"))
 
 
-def raked(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = 12) -> DataFrame:
-    """The cells with `weight`, the factor that gives every margin its target shares.
+def raked(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = 12, tolerance: float = 1e-12) -> DataFrame:
+    """The cells with `weight`, the factor that gives every margin its target shares, and `departure`.
 
     `cells` has a column per margin and `tokens`. Targets (category, target) need not sum to one; a
     category without a target has weight 0, targets of categories without tokens change nothing, nor do
-    cells without tokens. Every scaling is one aggregation to categories, joined back, and written, so
-    that neither the plan nor a task grows with the rounds.
+    cells without tokens. A round scales to each margin in turn, by an aggregation to categories joined back, and is
+    written, so that neither the plan nor a task grows with the rounds. Rounds end when no category's share
+    departs by more than `tolerance` of it from its target, or after `rounds` of them; `departure`, the same in
+    every row, bounds what is left then: it stays large if the targets contradict each other.
     """
     now = cells.withColumn("weight", F.when(F.col("tokens") > 0, 1.0).otherwise(0.0))
     for margin, target in targets.items():
         wanted = target.where("target > 0").groupBy(margin).agg(F.sum("target").alias(f"_{margin}"))
         now = now.join(wanted, margin, "left").withColumn("weight", F.when(F.col(f"_{margin}").isNull(), 0.0).otherwise(F.col("weight")))
-    now = saved(now, "mix")
+    now, left = saved(now, "mix"), 0.0
     for _ in range(rounds):
+        after = now
         for margin in targets:
-            has = now.where("weight > 0").groupBy(margin).agg(F.sum(F.col("weight") * F.col("tokens")).alias("_has"))
+            has = after.where("weight > 0").groupBy(margin).agg(F.sum(F.col("weight") * F.col("tokens")).alias("_has"))
             scaled = F.coalesce(F.col("weight") * F.col(f"_{margin}") / F.col("_has"), F.lit(0.0))
-            after = saved(now.join(has, margin, "left").withColumn("weight", scaled).drop("_has"), "mix")
-            dropped(now)
-            now = after
-    return now.select(*cells.columns, "weight")
+            after = after.join(has, margin, "left").withColumn("weight", scaled).drop("_has")
+        after = saved(after, "mix")
+        dropped(now)
+        now, left = after, departure(after, list(targets))
+        if left <= tolerance:
+            break
+    return now.select(*cells.columns, "weight", F.lit(left).alias(free_name("departure", cells.columns)))
+
+
+def departure(cells: DataFrame, margins: list[str]) -> float:
+    """Within any margin, the largest over the smallest ratio of what a category has to its target (column `_margin`), less one."""
+    of = [F.struct(F.lit(m).alias("margin"), F.col(m).cast("string").alias("category"), F.col(f"_{m}").alias("target")) for m in margins]
+    if not of:
+        return 0.0
+    rows = cells.where("weight > 0").select(F.explode(F.array(*of)).alias("of"), (F.col("weight") * F.col("tokens")).alias("n"))
+    shares = rows.groupBy("of.margin", "of.category").agg((F.sum("n") / F.max("of.target")).alias("ratio"))
+    spread = shares.groupBy("margin").agg((F.max("ratio") / F.min("ratio") - 1).alias("spread"))
+    return spread.agg(F.max("spread")).first()[0] or 0.0
 
 
 def chance(id_col: Column, text_col: Column, seed: int) -> Column:
@@ -90,7 +107,8 @@ def mixed(
     targets: Mapping[str, DataFrame] | None = None, rounds: int = 12, seed: int = 1,
     least: float | None = None, name: str = "mix",
 ) -> DataFrame:
-    """The documents, all columns as they were, with a column `name`: (margins, n_tokens, probability, kept).
+    """The documents, all columns as they were, with a column `name`: (margins, n_tokens, probability, kept, departure),
+    the last one as `raked` gives it.
 
     `margins` names the category columns; targets are the token shares raised to `powers`, or the tables of
     `targets`. With `least`, null and very small categories keep their own share (see `lenient`); without it
@@ -100,7 +118,7 @@ def mixed(
     """
     text = column(text_col).cast("string")
     tokens = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-    own, cell, odd = (free_name(f"__mix_{x}", docs.columns) for x in ("own", "cell", "odds"))
+    own, cell, odd, off = (free_name(f"__mix_{x}", docs.columns) for x in ("own", "cell", "odds", "off"))
     categories = [F.coalesce(c.cast("string"), F.lit(MISSING)).alias(m) for m, c in margins.items()]
     facts = docs.withColumn(own, F.struct(*categories, tokens.alias("n_tokens")))
     by = [F.col(f"{own}.{m}").alias(m) for m in margins]
@@ -108,9 +126,10 @@ def mixed(
     targets = targets or {m: tempered(cells, m, p) if least is None else lenient(cells, m, p, least) for m, p in powers.items()}
     weights = raked(cells, targets, rounds)
     top = weights.agg(F.max("weight")).first()[0] or 1.0
-    odds = weights.select(F.struct(*margins).alias(cell), (F.col("weight") / top).alias(odd))
+    left = free_name("departure", cells.columns)
+    odds = weights.select(F.struct(*margins).alias(cell), (F.col("weight") / top).alias(odd), F.col(left).alias(off))
     p = F.when(F.col(f"{own}.n_tokens") > 0, F.col(odd)).otherwise(0.0)
-    mix = F.struct(f"{own}.*", p.alias("probability"), (chance(column(id_col), text, seed) < p).alias("kept")).alias(name)
+    mix = F.struct(f"{own}.*", p.alias("probability"), (chance(column(id_col), text, seed) < p).alias("kept"), F.col(off).alias(left)).alias(name)
     on = [F.col(f"{own}.{m}") == F.col(f"{cell}.{m}") for m in margins]
     return facts.join(odds, on, "left").select(*[column(c) for c in docs.columns if c.lower() != name.lower()], mix)
 

@@ -179,3 +179,17 @@ def test_pipeline_equals_its_plain_version(spark, sf001):
     want = {i: reference.encode(texts[i], add_special_tokens=False).ids for i in kept}
     got = {r["doc_id"]: list(r["ids"]) for r in corpus_pipeline.run(spark, sf001).collect()}
     assert got == want
+
+
+def test_raking_ends_when_the_margins_hold(spark):
+    cells = spark.createDataFrame([("a", "x", 100), ("a", "y", 300), ("b", "x", 50), ("b", "y", 20), ("c", "x", 0)], "s string, l string, tokens long")
+    targets = {"s": spark.createDataFrame([("a", 1.0), ("b", 1.0)], "s string, target double"), "l": spark.createDataFrame([("x", 3.0), ("y", 1.0)], "l string, target double")}
+    short, long = (mixing.raked(cells, targets, rounds=n).toPandas().set_index(["s", "l"]).sort_index() for n in (1, 200))
+    # One round fits the last margin alone; enough of them fit all, and more would change nothing.
+    assert short["departure"].nunique() == 1 and short["departure"].iloc[0] > 1e-3 and long["departure"].iloc[0] <= 1e-12
+    has = long["weight"] * long["tokens"]
+    assert np.allclose(has.groupby("s").sum()[["a", "b"]], has.sum() / 2) and np.allclose(has.groupby("l").sum()[["x", "y"]], has.sum() * np.array([0.75, 0.25]))
+    # Targets no weights can meet: "b" has tokens in x alone, and x shall have less than "b".
+    against = {"s": spark.createDataFrame([("a", 1.0), ("b", 9.0)], "s string, target double"), "l": spark.createDataFrame([("x", 1.0), ("y", 9.0)], "l string, target double")}
+    assert mixing.raked(cells.where("s <> 'b' or l = 'x'"), against, rounds=5).first()["departure"] > 0.1
+    assert mixing.raked(cells.where("false"), targets).count() == 0
