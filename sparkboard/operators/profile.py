@@ -119,44 +119,51 @@ def _scalar_counts(df: DataFrame, names: list[str]) -> dict[str, dict[str, int]]
 
 
 def _count_kinds(df: DataFrame, possible: dict[str, set[str]]) -> dict[str, dict[str, int]]:
-    # Columns of their own: an aggregate evaluates its argument more than once.
-    tested = df.select(*[
-        c for i, (n, kinds) in enumerate(possible.items()) for c in (quoted(n).alias(f"v{i}"), _tests(quoted(n), kinds).alias(f"t{i}"))
-    ])
-    row = tested.agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[f.alias(f"{name}{i}") for i in range(len(possible)) for name, f in (
-            ("non_null", F.count(f"v{i}")), ("kinds", F.bit_and(f"t{i}.kinds")),
-            ("whole", F.max(f"t{i}.whole")), ("places", F.max(f"t{i}.places")),
-        )],
-    ).head()
-    return {
-        n: {"rows": row["rows"], **{k: row[f"{k}{i}"] or 0 for k in ("non_null", "kinds", "whole", "places")}}
-        for i, n in enumerate(possible)
-    }
+    texts = _long(df, {n: quoted(n) for n in possible})
+    counted = _tested(texts, list(possible.values())).groupBy("i").agg(F.count(F.lit(1)).alias("rows"), *_test_counts()).collect()
+    found = {r["i"]: r for r in counted}
+    names = ("rows", "non_null", "kinds", "whole", "places")
+    return {n: {k: found[i][k] or 0 if i in found else 0 for k in names} for i, n in enumerate(possible)}
+
 
+def _tested(texts: DataFrame, possible: list[set[str]]) -> DataFrame:
+    """Adds to the rows of `_long` `t`, (kinds, whole, places) of a text: column i is tested for possible[i] alone.
 
-def _tests(value: Column, possible: set[str]) -> Column:
-    """(kinds, whole, places) of a text, tested for the possible kinds alone."""
-    nothing = F.lit(None).cast("int")
-    kinds, whole, places = F.lit(0), nothing, nothing
-    if "boolean" in possible:
-        kinds = F.when(is_boolean(value), KINDS["boolean"]).otherwise(kinds)
-    spellings = [s for s in DATE_SPELLING_NAMES if s in possible]
-    if spellings:
-        # Most texts are told apart from dates by how they begin.
-        dates = [F.when(parse_date(value, s).isNotNull(), KINDS[s]).otherwise(0) for s in spellings]
-        kinds = F.when(value.rlike(DATE_BEGINNING), reduce(add, dates)).otherwise(kinds)
-    if "number" in possible:
-        # A number is no date.
-        number = F.when(is_number(value), F.btrim(value, F.lit(BLANK_OR_SIGN)))
-        plain = F.when(~(number.contains("e") | number.contains("E")), number)
-        point = F.instr(plain, ".")
-        whole = F.when(point > 0, point - 1).otherwise(F.length(plain))
-        places = F.when(point > 0, F.length(plain) - point).otherwise(0)
-        kinds = F.when(number.isNotNull(), F.when(point == 0, KINDS["number"] | KINDS["plain"] | KINDS["integer"])
-                       .when(point > 0, KINDS["number"] | KINDS["plain"]).otherwise(KINDS["number"])).otherwise(kinds)
-    return F.when(value.isNotNull(), F.struct(kinds.alias("kinds"), whole.alias("whole"), places.alias("places")))
+    One copy of the tests serves all columns. Each step is used more than once by the next one, so that they
+    stay steps: a text meets each pattern once, and the generated methods stay as short as the JVM compiles
+    them (8,000 bytes), however many columns there are.
+    """
+    own = [sum(KINDS[k] for k in kinds) for kinds in possible]
+    some = set().union(*possible)
+    may = lambda bits: F.col("may").bitwiseAND(F.lit(bits)) != 0
+    nothing, value = F.lit(None), F.col("value")
+    rows = texts.withColumn("i", F.col("i").cast("int"))
+    rows = rows.withColumn("may", F.get(F.array(*map(F.lit, own)), F.col("i")))
+    number = F.when(may(KINDS["number"]) & is_number(value), F.btrim(value, F.lit(BLANK_OR_SIGN)))
+    rows = rows.withColumn("number", number if "number" in some else nothing.cast("string"))
+    # A number is no date, and most other texts are told apart from dates by how they begin.
+    spellings = [s for s in DATE_SPELLING_NAMES if s in some]
+    dates = [F.when(may(KINDS[s]) & parse_date(value, s).isNotNull(), KINDS[s]).otherwise(0) for s in spellings]
+    can_be = F.col("number").isNull() & may(sum(KINDS[s] for s in spellings)) & value.rlike(DATE_BEGINNING)
+    rows = rows.withColumn("dates", F.when(can_be, reduce(add, dates)) if spellings else nothing.cast("int"))
+    rows = rows.withColumn("plain", F.when(~(F.col("number").contains("e") | F.col("number").contains("E")), F.col("number")))
+    rows = rows.withColumn("point", F.instr("plain", "."))
+    boolean = F.when(may(KINDS["boolean"]) & is_boolean(value), KINDS["boolean"]).otherwise(0)
+    kinds = F.when(
+        F.col("number").isNotNull(), F.when(F.col("point") == 0, KINDS["number"] | KINDS["plain"] | KINDS["integer"])
+        .when(F.col("point") > 0, KINDS["number"] | KINDS["plain"]).otherwise(KINDS["number"])
+    ).when(F.col("dates").isNotNull(), F.col("dates")).otherwise(boolean)
+    whole = F.when(F.col("point") > 0, F.col("point") - 1).otherwise(F.length("plain"))
+    places = F.when(F.col("point") > 0, F.length("plain") - F.col("point")).otherwise(0)
+    found = F.struct(kinds.alias("kinds"), whole.alias("whole"), places.alias("places"))
+    return rows.select(*texts.columns, F.when(value.isNotNull(), found).alias("t"))
+
+
+def _test_counts() -> list[Column]:
+    """What the rows of `_tested` add up to, per column."""
+    return [
+        F.count("value").alias("non_null"), F.bit_and("t.kinds").alias("kinds"), F.max("t.whole").alias("whole"), F.max("t.places").alias("places"),
+    ]
 
 
 def _decide(own: dict[str, int], all_null: str) -> tuple[str | None, str, str | None]:
@@ -258,23 +265,20 @@ def profile_parts(df: DataFrame) -> DataFrame:
     """
     fields = df.schema.fields
     texts = [isinstance(f.dataType, (T.StringType, T.VarcharType)) for f in fields]
-    tested = df.select(F.lit(1).alias("row"), *[
-        c for i, (f, is_text) in enumerate(zip(fields, texts, strict=True)) if is_text
-        for c in (_distinct_key(quoted(f.name)).alias(f"v{i}"), _tests(quoted(f.name), set(KINDS)).alias(f"t{i}"))
-    ])
-    counted = tested.agg(F.count("row").alias("rows"), *[
-        F.struct(
-            F.count(f"v{i}").alias("non_null"), F.bit_and(f"t{i}.kinds").alias("kinds"), F.max(f"t{i}.whole").alias("whole"),
-            F.max(f"t{i}.places").alias("places"), F.hll_sketch_agg(f"v{i}", F.lit(DISTINCT_BUCKETS)).alias("distinct"),
-        ).alias(f"c{i}") for i, is_text in enumerate(texts) if is_text
-    ])
-    unread = F.lit(None).cast("struct<non_null:bigint,kinds:int,whole:int,places:int,distinct:binary>")
-    columns = [
-        F.struct(F.lit(i).alias("ordinal"), F.lit(f.name).alias("name"), F.lit(f.dataType.simpleString()).alias("kind"), "rows",
-                 (F.col(f"c{i}") if is_text else unread).alias("c"))
-        for i, (f, is_text) in enumerate(zip(fields, texts, strict=True))
-    ]
-    return counted.select(F.inline(F.array(*columns))).select("ordinal", "name", "kind", "rows", "c.*")
+    unread = F.lit(None).cast("string")
+    long = _long(df, {f.name: quoted(f.name) if is_text else unread for f, is_text in zip(fields, texts, strict=True)})
+    # A row more per column, which counts as none: a table without rows has its columns, too.
+    long = long.withColumn("row", F.lit(1)).unionAll(df.sparkSession.range(len(fields)).select(F.col("id").cast("string"), unread, F.lit(0)))
+    tested = _tested(long, [set(KINDS) if is_text else set() for is_text in texts])
+    counted = tested.groupBy("i").agg(
+        F.sum("row").alias("rows"), *_test_counts(), F.hll_sketch_agg(_distinct_key(F.col("value")), F.lit(DISTINCT_BUCKETS)).alias("distinct")
+    )
+    about = lambda values: F.get(F.array(*map(F.lit, values)), F.col("i"))
+    is_text = about(texts)
+    return counted.select(
+        F.col("i").alias("ordinal"), about([f.name for f in fields]).alias("name"), about([f.dataType.simpleString() for f in fields]).alias("kind"), "rows",
+        *[F.when(is_text, F.col(c)).alias(c) for c in ("non_null", "kinds", "whole", "places", "distinct")],
+    )
 
 
 def merged_parts(parts: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Profiles merged from parts against profiles of all rows."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,3 +63,30 @@ def test_a_catalog_keeps_the_parts_of_appended_rows(spark, tmp_path):
     want = listed(profile(table(spark, 0, 1200).select("n", "mixed", "id")))
     assert {n: (r["type"], r["target"], r["row_count"]) for n, r in got.items()} == {n: (r["type"], r["target"], r["row_count"]) for n, r in want.items()}
     assert catalog.profile("missing").collect() == []
+
+
+def test_the_tests_of_many_columns_are_compiled(spark, capsys):
+    """The JVM compiles no method beyond 8,000 bytes, and Spark none beyond 64 KB: either would be interpreted, a hundred times slower."""
+    wide = spark.range(10).select(*[F.col("id").cast("string").alias(f"c{k}") for k in range(12)])
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        profile_parts(wide).explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(-?\d+)", capsys.readouterr().out)]
+    assert sizes and all(0 < n <= 8000 for n in sizes)
+
+
+def test_counts_of_all_kinds_and_of_no_rows(spark):
+    values = ["1", "-2.50", "1e5", "true", "2024-01-05", "13/04/2024", "x", "", None, " 7 "]
+    df = spark.createDataFrame([(v, k) for k, v in enumerate(values)], "v string, k int")
+    parts = {r["name"]: r for r in profile_parts(df).collect()}
+    v, k = parts["v"], parts["k"]
+    assert (v["ordinal"], v["kind"], v["rows"], v["non_null"], v["kinds"], v["whole"], v["places"]) == (0, "string", 10, 9, 0, 1, 2)
+    assert (k["ordinal"], k["kind"], k["rows"], k["non_null"], k["distinct"]) == (1, "int", 10, None, None)
+    none = {r["name"]: r for r in profile_parts(df.limit(0)).collect()}
+    assert (none["v"]["rows"], none["v"]["non_null"], none["v"]["kinds"], none["k"]["rows"]) == (0, 0, None, 0)
+    assert none["v"]["distinct"] is not None
+    empty = {r["name"]: (r["row_count"], r["non_null"]) for r in profile(df.limit(0)).collect()}
+    assert empty == {"v": (0, 0), "k": (0, None)}
