@@ -407,8 +407,8 @@ def scored(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_
     found = saved(rows.mapInArrow(run, schema).withColumn("key", F.monotonically_increasing_id()), "lm-rows")
     # Tokens beyond the head are rare each, so no task of this join is large.
     tail = found.select("key", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("key", F.col("x.rare").alias("token"), F.col("x.times").alias("times"))
-    least = int(model.counts[-1]) if len(model.counts) else 0
-    known_tail = counts.where(F.col("n") <= least).select("token", "n")
+    # Without a head (more tokens of about the largest count than it holds) they are all there are.
+    known_tail = (counts.where(F.col("n") <= int(model.counts[-1])) if len(model.counts) else counts).select("token", "n")
     met = tail.join(known_tail, "token", "left").groupBy("key").agg(
         F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("known"),
         F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.5))).alias("logs"),

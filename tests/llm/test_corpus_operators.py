@@ -149,6 +149,19 @@ def train(spark, texts, shape=maxent.Shape(4, 4, 64, 64), **settings):
     return docs, counts, maxent.trained(docs, maxent.untrained(counts, shape), **settings)
 
 
+def test_more_equal_counts_than_the_head_holds_are_all_known(spark):
+    """No token is in the head then: their counts come from the join alone."""
+    docs = documents(spark, [(1, "a b c d", None), (2, "a x", None)])
+    counts = maxent.token_counts(docs.where("doc_id = 1"))
+    model = maxent.untrained(counts, maxent.Shape(4, 4, 64, 64), head=3)
+    assert len(model.counts) == 0
+    found = {r["id"]: r for r in maxent.scored(docs, model, counts).collect()}
+    base = math.log10(5 + 0.5 * 6)
+    assert (found[1]["n_known"], found[2]["n_known"]) == (5, 2)
+    assert found[1]["base_score"] == pytest.approx(5 * (math.log10(1.5) - base), abs=1e-12)
+    assert found[2]["base_score"] == pytest.approx(2 * math.log10(1.5) + math.log10(0.5) - 3 * base, abs=1e-12)
+
+
 def test_probabilities_of_all_tokens_add_up_to_one(spark):
     shipped(spark)
     texts = ["a b c a b d e f g", "b c a a a", "h i j k l m n o p q r s t u v w x y z", None, ""] * 4
