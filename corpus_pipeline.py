@@ -12,10 +12,13 @@ from sparkboard.llm.shared import column, dropped, free_name, saved, shipped
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language stay; texts without a letter, foreign prose and letter noise go."""
+    """Documents in a learned language stay; texts without a letter, foreign prose and letter noise go.
+
+    The model and its limits come from all learning texts, whatever their number.
+    """
     shipped(spark)
-    model = language_model(docs)
-    return langid.accepted(docs, model, usual=language_fits(docs, model))
+    model = language_model(docs, per_language=None)
+    return langid.accepted(docs, model, usual=language_fits(docs, model, per_language=None))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

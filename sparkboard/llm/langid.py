@@ -123,10 +123,10 @@ class Usual:
 
 
 def train(
-    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 4000,
+    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int | None = 4000,
     n_buckets: int = BUCKETS, sizes: tuple[int, ...] = SIZES, smoothing: float = 0.5,
 ) -> Model:
-    """Learn from at most `per_language` texts of each language: those with the smallest hashes.
+    """Learn from at most `per_language` texts of each language, those with the smallest hashes; from all with None.
 
     The bound is this parameter; rows with a null text or language are passed over. Copies of a text count
     once, for the bound and for the model. Bytes which are not UTF-8 are U+FFFD. Counts are added up per task before they meet, one
@@ -160,9 +160,11 @@ def train(
     return Model(tuple(lang for lang, _ in found), weights, n_buckets, sizes)
 
 
-def _learning_texts(docs: DataFrame, text_col: str, lang_col: str, per_language: int) -> DataFrame:
+def _learning_texts(docs: DataFrame, text_col: str, lang_col: str, per_language: int | None) -> DataFrame:
     """(text, lang): the distinct texts which a model learns from."""
     rows = docs.select(valid_text(text_col).alias("text"), valid_text(lang_col).alias("lang")).dropna()
+    if per_language is None:
+        return rows.distinct()
     # The bound by a threshold on the hash, found per language from counts of hash ranges: no sort, no hot language.
     rows = rows.withColumn("whole", F.xxhash64("text", F.lit(5)))
     rows = rows.withColumn("h", F.pmod("whole", F.lit(1 << 16)).cast("int"))
@@ -179,7 +181,7 @@ FEWEST, LONG_ENOUGH = 30, 100
 LEAST_SPREAD, LEAST_LIMIT = 0.1, 20.0
 
 
-def usual_fits(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang", per_language: int = 4000) -> Usual:
+def usual_fits(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang", per_language: int | None = 4000) -> Usual:
     """How the texts that the model was learned from fit their languages: a length-normalised measure.
 
     A text's departure is the mean log-probability of its n-grams below the language's mean, in spreads: that

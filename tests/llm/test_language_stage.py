@@ -1,7 +1,9 @@
 """The pipeline's language stage: foreign prose and letter noise go, everything else stays."""
 
 import random
+import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -36,3 +38,16 @@ def test_few_texts_reject_nothing_and_an_empty_table_is_one(spark):
     assert usual.of == {} and langid.accepted(few, model, usual=usual).count() == 3
     none = langid.train(few.limit(0))
     assert langid.accepted(few.limit(0), none, usual=langid.usual_fits(few.limit(0), none)).count() == 0
+
+
+def test_the_model_of_the_stage_comes_from_all_learning_texts(spark, monkeypatch):
+    texts = [f"word{'abcdefghij'[k % 10]} {'klmnopqrst'[k // 10 % 10]}x {'uvwxyzabcd'[k // 100 % 10]}y {'efghijklmn'[k // 1000]}z" for k in range(6000)]
+    docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    met = {}
+    monkeypatch.setattr(langid, "accepted", lambda docs, model, **rest: met.update(rest, model=model) or docs)
+    corpus_pipeline.language(spark, docs, "")
+    learning = {t for k, t in enumerate(texts) if zlib.crc32(str(k).encode()) % 4 != 2}
+    assert len(learning) > 4000
+    counts = sum(langid.buckets(t) for t in learning)
+    wanted = np.log((counts + 0.5) / (counts.sum() + 0.5 * len(counts)))
+    assert met["model"].languages == ("en",) and np.allclose(met["model"].weights[:, 0], wanted, rtol=0, atol=1e-12)
